@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,88 +10,122 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_WS, small_batches
+from .common import small_batches
 
 #: Fixed values of the contract.
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = b"#*$%&|<>"
 LEAST_WORDS, MOST_REPEAT_PERCENT = 50, 50
 #: Weights of each family of n-grams; words of 1 and 2, characters (UTF-8 bytes) of 2 and 4.
 DIM, FAMILIES = 1 << 16, (("word", 1), ("word", 2), ("char", 2), ("char", 4))
 #: Most labelled rows that are fitted on; texts below this calibrated probability of being good are rejected.
 SAMPLE, KEEP_AT = 1500, 0.9
 SCALE = 60.0
-_WORD = re.compile(WORD_WS)
-_HAS_WORD = re.compile(r"[^\x20\x09-\x0D]").search
 _R = 0x9E3779B97F4A7C15
+#: Bytes that are white space or continue a character: what is left of a text has one byte for each character in a word.
+_NOT_COUNTED = bytes([32, *range(9, 14), *range(0x80, 0xC0)])
 
 
-def repeat_words(words: list[str]) -> int:
-    """How many words stand in a 3-word window that is found at least twice; exact, by numbering words and then pairs."""
-    if len(words) < 4:
-        return 0
-    number: dict[str, int] = {}
-    ids = np.array([number.setdefault(w, len(number)) for w in words], np.int64)
-    n = len(number) + 1
-    pairs = ids[:-1] * n + ids[1:]
-    if n > 1 << 20:
-        pairs = np.unique(pairs, return_inverse=True)[1]
-    order = np.argsort(three := pairs[:-1] * n + ids[2:], kind="stable")
-    same = three[order][1:] == three[order][:-1]
-    again = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
-    hit = np.zeros(len(words), bool)
-    for j in range(3):
-        hit[again + j] = True
-    return int(hit.sum())
-
-
-def base_counts(text: str) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
-    words = _WORD.findall(text)
-    lines, seen, dup = text.split("\n"), set(), 0
-    if len(lines) > 1:
-        for line in lines:
+_power_cache: list[np.ndarray] = [np.zeros(0, np.uint64)] * 2
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """r^i and r^-i modulo 2^64, kept up to a few MB."""
+    if len(_power_cache[0]) < n:
+        up, down = np.full(n, _R, np.uint64), np.full(n, pow(_R, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        made = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
+        if n > 1 << 20:
+            return tuple(made)
+        _power_cache[:] = made
+    return _power_cache[0][:n], _power_cache[1][:n]
+
+
+class Grid:
+    """The bytes of a batch of whole texts, a line end after each, with running polynomial hashes and the edges of words."""
+
+    def __init__(self, texts: list[bytes]):
+        self.texts = texts
+        self.data = np.frombuffer(b"".join(t + b"\n" for t in texts), np.uint8)
+        self.stop = np.cumsum(np.array([len(t) + 1 for t in texts], np.int64))
+        self.start = np.concatenate([[0], self.stop[:-1]]).astype(np.int64)
+        up, self.down = _powers(len(self.data) + 1)
+        self.total = np.zeros(len(self.data) + 1, np.uint64)
+        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=self.total[1:])
+        space = (self.data == 32) | ((self.data >= 9) & (self.data <= 13))
+        edge = np.diff(np.concatenate([[True], space, [True]]).view(np.int8))
+        self.first, self.last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        self.word_start, self.word_stop = np.searchsorted(self.first, self.start), np.searchsorted(self.first, self.stop)
+
+    def word_hashes(self, n: int) -> np.ndarray:
+        """A hash of every run of ``n`` words with what is between them."""
+        s, e = self.first[: max(0, len(self.first) - n + 1)], self.last[n - 1 :]
+        return (self.total[e] - self.total[s]) * self.down[s]
+
+    def char_hashes(self, n: int) -> np.ndarray:
+        return (self.total[n:] - self.total[:-n]) * self.down[: max(0, len(self.data) - n + 1)]
+
+    def repeat_words(self) -> np.ndarray:
+        """For each text: how many words stand in a 3-word window that is found at least twice in it.
+
+        Hashes leave the few windows that may repeat; those are then compared word by word, so the count is exact.
+        """
+        h = self.word_hashes(1) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        owner = np.repeat(np.arange(len(self.texts)), self.word_stop - self.word_start)
+        three = h[:-2] * np.uint64(3) + h[1:-1] * np.uint64(0x9E3779B97F4A7C15) + h[2:] * np.uint64(0xC2B2AE3D27D4EB4F) + owner[2:].astype(np.uint64) * np.uint64(_R >> 7 | 1)
+        ranked = np.sort(three)
+        twice = ranked[1:][ranked[1:] == ranked[:-1]]
+        counts = np.zeros(len(self.texts), np.int64)
+        if not len(twice):
+            return counts
+        at = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, three), len(twice) - 1)] == three)
+        at = at[owner[at] == owner[at + 2]]
+        for d in np.unique(owner[at]):
+            own = at[owner[at] == d] - self.word_start[d]
+            words = self.texts[d].split()
+            number: dict[tuple, int] = {}
+            ids = np.array([number.setdefault((words[i], words[i + 1], words[i + 2]), len(number)) for i in own.tolist()])
+            own = own[np.bincount(ids)[ids] > 1]
+            hit = np.zeros(len(words), bool)
+            for j in range(3):
+                hit[own + j] = True
+            counts[d] = hit.sum()
+        return counts
+
+
+def base_counts(grid: Grid) -> list[tuple[int, int, int, int, int]]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each UTF-8 text."""
+    out = []
+    for t, words, again in zip(grid.texts, (grid.word_stop - grid.word_start).tolist(), grid.repeat_words().tolist(), strict=True):
+        lines, seen, dup = t.split(b"\n"), set(), 0
+        for line in lines if len(lines) > 1 else ():
             if line in seen:
                 dup += 1
-            elif _HAS_WORD(line):
+            elif line and not line.isspace():
                 seen.add(line)
-    return len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), dup, repeat_words(words)
+        out.append((words, len(t.translate(None, _NOT_COUNTED)), len(t) - len(t.translate(None, SYMBOLS)), dup, again))
+    return out
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """r^i and r^-i modulo 2^64."""
-    r, inv = np.uint64(_R), np.uint64(pow(_R, -1, 1 << 64))
-    up, down = np.full(n, r), np.full(n, inv)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
-def _slot(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (h >> np.uint64(64 - DIM.bit_length() + 1)).astype(np.int64)
-
-
-def features(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each family: the slot of every n-gram, and the text it belongs to. Whole texts, all arithmetic on arrays."""
-    data = np.frombuffer(b"".join(t + b"\n" for t in texts), np.uint8)
-    size = np.array([len(t) + 1 for t in texts], np.int64)
-    owner = np.repeat(np.arange(len(texts)), size)
-    up, down = _powers(len(data) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1])])
-    gram = lambda s, e: (total[e] - total[s]) * down[s]
-    space = (data == 32) | ((data >= 9) & (data <= 13))
-    edge = np.diff(np.concatenate([[1], space.astype(np.int8), [1]]))
-    first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+def features(grid: Grid) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each family: the slots of all n-grams in a row, and where each text's begin and end (none: begin = end).
+
+    N-grams of characters run into the line end that closes a text, never into the next text.
+    """
+    mixer, shift = np.uint64(0xBF58476D1CE4E5B9), np.uint64(64 - DIM.bit_length() + 1)
     out = []
     for kind, n in FAMILIES:
-        if kind == "word":
-            s, e = first[: len(first) - n + 1], last[n - 1 :]
-            in_one = owner[s] == owner[e - 1]
-            s, e = s[in_one], e[in_one]
-        else:
-            s = np.arange(max(0, len(data) - n + 1))
-            s = s[owner[s] == owner[s + n - 1]]
-            e = s + n
-        out.append((_slot(gram(s, e)), owner[s]))
+        h, lo, hi = (grid.word_hashes(n), grid.word_start, grid.word_stop) if kind == "word" else (grid.char_hashes(n), grid.start, grid.stop)
+        out.append((((h * mixer) >> shift).view(np.int64), lo, np.maximum(lo, hi - n + 1)))
+    return out
+
+
+def _sums(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Sums over [lo, hi), each independent of what else is in the batch."""
+    out, full = np.zeros(len(lo)), np.flatnonzero(hi > lo)
+    if len(full):
+        cuts = np.stack([lo[full], hi[full]], 1).ravel()
+        out[full] = np.add.reduceat(np.append(values, 0.0), cuts)[::2]
     return out
 
 
@@ -105,12 +138,11 @@ class Model:
     slope: float = 1.0
     shift: float = 0.0
 
-    def probability(self, texts: list[bytes]) -> np.ndarray:
+    def probability(self, grid: Grid) -> np.ndarray:
         """Calibrated probability that each text is good."""
-        z = np.full(len(texts), self.bias)
-        for w, (slot, owner) in zip(self.weights, features(texts), strict=True):
-            n = np.bincount(owner, minlength=len(texts))
-            z += SCALE * np.bincount(owner, w[slot], minlength=len(texts)) / np.maximum(n, 1)
+        z = np.full(len(grid.texts), self.bias)
+        for w, (slot, lo, hi) in zip(self.weights, features(grid), strict=True):
+            z += SCALE * _sums(w[slot], lo, hi) / np.maximum(hi - lo, 1)
         return 1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -30, 30)))
 
 
@@ -177,14 +209,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         for b in batches:
             ids, texts = b.column("doc_id").to_pylist(), _bytes(b)
             slots, values = [[] for _ in ids], [[] for _ in ids]
-            for k, (slot, owner) in enumerate(features(texts) if texts else []):
-                key, n = np.unique(owner * DIM + slot, return_counts=True)
-                per = np.bincount(owner, minlength=len(ids))
-                cut = np.searchsorted(key, np.arange(len(ids) + 1) * DIM)
+            for k, (slot, lo, hi) in enumerate(features(Grid(texts)) if texts else []):
                 for i in range(len(ids)):
-                    part = slice(cut[i], cut[i + 1])
-                    slots[i].append((key[part] - i * DIM + k * DIM).astype(np.int32))
-                    values[i].append((SCALE * n[part] / max(per[i], 1)).astype(np.float32))
+                    key, n = np.unique(slot[lo[i] : hi[i]], return_counts=True)
+                    slots[i].append((key + k * DIM).astype(np.int32))
+                    values[i].append((SCALE * n / max(hi[i] - lo[i], 1)).astype(np.float32))
             cat = lambda xs, t: pa.array([np.concatenate(x) if x else [] for x in xs], pa.list_(t))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), cat(slots, pa.int32()), cat(values, pa.float32())], ["doc_id", "slots", "values"])
 
@@ -196,8 +225,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def judge(texts: list[bytes], model: Model, keep_at: float = KEEP_AT) -> dict[str, list]:
-    counts = [base_counts(t.decode("utf-8", "replace")) for t in texts]
-    p = model.probability(texts) if texts else np.zeros(0)
+    if not texts:
+        return {"counts": [], "failed": [], "p": [], "kept": []}
+    grid = Grid(texts)
+    counts, p = base_counts(grid), model.probability(grid)
     failed = [c[0] < LEAST_WORDS or 100 * c[4] > MOST_REPEAT_PERCENT * c[0] for c in counts]
     return {"counts": counts, "failed": failed, "p": p, "kept": [not f and bool(x >= keep_at) for f, x in zip(failed, p, strict=True)]}
 
