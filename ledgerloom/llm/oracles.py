@@ -71,6 +71,20 @@ bad AS (SELECT DISTINCT other AS k FROM reach)
 SELECT page_id, host, path, rule, coalesce(rv, CASE WHEN bad.k IS NOT NULL THEN 'block' END, 'allow') AS verdict FROM v LEFT JOIN bad ON bad.k = v.k
 """
 
+_OP7 = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT rid, doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM d, unnest(generate_series(0, length(h) // 2 - 50)) AS g(i)),
+m AS (SELECT s, min(doc_id) AS low FROM w GROUP BY s),
+gone AS (SELECT rid, i, coalesce(i > lag(i) OVER (PARTITION BY rid ORDER BY i) + 50, TRUE) AS fresh FROM w JOIN m USING (s) WHERE low < doc_id),
+isles AS (SELECT rid, min(i) AS a, max(i) + 50 AS b FROM (SELECT rid, i, sum(fresh::INT) OVER (PARTITION BY rid ORDER BY i) AS k FROM gone) GROUP BY rid, k),
+cuts AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS before FROM isles),
+kept AS (SELECT rid, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS tail, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head
+         FROM cuts JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)
+"""
+
 _OP10 = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role IS NULL AS no_role, text IS NULL AS no_text FROM conversations
            UNION ALL SELECT -1, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok', FALSE, FALSE FROM range(2) AS t(i)),
@@ -85,4 +99,4 @@ FROM o GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": _OP2, "op5_mix_sources": _OP5, "op6_url_filters": _OP6, "op10_chat_format": _OP10}
+    return {"op2_decontaminate": _OP2, "op5_mix_sources": _OP5, "op6_url_filters": _OP6, "op7_repeated_strings": _OP7, "op10_chat_format": _OP10}

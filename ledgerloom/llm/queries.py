@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, licenses, mixing, pii, quality, simhash, tokens, urls
+from . import chat, decontaminate, licenses, mixing, pii, quality, simhash, suffixes, tokens, urls
 from .common import read
 
 
@@ -34,6 +34,10 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages"))
 
 
+def op7_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(read(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(read(spark, sf_dir, "documents"))
 
@@ -52,4 +56,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_decontaminate, op3_pii, op4_licenses, op5_mix_sources, op6_url_filters, op8_simhash, op9_token_counts, op10_chat_format)}
+    every = (
+        op1_quality_rules, op2_decontaminate, op3_pii, op4_licenses, op5_mix_sources,
+        op6_url_filters, op7_repeated_strings, op8_simhash, op9_token_counts, op10_chat_format,
+    )
+    return {f.__name__: f for f in every}
