@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, connected_components
+from .common import LOWER, UPPER, broadcast_if, connected_components, stage
 
 #: Fixed rules of the contract: verdict, host and path.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -81,8 +81,10 @@ def judge(pages: DataFrame, rules: tuple = RULES, redirects: DataFrame | None =
         one = ends[0].withColumn("a", alias_key(ends[0])).select("a", F.col("to_url").alias("url"))
         two = split_url(one)
         edges = edges.unionByName(two.select("a", alias_key(two).alias("b")))
-    roots = connected_components(edges.where("a is not null and b is not null"), "url")
-    known = base.drop("html", "url").join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key"))
-    blocked = known.where("rule_verdict = 'block'").select("root").distinct().withColumn("bad", F.lit(True))
+    roots = stage(connected_components(edges.where("a is not null and b is not null"), "url"), "url-roots")
+    known = base.drop("html", "url").join(broadcast_if(roots, roots.count()), F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key"))
+    # Only groups that hold both a blocked page and one without a rule pass a decision on; those are few, and known by name.
+    sides = known.where("root is not null and (rule_verdict is null or rule_verdict = 'block')").groupBy("root").agg(F.max(F.col("rule_verdict").isNull()).alias("open"), F.max(F.col("rule_verdict").isNotNull()).alias("bad"))
+    blocked = stage(sides.where("open and bad").select("root", "bad"), "url-blocked")
     verdict = F.coalesce("rule_verdict", F.when(F.col("bad"), "block"), F.lit("allow"))
-    return known.join(blocked, "root", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"))
+    return known.join(broadcast_if(blocked, blocked.count()), "root", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"))
