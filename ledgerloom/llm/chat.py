@@ -60,14 +60,16 @@ def chosen_paths(nodes: DataFrame) -> DataFrame:
     jumps = [base]
     while jumps[-1].where("up is not null").limit(1).count():
         low = jumps[-1]
-        high = low.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("sum").alias("sum2"), F.col("len").alias("len2"))
-        jumps.append(stage(low.join(high, ["tree", "up"], "left").select("tree", "node", F.col("up2").alias("up"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum"), (F.col("len") + F.coalesce("len2", F.lit(0))).alias("len")), "tree"))
+        on = low.where("up is not null").withColumnsRenamed({"node": "at", "sum": "sum1", "len": "len1"})  # the others have reached their root
+        far = on.join(low.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), "sum", "len"), ["tree", "up"])
+        far = far.select("tree", F.col("at").alias("node"), F.col("up2").alias("up"), (F.col("sum1") + F.col("sum")).alias("sum"), (F.col("len1") + F.col("len")).alias("len"))
+        jumps.append(stage(far.unionByName(low.where("up is null")), "tree"))
     whole = jumps[-1]
     inner = base.where("up is not null").select("tree", F.col("up").alias("node")).distinct()
     best = whole.join(inner, ["tree", "node"], "left_anti").groupBy("tree").agg(F.max_by("node", F.struct("sum", "len", -F.col("node"))).alias("node"))
     path = stage(best, "path")
     for jump in reversed(jumps[:-1]):
-        more = path.join(jump, ["tree", "node"]).where("up is not null").select("tree", F.col("up").alias("node"))
+        more = path.join(jump.where("up is not null"), ["tree", "node"]).select("tree", F.col("up").alias("node"))
         new = stage(path.unionByName(more), "path")
         unstage(path)
         path = new
