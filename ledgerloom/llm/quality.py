@@ -18,7 +18,7 @@ LEAST_WORDS, MOST_REPEAT_PERCENT = 50, 50
 #: Weights of each family of n-grams; words of 1 and 2, characters (UTF-8 bytes) of 2 and 4.
 DIM, FAMILIES = 1 << 16, (("word", 1), ("word", 2), ("char", 2), ("char", 4))
 #: Most labelled rows that are fitted on; texts below this calibrated probability of being good are rejected.
-SAMPLE, KEEP_AT = 1500, 0.9
+SAMPLE, KEEP_AT = 1500, 0.5
 SCALE = 60.0
 _R = 0x9E3779B97F4A7C15
 #: Bytes that are white space or continue a character: what is left of a text has one byte for each character in a word.

@@ -68,11 +68,11 @@ def _signed(m: int) -> int:
 
 
 def _links_in_block(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Links that span the components of one block's distinct fingerprints: a forest, never all pairs.
+    """Links that span the components of one block's distinct (signed) fingerprints: a forest, never all pairs.
 
-    Grows each component breadth first; a fingerprint that was reached is not compared as a target again.
+    Grows each component from one member; a fingerprint that was reached is not compared as a target again.
     """
-    links, left = [], fps
+    links, left = [], fps.view(np.uint64)  # signed numbers would count the bits of their absolute values
     while len(left) > 1:
         front, left = [left[0]], left[1:]
         while front and len(left):
@@ -80,7 +80,7 @@ def _links_in_block(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
             near = np.bitwise_count(left ^ x) <= distance
             if near.any():
                 new = left[near]
-                links += [(int(x), int(y)) for y in new]
+                links += [(int(x.view(np.int64)), y) for y in new.view(np.int64).tolist()]
                 front.extend(new)
                 left = left[~near]
     return links
@@ -106,7 +106,7 @@ def _small_blocks(keyed: DataFrame, distance: int) -> DataFrame:
                 near = np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)) <= distance
                 links += list(zip(x[near].tolist(), y[near].tolist(), strict=True))
             for i in np.flatnonzero(size[:done] > 2):
-                links += _links_in_block(now[2, cuts[i] : cuts[i + 1]], distance)
+                links += _links_in_block(now[2, cuts[i] : cuts[i + 1]].copy(), distance)
             rest = now[:, cuts[done] :] if done < len(cuts) - 1 else np.zeros((3, 0), np.int64)
             if links:
                 a, c = np.array(links, np.int64).T
