@@ -268,3 +268,54 @@ def test_job_decisions():
     assert cdc.is_idle(True, 5, 5, "a", "a") and not cdc.is_idle(False, 5, 5, "a", "a")
     assert layout.rebuild_mode(True, False, 3, 3, "a", "a", 1, 2, 0) == "delta" and layout.rebuild_mode(True, False, 3, 4, "a", "a", 1, 2, 0) == "full"
     assert jobs.priority is not None
+
+
+SELECTIONS = [
+    {"kind": "LinkedField", "name": "history", "concreteType": "History", "plural": False, "args": [{"kind": "Variable", "name": "after", "variableName": "cursor"}], "selections": [
+        {"kind": "LinkedField", "name": "nodes", "concreteType": "Node", "plural": True, "args": None, "selections": [{"kind": "ScalarField", "name": "id"}, {"kind": "ScalarField", "name": "score"}]},
+        {"kind": "Condition", "condition": "full", "passingValue": True, "selections": [{"kind": "ScalarField", "name": "extra"}]},
+        {"kind": "InlineFragment", "type": "Other", "selections": [{"kind": "ScalarField", "name": "only_other"}]},
+        {"kind": "Strange", "selections": []},
+    ]},
+]
+
+
+def test_schema_walk(spark):
+    from ledgerloom.operators import schema_walk as sw
+
+    data = {"history": {"nodes": [{"id": "a"}, None, 5, {"id": "b", "score": 1}], "pageInfo": {"hasNextPage": True, "endCursor": "c1"}}}
+    catalog = {"Q": {"operation": {"selections": SELECTIONS}}}
+    rows = [(1, "Q", '{"full":true,"cursor":null}', json.dumps({"data": data})), (2, "Q", '{"cursor":"c1"}', json.dumps({"data": data})), (3, "Q", "{}", json.dumps({"data": {"history": []}})), (4, "Z", "{}", '{"data":{}}'), (5, "Q", "{}", "{")]
+    got = {}
+    for r in sw.findings(spark.createDataFrame(rows, "id long, operation string, variables_json string, json_text string"), catalog).collect():
+        got.setdefault((r["id"], r["finding"]), []).append(r["path"])
+    assert got[1, "missing"] == ["$.history.__unhandled_selection__Strange", "$.history.extra", "$.history.nodes[0].score"]
+    assert got[2, "missing"] == ["$.history.__unhandled_selection__Strange", "$.history.nodes[0].score"]
+    assert got[1, "shape"] == ["$.history.nodes[2]"] and got[3, "shape"] == ["$.history"]
+    assert got[1, "next"] == ["$.history"] and got[2, "stalled"] == ["$.history"] and got[4, "unknown_operation"] == ["$"]
+    assert sorted(got[1, "entity"]) == ["$.history.nodes[0]", "$.history.nodes[3]"] and not any(k[0] == 5 for k in got)
+    arg = lambda *names: [{"name": n} for n in names]
+    op = lambda kind, sel, *names: {"params": {"operationKind": kind}, "operation": {"argumentDefinitions": arg(*names), "selections": sel}}
+    by_id = [{"kind": "LinkedField", "name": "x", "concreteType": "Match", "args": [{"kind": "Variable", "name": "id", "variableName": "mid"}], "selections": []}]
+    assert sw.plan({"a": op("query", [], "cursor"), "b": op("query", by_id, "mid"), "c": op("query", [], "odd"), "d": op("mutation", []), "e": op("query", [])}, {"e": "why"}, {"cursor"}) == {"a": ("root", None), "b": ("related", None), "c": ("unsupported", "odd"), "d": ("excluded", "no query"), "e": ("excluded", "why")}
+    objects = spark.createDataFrame([("Match", "1"), ("Match", "1"), ("Else", "2")], "typename string, entity_id string")
+    assert [tuple(r) for r in sw.related(objects, {"b": ("mid", ["Match"])}).collect()] == [("b", "mid", "1")]
+
+
+def test_recipes(spark):
+    from ledgerloom.plans import fixtures as fx
+    from ledgerloom.plans import recipes
+
+    d = "/root/testdata/sf0.001"
+    m, docs, coop = fx.matches(spark, d), fx.documents(spark, d), fx.coop_details(spark, d)
+    det = details.match_details(m, docs)
+    c = classify.classify(det)
+    homes = layout.match_home(m, c, docs)
+    tables = {t: spark.createDataFrame([], ddl) for t, ddl in schema.TABLES.items()} | {
+        "matches": m, "other_matches": m, "documents": docs, "match_classification": c, "battles": details.battles(det, c), "match_home": homes, "battle_players": details.battle_players(details.battle_teams(det)),
+        "salmon_waves": details.salmon_waves(coop), "match_index": layout.match_index(m, c, homes, fx.tags(spark, d)),
+    }
+    args = {"match_key": "m1", "analysis_set": "xmatch", "rule_raw": "LOFT", "tag": "x", "url": "u"}
+    for name, sql in recipes.RECIPES.items():
+        n = recipes.ask(spark, name, tables, **{k: v for k, v in args.items() if f":{k}" in sql}).count()
+        assert n > 0 or any(t in sql for t in ("rate_points", "assets", "responses", "response_fetches", "FROM jobs")), name
