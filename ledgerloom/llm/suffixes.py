@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,22 +35,29 @@ U = np.uint64
 # -- sorted runs and their levels -------------------------------------------------------------------------------
 
 
-@dataclass
 class Run:
     """Records sorted by (high, low), one for each pair, with the smallest document that has it."""
 
-    high: np.ndarray
-    low: np.ndarray
-    doc: np.ndarray
+    def __init__(self, high: np.ndarray, low: np.ndarray, doc: np.ndarray):
+        self.high, self.low, self.doc = high, low, doc
+        self._names: tuple[np.ndarray, np.ndarray] | None = None
 
     @classmethod
-    def of(cls, high: np.ndarray, low: np.ndarray, doc: np.ndarray) -> Run:
-        order = np.lexsort((low, high))
+    def of(cls, high: np.ndarray, low: np.ndarray, doc: np.ndarray, merge: bool = False) -> tuple[Run, np.ndarray]:
+        """The run of some records, and where each of them is in it. ``merge``: they are a few sorted runs in a row."""
+        order = np.argsort(high, kind="stable" if merge else None)
+        tied = high[order]
+        same = np.concatenate([[False], tied[1:] == tied[:-1]])
+        at = np.flatnonzero(same | np.append(same[1:], False))  # records that share their high key with a neighbour
+        order[at] = order[at][np.lexsort((low[order[at]], high[order[at]]))]
         high, low, doc = high[order], low[order], doc[order]
         if not len(high):
-            return cls(high, low, doc)
-        first = np.flatnonzero(np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])]))
-        return cls(high[first], low[first], np.minimum.reduceat(doc, first))
+            return cls(high, low, doc), order
+        new = np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])])
+        first = np.flatnonzero(new)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(new) - 1
+        return cls(high[first], low[first], np.minimum.reduceat(doc, first)), place
 
     def __len__(self) -> int:
         return len(self.high)
@@ -60,28 +66,45 @@ class Run:
         """Where each pair is, and whether it is there at all."""
         if not len(self):
             return np.zeros(len(high), np.int64), np.zeros(len(high), bool)
-        first = np.flatnonzero(np.concatenate([[True], self.high[1:] != self.high[:-1]]))
-        names = self.high[first]
-        rank = np.repeat(np.arange(len(first), dtype=U), np.diff(np.append(first, len(self))))
+        if self._names is None:
+            first = np.flatnonzero(np.concatenate([[True], self.high[1:] != self.high[:-1]]))
+            rank = np.repeat(np.arange(len(first), dtype=U), np.diff(np.append(first, len(self))))
+            self._names = self.high[first], rank << U(LOW_BITS) | self.low
+        names, own = self._names
         at = np.minimum(np.searchsorted(names, high), len(names) - 1)
-        key, shift = at.astype(U) << U(LOW_BITS) | low, U(LOW_BITS)
-        own = rank << shift | self.low
+        key = at.astype(U) << U(LOW_BITS) | low
         k = np.minimum(np.searchsorted(own, key), len(own) - 1)
         return k, (names[at] == high) & (own[k] == key)
 
-    def pack(self, flag: np.ndarray | None = None) -> bytes:
+    def many(self) -> np.ndarray:
+        """Which records share their high key with another low key."""
+        new = np.concatenate([[True], self.high[1:] != self.high[:-1]]) if len(self) else np.zeros(0, bool)
+        group = np.cumsum(new) - 1
+        return np.bincount(group)[group] > 1 if len(self) else new
+
+    def pack(self) -> bytes:
         """Compressed: differences of the high keys, then all numbers byte by byte of equal weight."""
         step = np.diff(self.high, prepend=U(0)).astype(U)
-        planes = [a.view(np.uint8).reshape(-1, 8).T.tobytes() for a in (step, self.low, self.doc.view(U))]
-        flags = (flag if flag is not None else np.zeros(len(self), bool)).astype(np.uint8).tobytes()
-        return zstandard.ZstdCompressor(level=1).compress(b"".join([*planes, flags]))
+        return _pack(step, self.low, self.doc.view(U))
 
     @classmethod
-    def unpack(cls, data: bytes) -> tuple[Run, np.ndarray]:
-        raw = zstandard.ZstdDecompressor().decompress(data)
-        n = len(raw) // 25
-        step, low, doc = (np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, 8 * n * i).reshape(8, n).T).view(U).ravel() for i in range(3))
-        return cls(np.cumsum(step, dtype=U), low, doc.view(np.int64)), np.frombuffer(raw, np.uint8, n, 24 * n).astype(bool)
+    def unpack(cls, data: bytes) -> Run:
+        step, low, doc = _unpack(data, 3)
+        return cls(np.cumsum(step, dtype=U), low, doc.view(np.int64))
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(c.view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns))
+
+
+def _unpack(data: bytes, columns: int) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = len(raw) // (8 * columns)
+    return [np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, 8 * n * i).reshape(8, n).T).view(U).ravel() for i in range(columns)]
+
+
+def _joined(runs: list[Run]) -> Run:
+    return Run.of(*(np.concatenate([getattr(r, f) for r in runs]) for f in ("high", "low", "doc")), merge=True)[0]
 
 
 class IndexFamily:
@@ -100,17 +123,14 @@ class IndexFamily:
 
     def add(self, run: Run) -> None:
         while self.levels and len(self.levels[-1]) < 2 * len(run):
-            other = self.levels.pop()
-            run = Run.of(*(np.concatenate([getattr(other, f), getattr(run, f)]) for f in ("high", "low", "doc")))
+            run = _joined([self.levels.pop(), run])
         self.levels.append(run)
 
     def fold(self) -> Run:
         """All levels as one."""
         while len(self.levels) > 1:
-            self.add(self.levels.pop())
-            if len(self.levels) > 1:
-                a, b = self.levels.pop(), self.levels.pop()
-                self.levels.append(Run.of(*(np.concatenate([getattr(a, f), getattr(b, f)]) for f in ("high", "low", "doc"))))
+            last = self.levels.pop()
+            self.levels[-1] = _joined([self.levels[-1], last])
         return self.levels[0] if self.levels else Run(np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64))
 
 
@@ -203,7 +223,7 @@ class Texts:
             yield d, e, int(self.begin[d]), int(self.begin[e])
             d = e
 
-    def decided(self, shift: int, answers: list[tuple[Run, np.ndarray]]) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
+    def decided(self, shift: int, buckets: int, answers: list[bytes]) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
         """What the first round settles: places (start, end) of whole segments to remove, and the single windows left to compare.
 
         Those are, of every segment that shares its gram with a different one, the windows in the
@@ -211,23 +231,14 @@ class Texts:
         """
         hashed: dict[int, tuple] = {}
         found = self.segments(shift, lambda k, *x: hashed.__setitem__(k, x))
-        high, low, doc, start, n = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(5))
-        if not len(high):
+        if not found:
             return np.zeros((0, 2), np.int64), []
-        own = Run.of(high, low, self.ids[doc])
-        at, _ = own.find(high, low)
-        best, unsure = own.doc[at], np.zeros(len(high), bool)
-        if answers:
-            said = Run(*(np.concatenate([getattr(r, f) for r, _ in answers]) for f in ("high", "low", "doc")))
-            flag = np.concatenate([f for _, f in answers])
-            order = np.lexsort((said.low, said.high))
-            said, flag = Run(said.high[order], said.low[order], said.doc[order]), flag[order]
-            at, there = said.find(high, low)
-            best = np.where(there, np.minimum(best, said.doc[at]), best)
-            unsure = there & flag[at]
-        gone = best < self.ids[doc]
+        high, low, doc, start, n = (np.concatenate([f[i] for f in found]) for i in range(5))
+        own, at = Run.of(high, low, self.ids[doc])
+        earlier, many = told(own, buckets, answers)
+        gone = earlier[at] | (own.doc[at] < self.ids[doc])
         whole = np.stack([start[gone], start[gone] + n[gone] - 1 + LENGTH], 1)
-        left, part = np.flatnonzero(unsure & ~gone), np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+        left, part = np.flatnonzero(many[at] & ~gone), np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
         out = []
         for k in range(len(found)):
             s = left[part[left] == k]
@@ -236,29 +247,47 @@ class Texts:
                 place = np.repeat(start[s] - np.concatenate([[0], np.cumsum(n[s])[:-1]]), n[s]) + np.arange(n[s].sum())
                 x = place - lo
                 h = _mix((total[x + LENGTH] - total[x]) * down[x])
-                out.append((h, np.repeat(high[s] & U((1 << LOW_BITS) - 1), n[s]), np.repeat(doc[s], n[s]), place))
+                out.append((h, np.repeat(high[s] & U(0xFFFF), n[s]), np.repeat(doc[s], n[s]), place))
         return whole, out
 
-    def removed(self, shift: int, first: list[tuple[Run, np.ndarray]], second: list[tuple[Run, np.ndarray]]) -> np.ndarray:
+    def removed(self, shift: int, buckets: int, first: list[bytes], second: list[bytes]) -> np.ndarray:
         """A mask of the bytes to remove."""
-        whole, windows = self.decided(shift, first)
+        whole, windows = self.decided(shift, buckets, first)
         diff = np.zeros(len(self.data) + 1, np.int32)
         np.add.at(diff, whole[:, 0], 1)
         np.add.at(diff, whole[:, 1], -1)
         if windows:
             high, low, doc, place = (np.concatenate([w[i] for w in windows]) for i in range(4))
-            own = Run.of(high, low, self.ids[doc])
-            at, _ = own.find(high, low)
-            best = own.doc[at]
-            for run, _ in second:
-                at, there = run.find(high, low)
-                best = np.where(there, np.minimum(best, run.doc[at] if len(run) else best), best)
-            gone = place[best < self.ids[doc]]
+            own, at = Run.of(high, low, self.ids[doc])
+            earlier, _ = told(own, buckets, second)
+            gone = place[earlier[at] | (own.doc[at] < self.ids[doc])]
             np.add.at(diff, gone, 1)
             np.add.at(diff, gone + LENGTH, -1)
         return np.cumsum(diff[:-1]) > 0
 
 
+def bucket_parts(high: np.ndarray, buckets: int) -> list[np.ndarray]:
+    """Which records of a run go to each bucket, by a hash of the high key."""
+    bucket = ((high * U(0xC2B2AE3D27D4EB4F)) >> U(33)).astype(np.int64) % buckets
+    order = np.argsort(bucket, kind="stable")
+    return np.split(order, np.searchsorted(bucket[order], np.arange(1, buckets)))
+
+
+def told(own: Run, buckets: int, answers: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For each record of a batch's run: whether an earlier document outside has it, and whether its high key comes with several low ones.
+
+    An answer names records by their places in what the batch sent to a bucket, so it is a byte or two for each.
+    """
+    earlier, many = np.zeros(len(own), bool), np.zeros(len(own), bool)
+    parts = bucket_parts(own.high, buckets) if answers else []
+    for a in answers:
+        step, says = _unpack(a, 2)
+        at = np.cumsum(step[1:]).astype(np.int64)
+        part = parts[int(step[0])][at]
+        earlier[part], many[part] = says[1:] & U(1) > 0, says[1:] & U(2) > 0
+    return earlier, many
+
+
 # -- the job --------------------------------------------------------------------------------------------------------
 
 
@@ -287,13 +316,9 @@ _SORTED = "bucket int, batch long, run binary"
 
 
 def _dealt(run: Run, batch: int, buckets: int) -> Iterator[dict]:
-    """The run of a batch, cut by a hash of the high key."""
-    bucket = ((run.high * U(0xC2B2AE3D27D4EB4F)) >> U(33)).astype(np.int64) % buckets
-    order = np.argsort(bucket, kind="stable")
-    cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for k in range(buckets):
-        if cut[k] < cut[k + 1]:
-            part = order[cut[k] : cut[k + 1]]
+    """The run of a batch, cut into buckets."""
+    for k, part in enumerate(bucket_parts(run.high, buckets)):
+        if len(part):
             yield {"bucket": k, "batch": batch, "run": Run(run.high[part], run.low[part], run.doc[part]).pack()}
 
 
@@ -316,14 +341,14 @@ def _answers(runs: DataFrame, kind: int, parts: int) -> DataFrame:
 
         def close() -> Iterator[pa.RecordBatch]:
             whole = family.fold()
-            new = np.concatenate([[True], whole.high[1:] != whole.high[:-1]])
-            many = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1
+            many = whole.many() if kind == 0 else np.zeros(len(whole), bool)
             for batch, own in held:
                 at, _ = whole.find(own.high, own.low)
-                tell = (whole.doc[at] < own.doc) | (many[at] if kind == 0 else False)
-                if tell.any():
-                    at = at[tell]
-                    yield _rows([{"batch": batch, "kind": kind, "data": Run(own.high[tell], own.low[tell], whole.doc[at]).pack(many[at])}], _ANSWER_ARROW)
+                says = (whole.doc[at] < own.doc).astype(np.uint8) | (many[at].astype(np.uint8) << 1)
+                tell = np.flatnonzero(says)
+                if len(tell):
+                    data = _pack(np.concatenate([[now], np.diff(tell, prepend=0)]).astype(U), np.concatenate([[0], says[tell]]).astype(U))
+                    yield _rows([{"batch": batch, "kind": kind, "data": data}], _ANSWER_ARROW)
 
         for b in batches:
             for r in b.to_pylist():
@@ -331,7 +356,7 @@ def _answers(runs: DataFrame, kind: int, parts: int) -> DataFrame:
                     if held:
                         yield from close()
                     now, family, held = r["bucket"], IndexFamily(), []
-                held.append((r["batch"], Run.unpack(r["run"])[0]))
+                held.append((r["batch"], Run.unpack(r["run"])))
                 family.add(held[-1][1])
         if held:
             yield from close()
@@ -350,7 +375,7 @@ def _with_texts(batches: DataFrame, answers: DataFrame, parts: int, step: Callab
                 if r["batch"] != now:
                     now, said = r["batch"], {}
                 if r["kind"] < 9:
-                    said.setdefault(r["kind"], []).append(Run.unpack(r["data"]))
+                    said.setdefault(r["kind"], []).append(r["data"])
                 else:
                     yield _rows(list(step(now, Texts.unpack(r["data"]), said)), arrow)
 
@@ -381,20 +406,20 @@ def report(docs: DataFrame) -> DataFrame:
                 found = texts.segments(shift)
                 if found:
                     high, low, doc = (np.concatenate([f[i] for f in found]) for i in range(3))
-                    yield _rows(list(_dealt(Run.of(high, low, texts.ids[doc]), r["batch"], buckets)), _SORTED_ARROW)
+                    yield _rows(list(_dealt(Run.of(high, low, texts.ids[doc])[0], r["batch"], buckets)), _SORTED_ARROW)
 
     first = stage(_answers(batches.mapInArrow(sort, _SORTED), 0, parts), "first")
 
     def windows(batch: int, texts: Texts, said: dict) -> Iterator[dict]:
-        _, left = texts.decided(shift, said.get(0, []))
+        _, left = texts.decided(shift, buckets, said.get(0, []))
         if left:
             high, low, doc = (np.concatenate([w[i] for w in left]) for i in range(3))
-            yield from _dealt(Run.of(high, low, texts.ids[doc]), batch, buckets)
+            yield from _dealt(Run.of(high, low, texts.ids[doc])[0], batch, buckets)
 
     second = stage(_answers(_with_texts(batches, first, parts, windows, _SORTED, _SORTED_ARROW), 1, parts), "second")
 
     def finish(batch: int, texts: Texts, said: dict) -> Iterator[dict]:
-        mask = texts.removed(shift, said.get(0, []), said.get(1, []))
+        mask = texts.removed(shift, buckets, said.get(0, []), said.get(1, []))
         data = np.frombuffer(texts.data, np.uint8)
         for i, d in enumerate(texts.ids.tolist()):
             own = slice(texts.begin[i], texts.begin[i + 1])
