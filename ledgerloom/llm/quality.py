@@ -218,10 +218,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), cat(slots, pa.int32()), cat(values, pa.float32())], ["doc_id", "slots", "values"])
 
     picked = docs.selectExpr("cast(doc_id as long) doc_id", "text").where(F.col("doc_id").isin(list(quality)))
-    found = {}
-    for r in picked.mapInArrow(run, "doc_id long, slots array<int>, values array<float>").toArrow().to_pylist():
-        found[r["doc_id"]] = (np.array(r["slots"], np.int64), np.array(r["values"]), quality[r["doc_id"]])
-    return fit([found[k] for k in sorted(found, key=lambda k: (k * _R) % 2**64)])
+    rows: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}
+    for b in picked.mapInArrow(run, "doc_id long, slots array<int>, values array<float>").toArrow().to_batches():
+        slots, values = b.column("slots"), b.column("values")  # stay arrays: as Python numbers they would take ten times the memory
+        for i, d in enumerate(b.column("doc_id").to_pylist()):
+            rows[d] = (slots[i].values.to_numpy(), values[i].values.to_numpy(), quality[d])
+    return fit([rows[k] for k in sorted(rows, key=lambda k: (k * _R) % 2**64)])
 
 
 def judge(texts: list[bytes], model: Model, keep_at: float = KEEP_AT) -> dict[str, list]:
