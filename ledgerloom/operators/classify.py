@@ -40,10 +40,10 @@ def analysis_set(genre: Column, roster: Column) -> Column:
     return F.when(genre.isin(*PUBLIC_SETS, *COOP_GENRES.values()), genre).otherwise(F.coalesce(private, F.lit("hold")))
 
 
-def classify(details: DataFrame) -> DataFrame:
-    """(account, kind, match_key, detail_response_id, genre ... opponent_counts) for ``match_details`` rows."""
+def classify(details: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(account, kind, match_key, detail_response_id, genre ... opponent_counts) for ``match_details`` rows, and the columns ``keep``."""
     v = F.col("_v")
-    d = details.select("account", "kind", "match_key", "detail_response_id", jsonx.parsed("json_text").alias("_v"))
+    d = details.select("account", "kind", "match_key", "detail_response_id", *keep, jsonx.parsed("json_text").alias("_v"))
     mine = F.size(jsonx.elements(v, "$.myTeam.players"))
     others = jsonx.elements(v, "$.otherTeams")
     counts = F.transform(others, lambda t: F.size(F.try_variant_get(t, "$.players", "array<variant>")))

@@ -35,16 +35,19 @@ def _classes(s: SparkSession, d: str) -> DataFrame:
     return classify.classify(_details(s, d))
 
 
+def _classified(s: SparkSession, d: str) -> DataFrame:
+    return classify.classify(_details(s, d), ("json_text",))
+
+
 @query("SELECT account, rule_raw, 'n_' || rule_raw AS rule_name, count(*) AS matches, count(CASE WHEN judgement = 'WIN' THEN 1 END) AS wins, count(CASE WHEN judgement = 'LOSE' THEN 1 END) AS losses, count(CASE WHEN judgement = 'DRAW' THEN 1 END) AS draws, count(CASE WHEN judgement IS NULL THEN 1 END) AS other FROM cs WHERE analysis_set = 'bankara_open' GROUP BY ALL")
 def by_rule(s, d):
-    return views.by_rule(views.population(_details(s, d), _classes(s, d), "bankara_open"))
+    return views.by_rule(views.population_of(_classified(s, d), "bankara_open"))
 
 
 @query("SELECT account, analysis_set, rule_raw, 'n_' || rule_raw AS rule_name, count(*) AS matches, count(CASE WHEN judgement = 'WIN' THEN 1 END) AS wins, count(CASE WHEN judgement = 'LOSE' THEN 1 END) AS losses, count(CASE WHEN judgement = 'DRAW' THEN 1 END) AS draws, count(CASE WHEN judgement IS NULL THEN 1 END) AS other FROM cs WHERE analysis_set <> 'hold' GROUP BY ALL")
 def rule_results(s, d):
-    c = _classes(s, d)
-    p = _details(s, d).join(c.drop("detail_response_id"), views.KEY).withColumn("judgement", jsonx.text(jsonx.parsed("json_text"), "$.judgement"))
-    return p.where(F.col("analysis_set").isin(*classify.PUBLIC_SETS, *classify.PRIVATE_SETS)).groupBy("account", "analysis_set", "rule_raw", "rule_name").agg(F.count("*").alias("matches"), *[F.count_if(F.col("judgement") == j).alias(n) for j, n in (("WIN", "wins"), ("LOSE", "losses"), ("DRAW", "draws"))], F.count_if(F.col("judgement").isNull()).alias("other"))
+    p = views.population_of(_classified(s, d), *classify.PUBLIC_SETS, *classify.PRIVATE_SETS)
+    return p.groupBy("account", "analysis_set", "rule_raw", "rule_name").agg(F.count("*").alias("matches"), *[F.count_if(F.col("judgement") == j).alias(n) for j, n in (("WIN", "wins"), ("LOSE", "losses"), ("DRAW", "draws"))], F.count_if(F.col("judgement").isNull()).alias("other"))
 
 
 @query("SELECT account, match_key, analysis_set, rule_raw, played AS played_time, judgement FROM cs WHERE analysis_set = 'xmatch'")
@@ -54,7 +57,7 @@ def population_view(s, d):
 
 @query("SELECT cs.account, cs.match_key, tag, note FROM cs LEFT JOIN tg USING (account, match_key) WHERE analysis_set = 'private_other'")
 def population_tagged(s, d):
-    return views.tagged(views.population(_details(s, d), _classes(s, d), "private_other"), fx.tags(s, d)).select("account", "match_key", "tag", "note")
+    return views.tagged(views.population_of(_classified(s, d), "private_other"), fx.tags(s, d)).select("account", "match_key", "tag", "note")
 
 
 @query("SELECT account, match_key, mode AS mode_raw, bankara AS bankara_mode, rule_raw, 'n_' || rule_raw AS rule_name, genre, roster_class, analysis_set, 2::BIGINT AS team_count, mine::BIGINT AS my_player_count, others::BIGINT AS opponents FROM cs")
