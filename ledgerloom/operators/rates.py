@@ -152,6 +152,20 @@ def history_gaps(heads: DataFrame, keys: list[str], order: str, members: str) ->
     return r.withColumn("possible_gap", F.coalesce((F.size("_before") > 0) & (F.size(members) > 0) & ~F.arrays_overlap("_before", members), F.lit(False))).drop("_before")
 
 
+def history_gaps_of_rows(rows: DataFrame, keys: list[str], order: str, member: str) -> DataFrame:
+    """``history_gaps`` from rows of one member each: (keys, order, members as a count, possible_gap).
+
+    No set is collected. A member's own row before is at most as late as the group's, and the same for one that both
+    share; so two rows share a member if the latest of these is the row before. Null members do not count.
+    """
+    pairs = rows.select(*keys, order, member).distinct()
+    last = F.when(F.col(member).isNotNull(), F.lag(F.struct(order)).over(W.partitionBy(*keys, member).orderBy(order)))
+    heads = pairs.withColumn("_last", last).groupBy(*keys, order).agg(F.count(member).alias("members"), F.max("_last").alias("_last"))
+    w = W.partitionBy(*keys).orderBy(order)
+    apart = (F.lag("members").over(w) > 0) & (F.col("members") > 0) & ~F.col("_last").eqNullSafe(F.lag(F.struct(order)).over(w))
+    return heads.withColumn("possible_gap", F.coalesce(apart, F.lit(False))).drop("_last")
+
+
 def weapon_snapshots(responses: DataFrame, fetches: DataFrame) -> DataFrame:
     """(account, weapon_id, metric, value, event_id, fetched_at): up to three metrics of each weapon, at every fetch of its response."""
     v = F.try_parse_json("json_text")

@@ -156,8 +156,8 @@ SELECT event_id, user_id, (row_number() OVER (PARTITION BY user_id, g ORDER BY t
 
 @query()
 def history_gap(s, d):
-    days = fx.read(s, d, "events").where("user_id % 10 = 0").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_set("user_id")).alias("users"))
-    return rates.history_gaps(days, ["event_type"], "day", "users").select("event_type", F.date_format("day", "yyyy-MM-dd").alias("day"), F.size("users").cast("long").alias("users"), "possible_gap")
+    days = fx.read(s, d, "events").select("event_type", F.to_date("ts").alias("day"), "user_id")
+    return rates.history_gaps_of_rows(days, ["event_type"], "day", "user_id").select("event_type", F.date_format("day", "yyyy-MM-dd").alias("day"), F.col("members").alias("users"), "possible_gap")
 
 
 SQL["history_gap"] = """WITH a AS (SELECT event_type, ts::DATE AS day, list(DISTINCT user_id) AS u FROM events WHERE user_id % 10 = 0 GROUP BY ALL),

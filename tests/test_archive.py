@@ -319,3 +319,32 @@ def test_recipes(spark):
     for name, sql in recipes.RECIPES.items():
         n = recipes.ask(spark, name, tables, **{k: v for k, v in args.items() if f":{k}" in sql}).count()
         assert n > 0 or any(t in sql for t in ("rate_points", "assets", "responses", "response_fetches", "FROM jobs")), name
+
+
+def _gaps(rows):
+    """(key, day, members, possible gap) of (key, day, member) rows."""
+    sets = {}
+    for key, day, member in rows:
+        sets.setdefault((key, day), set()).update([] if member is None else [member])
+    out, before = set(), {}
+    for key, day in sorted(sets, key=lambda x: (str(x[0]), x[1] is not None, x[1])):
+        now, last = sets[key, day], before.get(key, set())
+        out.add((key, day, len(now), bool(now and last and not now & last)))
+        before[key] = now
+    return out
+
+
+def test_history_gaps_of_rows(spark):
+    r = random.Random(3)
+    rows = [(r.choice(["a", "b", None]), r.choice([None, 1, 2, 3, 4, 7, 9]), r.choice([None, *range(12)])) for _ in range(70)] + [("c", 1, None), ("c", 2, 5), ("d", None, 1), ("d", 1, 2), ("d", 2, 2)]
+    got = rates.history_gaps_of_rows(spark.createDataFrame(rows, "k string, day int, m int"), ["k"], "day", "m")
+    want = _gaps(rows)
+    assert {tuple(x) for x in got.collect()} == want and {True, False} == {x[3] for x in want}
+
+
+def test_history_gap_counts_all_users(spark):
+    from ledgerloom.plans import registry
+
+    directory = "/root/testdata/sf0.001"
+    events = spark.read.parquet(f"{directory}/events.parquet").selectExpr("event_type", "date_format(ts, 'yyyy-MM-dd')", "user_id")
+    assert {tuple(x) for x in registry.queries()["history_gap"](spark, directory).collect()} == _gaps(map(tuple, events.collect()))
