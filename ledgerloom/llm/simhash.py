@@ -8,7 +8,7 @@ from itertools import chain, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER_BYTES, connected_components, small_batches, stage
@@ -37,16 +37,18 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int((np.uint64(1) << _BITS[2 * ones > len(h)]).sum(dtype=np.uint64)) if (2 * ones > len(h)).any() else 0
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp as a signed long) for every row of ``docs``; null texts and those without words have fp 0."""
+def fingerprints(docs: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, fp as a signed long) and the binary columns ``more`` for every row of ``docs``; null texts and those without words have fp 0."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t or b"") for t in b.column("text").cast(pa.binary()).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64)), *b.columns[2:]], ["doc_id", "fp", *names])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more)
+    names = rows.columns[2:]
+    return rows.mapInArrow(run, ", ".join(["doc_id long, fp long", *[f"{n} binary" for n in names]]))
 
 
 def block_masks(n: int, distance: int = DISTANCE) -> list[int]:
@@ -158,15 +160,19 @@ def components(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     kept; other columns are ignored; an empty table gives no rows; a component of null ids has a null id.
     """
     fps = stage(fingerprints(docs), "fps")
+    return fps.join(_named(fps, distance), "fp").select("doc_id", "fp", "component_id")
+
+
+def _named(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(fp, root, component_id) of every distinct fingerprint: root, a fingerprint, tells components apart that share an id or have none."""
     distinct = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "fp")
     found = stage(links(distinct.select("fp"), distance), "links")
-    small_batches(docs.sparkSession)
+    small_batches(fps.sparkSession)
     roots = connected_components(found, "simhash")
     linked = distinct.join(roots, F.col("fp") == F.col("node"))
     least = linked.groupBy("root").agg(F.min("low").alias("least"))
-    moved = linked.join(least, "root").select("fp", "least")
-    named = stage(distinct.join(moved, "fp", "left").select("fp", F.least("low", "least").alias("component_id")), "component")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    moved = linked.join(least, "root").select("fp", "root", "least")
+    return stage(distinct.join(moved, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.least("low", "least").alias("component_id")), "component")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -174,14 +180,23 @@ def report(docs: DataFrame) -> DataFrame:
     return components(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _row_digest(docs: DataFrame) -> Column:
+    """32 bytes for the whole row; the text's own bytes count too, since JSON replaces those that are not UTF-8."""
+    whole = F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"})
+    return F.unhex(F.sha2(F.concat_ws(" ", F.sha2(whole, 256), F.sha2(F.col("text").cast("binary"), 256)), 256))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The document with the smallest id of each component, as it came; of rows that repeat an id, one."""
-    found = components(docs)
-    keep = stage(found.where("doc_id <=> component_id").select("doc_id").distinct(), "kept")
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    wide = docs.select(key.alias("_key"), F.struct(*docs.columns).alias("_row"))
-    kept = wide.join(keep.select(key.alias("_key")), "_key", "left_semi")
-    n, ids = found.agg(F.count("*"), F.countDistinct(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).first()
-    if n != ids:  # ids repeat: one row for each
-        kept = kept.groupBy("_key").agg(F.first("_row").alias("_row"))
-    return kept.select("_row.*")
+    """One row of each component, as it came: that with the smallest id (null ids last), of those the one with the least digest.
+
+    Rows are known by their digest, so those that repeat an id, or have none, stay apart unless
+    all their columns are equal.
+    """
+    fps = stage(fingerprints(docs, _row_digest(docs).alias("digest")), "fps")
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "digest")
+    keep = stage(fps.join(_named(fps), "fp").groupBy("root").agg(F.min(first).alias("first")).select(F.col("first.digest").alias("_digest")), "kept")
+    wide = docs.select(_row_digest(docs).alias("_digest"), F.struct(*docs.columns).alias("_row"))
+    n, rows = fps.agg(F.count("*"), F.countDistinct("digest")).first()
+    if n != rows:  # equal rows: one of them, taken before the join so that each task passes on one
+        wide = wide.groupBy("_digest").agg(F.first("_row").alias("_row"))
+    return wide.join(keep, "_digest", "left_semi").select("_row.*")

@@ -393,6 +393,17 @@ def test_simhash(spark, awkward, empty):
     assert kept.columns == awkward.columns and kept.count() == kept.select("doc_id").distinct().count()
 
 
+def test_simhash_keeps_one_of_each_component(spark):
+    r = random.Random(4)
+    said = ["".join(r.choice("abcdefgh ") for _ in range(200)) for _ in range(5)]
+    a, b, c, d, e = said
+    rows = [(None, a, 1), (None, b, 1), (None, b, 1), (None, b, 2), (5, c, 1), (5, d, 1), (4, c, 3), (6, e, 1), (None, e, 1), (7, None, 1), (None, "", 1)]
+    g = _groups([_fp(t) for _, t, _ in rows])
+    assert len(set(g)) == 6
+    kept = [tuple(x) for x in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect()]
+    assert Counter(x[:2] for x in kept) == Counter([(None, a), (None, b), (4, c), (5, d), (6, e), (7, None)]) and set(kept) <= set(rows)
+
+
 @pytest.mark.parametrize("limit", [simhash.BLOCK_LIMIT, 1])
 def test_simhash_links_lose_nothing(spark, limit):
     r = random.Random(9)
