@@ -1,4 +1,4 @@
-"""Chat formatting of reply trees: the best root-to-leaf path of each tree becomes one conversation."""
+"""Chat formatting of reply trees: each root-to-leaf path, or the best of each tree, becomes one conversation."""
 
 from __future__ import annotations
 
@@ -45,36 +45,45 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return [(unescape(m[1]), unescape(m[2])) for m in _TURN.finditer(formatted)]
 
 
-def chosen_paths(nodes: DataFrame) -> DataFrame:
-    """The nodes of the best path of each tree: ``nodes`` (tree, node, parent, score) gives (tree, node, depth), root depth 0.
+def ranked_paths(nodes: DataFrame, most: int | None = None) -> DataFrame:
+    """The nodes of root-to-leaf paths: ``nodes`` (tree, node, parent, score) gives (tree, root, leaf, rank, node, depth), root depth 0.
 
     Pointer doubling: self-join i extends every node's jump from 2^i to 2^(i+1) ancestors and
-    sums scores on the way, so a tree of depth d takes log2(d) joins. The leaf with the
-    highest path score wins (ties: the deepest, then the smallest node); the jumps, replayed
-    in reverse from it, mark its ancestors. A parent that is null or absent makes a root.
-    Every join is on (tree, node), so one large tree is dealt over all partitions.
+    sums scores on the way, so a tree of depth d takes log2(d) joins. A parent that is null or
+    absent makes a root. The leaves of each root are ranked from 1 by path score (ties: the
+    deepest, then the smallest node); the paths of the first ``most`` are given, all if None.
+    The jumps, replayed in reverse from each leaf, mark its ancestors. Every join is on
+    (tree, node), so one large tree is dealt over all partitions; only the ranking sorts the
+    leaves of one root (without texts) in one task.
     """
     up = nodes.select("tree", "node", "parent", "score")
     real = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("real"))
-    base = stage(up.join(real, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("real"), F.col("parent")).alias("up"), F.col("score").alias("sum"), F.lit(1).cast("long").alias("len")), "tree")
+    base = up.join(real, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("real"), F.col("parent")).alias("up"), F.col("score").alias("sum"), F.lit(1).cast("long").alias("len"))
+    base = stage(base.withColumn("root", F.when(F.col("up").isNull(), F.col("node"))), "tree")  # known once up is null
     jumps = [base]
     while jumps[-1].where("up is not null").limit(1).count():
         low = jumps[-1]
-        on = low.where("up is not null").withColumnsRenamed({"node": "at", "sum": "sum1", "len": "len1"})  # the others have reached their root
-        far = on.join(low.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), "sum", "len"), ["tree", "up"])
-        far = far.select("tree", F.col("at").alias("node"), F.col("up2").alias("up"), (F.col("sum1") + F.col("sum")).alias("sum"), (F.col("len1") + F.col("len")).alias("len"))
+        on = low.where("up is not null").drop("root").withColumnsRenamed({"node": "at", "sum": "sum1", "len": "len1"})  # the others have reached their root
+        far = on.join(low.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), "sum", "len", "root"), ["tree", "up"])
+        far = far.select("tree", F.col("at").alias("node"), F.col("up2").alias("up"), (F.col("sum1") + F.col("sum")).alias("sum"), (F.col("len1") + F.col("len")).alias("len"), "root")
         jumps.append(stage(far.unionByName(low.where("up is null")), "tree"))
     whole = jumps[-1]
     inner = base.where("up is not null").select("tree", F.col("up").alias("node")).distinct()
-    best = whole.join(inner, ["tree", "node"], "left_anti").groupBy("tree").agg(F.max_by("node", F.struct("sum", "len", -F.col("node"))).alias("node"))
-    path = stage(best, "path")
+    order = W.partitionBy("tree", "root").orderBy(F.col("sum").desc(), F.col("len").desc(), "node")
+    leaves = whole.join(inner, ["tree", "node"], "left_anti").withColumn("rank", F.row_number().over(order).cast("long"))
+    leaves = leaves if most is None else leaves.where(F.col("rank") <= most)
+    path = stage(leaves.select("tree", "root", F.col("node").alias("leaf"), "rank", "node"), "path")
     for jump in reversed(jumps[:-1]):
-        more = path.join(jump.where("up is not null"), ["tree", "node"]).select("tree", F.col("up").alias("node"))
+        more = path.join(jump.where("up is not null").select("tree", "node", "up"), ["tree", "node"]).select("tree", "root", "leaf", "rank", F.col("up").alias("node"))
         new = stage(path.unionByName(more), "path")
         unstage(path)
         path = new
-    out = path.join(whole, ["tree", "node"]).select("tree", "node", (F.col("len") - 1).alias("depth"))
-    return out
+    return path.join(whole.select("tree", "node", "len"), ["tree", "node"]).select("tree", "root", "leaf", "rank", "node", (F.col("len") - 1).alias("depth"))
+
+
+def chosen_paths(nodes: DataFrame) -> DataFrame:
+    """The nodes of the best path of each root, as (tree, node, depth)."""
+    return ranked_paths(nodes, 1).select("tree", "node", "depth")
 
 
 def linear_trees(conversations: DataFrame) -> DataFrame:
@@ -89,17 +98,20 @@ def linear_trees(conversations: DataFrame) -> DataFrame:
     return rows.select("conv_id", tree.alias("tree"), node.alias("node"), F.when(node > 1, node - 1).alias("parent"), F.lit(0.0).alias("score"), "role", "text")
 
 
-def format_trees(nodes: DataFrame) -> DataFrame:
-    """(conv_id, formatted, loss): one row per tree of ``nodes`` (tree, node, parent, score, conv_id, role, text).
+def format_trees(nodes: DataFrame, most: int | None = None) -> DataFrame:
+    """(conv_id, formatted, loss, root, leaf, rank): one row per path of ``nodes`` (tree, node, parent, score, conv_id, role, text).
 
     ``loss`` lists the spans (start, end in code points) that a trainer should learn from.
-    Nodes that are off the chosen path are left out; null roles and texts count as empty.
+    Of each root the ``most`` best paths are taken, all if None (see ``ranked_paths``); null
+    roles and texts count as empty.
     """
     small_batches(nodes.sparkSession)
     nodes = stage(nodes, "nodes")
-    path = chosen_paths(nodes.select("tree", "node", "parent", "score"))
-    turns = nodes.join(path, ["tree", "node"]).groupBy("tree").agg(
+    path = ranked_paths(nodes.select("tree", "node", "parent", "score"), most)
+    turns = nodes.join(path, ["tree", "node"]).groupBy("tree", "leaf").agg(
         F.first("conv_id").alias("conv_id"),
+        F.first("root").cast("long").alias("root"),
+        F.first("rank").alias("rank"),
         F.transform(F.array_sort(F.collect_list(F.struct("depth", "role", "text"))), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"),
     )
 
@@ -107,9 +119,9 @@ def format_trees(nodes: DataFrame) -> DataFrame:
         for b in batches:
             done = [render([(t["role"] or "", t["text"] or "") for t in ts]) for ts in b.column("turns").to_pylist()]
             loss = pa.array([[{"start": s, "end": e} for s, e in m] for _, m in done], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([b.column("conv_id"), pa.array([f for f, _ in done], pa.string()), loss], ["conv_id", "formatted", "loss"])
+            yield pa.RecordBatch.from_arrays([b.column("conv_id"), pa.array([f for f, _ in done], pa.string()), loss, *b.columns[2:]], ["conv_id", "formatted", "loss", "root", "leaf", "rank"])
 
-    return turns.select("conv_id", "turns").mapInArrow(run, "conv_id long, formatted string, loss array<struct<start: long, end: long>>")
+    return turns.select("conv_id", "turns", "root", F.col("leaf").cast("long"), "rank").mapInArrow(run, "conv_id long, formatted string, loss array<struct<start: long, end: long>>, root long, leaf long, rank long")
 
 
 def digest(formatted: DataFrame) -> DataFrame:

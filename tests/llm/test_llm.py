@@ -481,6 +481,31 @@ def test_best_paths(spark):
     assert {tuple(x) for x in got.collect()} == want
 
 
+def test_every_path_is_a_conversation(spark):
+    r = random.Random(5)
+    rows, want = [], set()
+    for tree in range(6):
+        n = r.randint(2, 20)
+        parent = [None] + [r.randrange(i) if r.random() < 0.8 else 99 for i in range(1, n)]  # 99 is a lost message
+        score = [float(r.randint(0, 3)) for _ in range(n)]
+        rows += [(str(tree), i, parent[i], score[i], tree, "user", f"m{i}") for i in range(n)]
+
+        def path(i, parent=parent):
+            return [] if i in (None, 99) else path(parent[i]) + [i]
+
+        paths = defaultdict(list)
+        for i in set(range(n)) - set(parent):
+            paths[path(i)[0]].append(path(i))
+        for root, ps in paths.items():
+            ps.sort(key=lambda p: (-sum(score[j] for j in p), -len(p), p[-1]))
+            want |= {(tree, root, p[-1], k, tuple(f"m{j}" for j in p)) for k, p in enumerate(ps, 1)}
+    nodes = spark.createDataFrame(rows, "tree string, node long, parent long, score double, conv_id long, role string, text string")
+    for most in (None, 1, 2):
+        got = chat.format_trees(nodes, most).collect()
+        chosen = {x for x in want if most is None or x[3] <= most}
+        assert len(got) == len(chosen) and {(x["conv_id"], x["root"], x["leaf"], x["rank"], tuple(t for _, t in chat.parse(x["formatted"]))) for x in got} == chosen
+
+
 # -- queries and pipeline -----------------------------------------------------------------------------------------
 
 
