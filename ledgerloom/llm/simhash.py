@@ -124,14 +124,16 @@ def _large_blocks(keyed: DataFrame, distance: int) -> DataFrame:
     is sent to all values within half the distance that keep its block's key, and is linked to
     the least that came to the same value: linear in the size of the block, and no link is lost.
     Pairs that only share a value are at most ``distance`` apart, so no link is added either.
+    Of an odd distance the larger half is sent, and the least is taken of those within the smaller.
     """
     bit = lambda c: F.when(F.col(c) < 64, F.expr(f"shiftleft(1L, cast({c} as int))")).otherwise(F.lit(0).cast("long"))
     near = keyed.select("mask", "fp", F.col("fp").alias("at"), F.lit(-1).alias("p"))
-    for _ in range(distance // 2):  # one more bit, above the last, or (64) none
+    for _ in range(distance - distance // 2):  # one more bit, above the last, or (64) none
         near = near.select("mask", "fp", "at", F.explode(F.sequence(F.least(F.col("p") + 1, F.lit(64)), F.lit(64))).alias("p"))
         near = near.where(bit("p").bitwiseAND(F.col("mask")) == 0).select("mask", "fp", F.col("at").bitwiseXOR(bit("p")).alias("at"), "p")
     at = near.select("mask", "fp", "at")
-    low = at.groupBy("mask", "at").agg(F.min("fp").alias("low"))
+    close = at.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("at"))) <= distance // 2) if distance % 2 else at
+    low = close.groupBy("mask", "at").agg(F.min("fp").alias("low"))
     return at.join(low, ["mask", "at"]).where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
 
 

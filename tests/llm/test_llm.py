@@ -426,6 +426,27 @@ def test_simhash_links_lose_nothing(spark, limit):
     assert root == _groups(fps)
 
 
+@pytest.mark.parametrize("distance", [1, 3])
+def test_simhash_odd_distance_in_large_blocks(spark, distance):
+    r = random.Random(distance)
+    fps = []
+    for _ in range(6):
+        f = r.getrandbits(63)
+        fps.append(f)
+        for n in (distance, distance, distance + 1):
+            for b in r.sample(range(63), n):
+                f ^= 1 << b
+            fps.append(f)
+    links = simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long"), distance, 1).collect()
+    assert all((a ^ b).bit_count() <= distance for a, b in links)
+    root = {x: x for x in fps}
+    for a, b in links:
+        x, y = root[a], root[b]
+        root = {k: min(x, y) if z == max(x, y) else z for k, z in root.items()}
+    same = lambda g: {frozenset(i for i in range(len(g)) if g[i] == x) for x in g}
+    assert same([root[x] for x in fps]) == same(_groups(fps, distance))
+
+
 # -- 9 tokens -----------------------------------------------------------------------------------------------------
 
 
