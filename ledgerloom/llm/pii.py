@@ -212,7 +212,8 @@ class Tagger:
 
         Windows overlap by half, and each position takes its label from the window whose middle
         it is in; a span goes on over the seam between two windows. Only spans that hold a digit
-        or an @ are of use (see ``accepted``), so windows without any are all outside; no span is lost by that.
+        or an @ are of use (see ``accepted``), so windows without any are all outside; a span
+        that reaches from a decoded window into such a one is cut at the seam.
         """
         all_codes = [codes(t) for t in texts]
         labels = [np.zeros(len(c), np.int8) for c in all_codes]
