@@ -4,7 +4,8 @@ A batch of documents is turned into a sorted array of its sampled suffixes. Samp
 every window of ``LENGTH`` bytes, the least-hashed ``GRAM``-byte gram in it, so two copies of a
 window sample the same gram; neighbouring windows with the same gram are one segment, whose
 key is (hash of the gram, hash of the bytes that its windows span). Sorted by key, the
-suffixes of a batch are its array; arrays are merge-scanned level by level. A segment that
+suffixes of a batch are its array; the levels are folded into one array a bucket, in which
+every batch is looked up (``IndexFamily.scan`` is not on this path). A segment that
 an earlier document has in full is removed as a whole; where only the gram is shared,
 single windows are compared in a second round, by the same arrays and levels.
 """
