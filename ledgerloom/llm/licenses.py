@@ -115,21 +115,24 @@ def chain(matches: list[tuple[int, int, list[tuple[int, int]]]], sizes: list[int
     Matches (start, end, ends in templates) come in order of their start; a chain takes the next
     match that goes on in text and template with at most ``gap`` words between.
     """
-    open_: dict[int, list[list[int]]] = {}
+    all_: dict[int, list[list[int]]] = {}
+    open_: dict[int, list[list[int]]] = {}  # without those that ended over ``gap`` words before: later matches start no earlier
     for start, end, ends in matches:
         for k, t_end in ends:
             n = end - start
             best = None
-            for c in open_.setdefault(k, [])[-16:]:  # [first, end, covered, template end]
+            open_[k] = [c for c in open_.get(k, ()) if start - c[1] <= gap]
+            for c in open_[k]:  # [first, end, covered, template end]
                 over = max(0, c[1] - start)
-                if start - c[1] <= gap and end > c[1] and -gap <= t_end - n + over - c[3] <= gap and t_end > c[3] and (best is None or c[2] > best[2]):
+                if end > c[1] and -gap <= t_end - n + over - c[3] <= gap and t_end > c[3] and (best is None or c[2] > best[2]):
                     best = c
             if best is None:
                 open_[k].append([start, end, n, t_end])
+                all_.setdefault(k, []).append(open_[k][-1])
             else:
                 best[2] += min(end - max(start, best[1]), t_end - best[3])
                 best[1], best[3] = end, t_end
-    return {k: [(a, b, min(n, sizes[k])) for a, b, n, _ in cs] for k, cs in open_.items()}
+    return {k: [(a, b, min(n, sizes[k])) for a, b, n, _ in cs] for k, cs in all_.items()}
 
 
 class Scanner:

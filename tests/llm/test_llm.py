@@ -350,6 +350,12 @@ def test_index_family():
     assert {(int(h), int(x)): int(d) for h, x, d in zip(whole.high, whole.low, whole.doc, strict=True)} == all_
 
 
+def test_license_chain_is_found_among_many():
+    apart = [(10 + i // 10, 16 + i // 10, [(0, 1000 + 100 * i)]) for i in range(40)]  # each opens a chain of its own
+    chains = licenses.chain([(0, 10, [(0, 10)]), *apart, (14, 30, [(0, 30)])], [10_000], 20)[0]
+    assert len(chains) == 41 and chains[0] == (0, 30, 26)
+
+
 # -- 8 simhash ----------------------------------------------------------------------------------------------------
 
 
