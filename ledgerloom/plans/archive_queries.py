@@ -160,7 +160,7 @@ def history_gap(s, d):
     return rates.history_gaps_of_rows(days, ["event_type"], "day", "user_id").select("event_type", F.date_format("day", "yyyy-MM-dd").alias("day"), F.col("members").alias("users"), "possible_gap")
 
 
-SQL["history_gap"] = """WITH a AS (SELECT event_type, ts::DATE AS day, list(DISTINCT user_id) AS u FROM events WHERE user_id % 10 = 0 GROUP BY ALL),
+SQL["history_gap"] = """WITH a AS (SELECT event_type, ts::DATE AS day, list(DISTINCT user_id) AS u FROM events GROUP BY ALL),
 b AS (SELECT *, lag(u) OVER (PARTITION BY event_type ORDER BY day) AS p FROM a)
 SELECT event_type, strftime(day, '%Y-%m-%d') AS day, len(u)::BIGINT AS users, coalesce(NOT list_has_any(p, u), FALSE) AS possible_gap FROM b"""
 
