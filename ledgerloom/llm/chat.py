@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage, unstage
+from ..functions.shipping import ship
+from .common import pieces, stage, unstage
 
 #: Fixed control strings of the template.
 START, END = "<|im_start|>", "<|im_end|>"
@@ -105,7 +106,7 @@ def format_trees(nodes: DataFrame, most: int | None = None) -> DataFrame:
     Of each root the ``most`` best paths are taken, all if None (see ``ranked_paths``); null
     roles and texts count as empty.
     """
-    small_batches(nodes.sparkSession)
+    ship(nodes.sparkSession)
     nodes = stage(nodes, "nodes")
     path = ranked_paths(nodes.select("tree", "node", "parent", "score"), most)
     turns = nodes.join(path, ["tree", "node"]).groupBy("tree", "leaf").agg(
@@ -116,7 +117,7 @@ def format_trees(nodes: DataFrame, most: int | None = None) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             done = [render([(t["role"] or "", t["text"] or "") for t in ts]) for ts in b.column("turns").to_pylist()]
             loss = pa.array([[{"start": s, "end": e} for s, e in m] for _, m in done], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
             yield pa.RecordBatch.from_arrays([b.column("conv_id"), pa.array([f for f, _ in done], pa.string()), loss, *b.columns[2:]], ["conv_id", "formatted", "loss", "root", "leaf", "rank"])
@@ -128,7 +129,7 @@ def digest(formatted: DataFrame) -> DataFrame:
     """What can be read back from ``format_trees``: turn and loss digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             texts, masks = b.column("formatted").to_pylist(), b.column("loss").to_pylist()
             turns = [parse(t) for t in texts]
             learnt = ["".join(unescape(t[s["start"] : s["end"]]) for s in m) for t, m in zip(texts, masks, strict=True)]

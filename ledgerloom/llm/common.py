@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,14 +27,29 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Whole texts travel to Python in Arrow batches of at most so many rows."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def pieces(batches: Iterable[pa.RecordBatch], most: int = 1 << 20, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Slices of Arrow batches with at most ``most`` bytes of text and ``rows`` rows (a longer text is alone).
+
+    Spark bounds the batches themselves, by ``spark.sql.execution.arrow.maxBytesPerBatch``; what Python
+    builds from a batch is many times larger, so tasks work on slices. No setting of the session is changed.
+    """
+    for b in batches:
+        size = np.zeros(len(b), np.int64)
+        for c in b.columns:
+            if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+                size += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+            elif pa.types.is_nested(c.type):
+                size += c.nbytes // max(1, len(b))
+        upto, at = np.cumsum(size), 0
+        while at < len(b):
+            end = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right"))
+            end = min(max(end, at + 1), at + rows, len(b))
+            yield b.slice(at, end - at)
+            at = end
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a local one where none is set."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Only a local session may do without the setting."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -37,27 +57,52 @@ def shared_dir(spark: SparkSession) -> str:
     made = sc._jsc.sc().getCheckpointDir()
     if made.isDefined():
         return made.get().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+_staged: dict[str, tuple] = {}
+
+
+def _delete(path: str) -> None:
+    jvm, conf = _staged.pop(path)
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(conf).delete(p, True)
+
+
+@atexit.register
+def _delete_all() -> None:
+    """Tables behind results that were handed out may be read until the driver ends."""
+    for path in list(_staged):
+        try:
+            _delete(path)
+        except Exception:  # the JVM has gone
+            return
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once into the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write ``df`` once into the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    What ``unstage`` has not deleted before is deleted when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ledgerloom-{name}-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    _staged[path] = sc._jvm, sc._jsc.hadoopConfiguration()
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._ledgerloom_path = path
     return out
 
 
-def unstage(df: DataFrame) -> None:
+def unstage(*frames: DataFrame) -> None:
     """Delete what ``stage`` wrote, once nothing reads it any more."""
-    path = getattr(df, "_ledgerloom_path", None)
-    if path:
-        sc = df.sparkSession.sparkContext
-        p = sc._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+    for df in frames:
+        path = getattr(df, "_ledgerloom_path", None)
+        if path in _staged:
+            _delete(path)
 
 
 def broadcast_if(df: DataFrame, rows: int, most: int = 100_000) -> DataFrame:

@@ -10,7 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, WORD_ALNUM, small_batches, stage
+from ..functions.shipping import ship
+from .common import LOWER, UPPER, WORD_ALNUM, pieces, stage
 
 WINDOW = 13
 #: Most benchmark words that are broadcast at a time; a larger benchmark is scanned in several passes.
@@ -106,7 +107,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = No
     Items with a null id hit words but are not listed; an empty benchmark hits nothing.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    ship(spark)
     keep = keep or docs.columns
     out = docs.select(F.struct(*keep).alias("row"), F.col("text").cast("string").alias("text"), F.lit(None).cast("struct<n_words: long, hits: array<struct<start: long, end: long>>, items: array<string>>").alias("bench"))
     blocks = list(range(_n_blocks(benchmark, block_words)))
@@ -117,7 +118,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = No
         out = stage(out, "bench") if k else out
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in pieces(batches):
                 docs = [words_of(t) for t in _texts(b)]
                 found = []
                 for (mask, items), before in zip(shared.value.scan(docs), b.column("bench").to_pylist(), strict=True):

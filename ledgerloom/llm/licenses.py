@@ -9,7 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from ..functions.shipping import ship
+from .common import pieces
 
 #: Fixed phrases of the contract, and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -185,11 +186,11 @@ def report(docs: DataFrame, scanner: Scanner | None = None, cover: float = COVER
     ignored; an empty table gives no rows. Memory: one Arrow batch and the automaton.
     """
     shared = docs.sparkSession.sparkContext.broadcast(scanner or Scanner())
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     span = pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("coverage", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             found = shared.value.scan([t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()])
             long = [[s for s in f["spans"] if s[3] >= cover] for f in found]
             yield pa.RecordBatch.from_pydict({

@@ -4,23 +4,32 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from ..functions.shipping import ship
+from .common import pieces
+from .pii_examples import Maker
 
 KINDS = ("email", "ip", "card", "phone")
 #: Length and step of the windows that are decoded; every position is read from the window it is most central in.
 WINDOW, STEP = 128, 64
-#: Most documents, and windows, that the model is fitted on; units of each direction.
-SAMPLE_DOCS, SAMPLE_WINDOWS, TRAIN_WINDOW, HIDDEN = 2000, 1280, 64, 16
+EDGE = (WINDOW - STEP) // 2
+#: Most documents that windows to fit on are taken from, windows labelled by the rules, made examples; length of these; units of each direction.
+SAMPLE_DOCS, SAMPLE_WINDOWS, EXAMPLES, TRAIN_WINDOW, HIDDEN = 2000, 768, 2304, 80, 16
 LABELS = 1 + 2 * len(KINDS)  # none, then begin and inside of each kind
 
 _ANCHOR = re.compile("[0-9@]")
+_AT = re.compile(r"[(\[{<] ?[aA][tT] ?[)\]}>]")
+_DOT = re.compile(r"[(\[{<] ?(?:[dD][oO][tT]|\.) ?[)\]}>]")
+_ADDRESS = re.compile(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)+")
+_FOUR = re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 #: A match can only begin where a run of digits does, which keeps long runs linear.
@@ -170,7 +179,7 @@ class Tagger:
             np.add.at(g["move"], (y[t - 1], y[t]), np.float32(-1 / b))
         np.put_along_axis(de, y[:, :, None].astype(np.int64), np.take_along_axis(de, y[:, :, None].astype(np.int64), 2) - np.float32(1 / b), 2)
         g["first"], g["bias"] = de[0].sum(0), de.sum((0, 1))
-        n = HIDDEN
+        n, one = HIDDEN, np.eye(CLASSES, dtype=de.dtype)
         for d, h, saved in (("f", hf, sf), ("b", hb, sb)):
             g[f"v{d}"] = np.tensordot(h, de, ((0, 1), (0, 1)))
             from_out = de @ self.p[f"v{d}"].T
@@ -180,12 +189,12 @@ class Tagger:
                 dc = dc + dh * s[:, 2 * n :] * (1 - tc * tc)
                 dz = np.concatenate([dc * gate, dc * c0, dh * tc], 1) * s * (1 - s)
                 dz = np.concatenate([dz, dc * s[:, :n] * (1 - gate * gate)], 1)
-                np.add.at(g[f"x{d}"], x[t], dz)
+                g[f"x{d}"] += one[x[t]].T @ dz
                 g[f"u{d}"] += h0.T @ dz
                 dh, dc = dz @ self.p[f"u{d}"].T, dc * s[:, n : 2 * n]
         return float((z - gold).mean()), g
 
-    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 160, batch: int = 128) -> Tagger:
+    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 240, batch: int = 96) -> Tagger:
         """Adam on batches of windows x, labels y (both windows by positions)."""
         if not len(x):
             self.p["bias"][0] = 50  # nothing to learn from: no span anywhere
@@ -207,38 +216,54 @@ class Tagger:
                 self.p[k] -= (rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
         return self
 
-    def spans(self, texts: list[str], block: int = 512) -> list[list[tuple[str, int, int]]]:
-        """Spans (kind, start, end) that the network finds in each whole text.
+    def spans(self, texts: list[str], block: int = 512, every: bool = False) -> list[list[tuple[str, int, int]]]:
+        """Spans (kind, start, end) that the network finds in each whole text and that hold a mark.
 
         Windows overlap by half, and each position takes its label from the window whose middle
-        it is in; a span goes on over the seam between two windows. Only spans that hold a digit
-        or an @ are of use (see ``accepted``), so windows without any are all outside; a span
-        that reaches from a decoded window into such a one is cut at the seam.
+        it is in; a span goes on over the seam between two windows. Decoding starts at the windows
+        of marks (digits, @ and written-out forms of it), without which no span is accepted, and goes
+        on to the neighbour wherever a label reaches the seam, so the spans are those that decoding
+        all windows (``every``) gives.
         """
         all_codes = [codes(t) for t in texts]
         labels = [np.zeros(len(c), np.int8) for c in all_codes]
+        count = [max(1, -(-(len(c) - WINDOW) // STEP) + 1) for c in all_codes]
+        done = [np.zeros(n, bool) for n in count]
         jobs = []
-        for i, c in enumerate(all_codes):
-            marks = np.flatnonzero((c == _CLASS[48]) | (c == _CLASS[64]))
-            if len(marks):
-                first = np.unique(np.concatenate([marks // STEP, np.maximum(marks // STEP - 1, 0)]))
-                jobs += [(i, int(k) * STEP) for k in first]
-        for j in range(0, len(jobs), block):
-            part = jobs[j : j + block]
-            x = np.zeros((WINDOW, len(part)), np.uint8)
-            for k, (i, s) in enumerate(part):
-                x[: len(all_codes[i]) - s, k] = all_codes[i][s : s + WINDOW]
-            path = self.decode(x)
-            edge = (WINDOW - STEP) // 2
-            for k, (i, s) in enumerate(part):
-                lo = 0 if s == 0 else edge
-                hi = WINDOW if s + WINDOW >= len(labels[i]) else WINDOW - edge
-                hi = min(hi, len(labels[i]) - s)
-                if hi > lo:
-                    labels[i][s + lo : s + hi] = path[lo:hi, k]
+        for i, (t, c) in enumerate(zip(texts, all_codes, strict=True)):
+            k = np.arange(count[i]) if every else np.unique(np.clip((marks(t, c) - EDGE) // STEP, 0, count[i] - 1))
+            jobs += [(i, int(x)) for x in k]
+        while jobs:
+            more = set()
+            for i, k in jobs:
+                done[i][k] = True
+            for j in range(0, len(jobs), block):
+                part = jobs[j : j + block]
+                x = np.zeros((WINDOW, len(part)), np.uint8)
+                for n, (i, k) in enumerate(part):
+                    c = all_codes[i][k * STEP : k * STEP + WINDOW]
+                    x[: len(c), n] = c
+                path = self.decode(x)
+                for n, (i, k) in enumerate(part):
+                    y = labels[i]
+                    lo, hi = k * STEP + EDGE if k else 0, (k + 1) * STEP + EDGE if k < count[i] - 1 else len(y)
+                    y[lo:hi] = path[lo - k * STEP : hi - k * STEP, n]
+                    if k and y[lo : lo + 1].any() and y[lo] % 2 == 0 and not done[i][k - 1]:
+                        more.add((i, k - 1))
+                    if k < count[i] - 1 and y[hi - 1] and not done[i][k + 1]:
+                        more.add((i, k + 1))
+            jobs = sorted(more)
         return [_spans_of(y) for y in labels]
 
 
+def marks(text: str, c: np.ndarray | None = None) -> np.ndarray:
+    """Places of digits, of @, and of the written-out forms of it."""
+    c = codes(text) if c is None else c
+    plain = np.flatnonzero((c == _CLASS[48]) | (c == _CLASS[64]))
+    said = [m.start() for m in _AT.finditer(text)]
+    return np.concatenate([plain, np.array(said, np.int64)]) if said else plain
+
+
 def _spans_of(y: np.ndarray) -> list[tuple[str, int, int]]:
     if not y.any():
         return []
@@ -258,74 +283,112 @@ def label_path(length: int, spans: dict[str, list[Span]]) -> np.ndarray:
 
 
 def accepted(text: str, kind: str, start: int, end: int) -> tuple[str, int, int] | None:
-    """The span without outer blanks and stops, if it looks like its kind at all; else None."""
+    """The span without outer blanks and stops, if it can be of its kind once written-out signs and blanks are taken back; else None."""
     while start < end and text[start] in " \t\r\n.,;:)":
         start += 1
     while end > start and text[end - 1] in " \t\r\n.,;:(-":
         end -= 1
     s = text[start:end]
-    digits = len(_DIGITS.findall(s))
-    fine = {"email": s.count("@") == 1 and len(s) >= 6 and not s.startswith("@"), "ip": s.count(".") == 3 and digits >= 4, "card": 13 <= digits <= 19, "phone": 8 <= digits <= 15}[kind]
+    digits = "".join(_DIGITS.findall(s))
+    plain = _DOT.sub(".", _AT.sub("@", s)).replace(" ", "")
+    if kind == "email":
+        fine = _ADDRESS.fullmatch(plain) is not None
+    elif kind == "ip":
+        fine = _FOUR.fullmatch(plain) is not None and _is_ip(plain)
+    elif kind == "card":
+        fine = 15 <= len(digits) <= 19 and luhn(digits)
+    else:
+        fine = 8 <= len(digits) <= 15 and (s[0] == "+" or len(set(s) & set(" ().-/\u00a0")) > 0) and s[-1] in "0123456789"
     return (kind, start, end) if fine and "\n" not in s else None
 
 
 def find(texts: list[str], model: Tagger) -> list[tuple[dict[str, list[Span]], list[tuple[str, int, int]]]]:
-    """For each text the base spans, and all spans in order of kind and start; the model's count where no other span is."""
+    """For each text the base spans, and all spans in order of kind and start; the model's count where no base span is."""
     out = []
     base = [base_spans(t) for t in texts]
-    some = [i for i, t in enumerate(texts) if _ANCHOR.search(t)]
+    some = [i for i, t in enumerate(texts) if _ANCHOR.search(t) or _AT.search(t)]
     added = dict(zip(some, model.spans([texts[i] for i in some]), strict=True))
     for i, t in enumerate(texts):
         spans = [(k, s, e) for k in KINDS for s, e in base[i][k]]
-        taken = sorted((s, e) for _, s, e in spans)
+        taken = Taken((s, e) for _, s, e in spans)
         extra = []
         for kind, s, e in added.get(i, ()):
-            if (a := accepted(t, kind, s, e)) and not _meets(taken, a[1], a[2]):
+            if (a := accepted(t, kind, s, e)) and not taken.meets(a[1], a[2]):
                 extra.append(a)
         out.append((base[i], sorted(spans + extra, key=lambda x: (KINDS.index(x[0]), x[1]))))
     return out
 
 
-def _meets(taken: list[Span], start: int, end: int) -> bool:
-    from bisect import bisect_left
+class Taken:
+    """Some spans, which may overlap, ready to be asked whether a place meets any of them."""
+
+    def __init__(self, spans: Iterable[Span]):
+        self.spans = sorted(spans)
+        self.reach = list(accumulate((e for _, e in self.spans), max))
+
+    def meets(self, start: int, end: int) -> bool:
+        k = bisect_left(self.spans, (end, -1))  # those that begin before the end
+        return k > 0 and self.reach[k - 1] > start
 
-    k = bisect_left(taken, (end, -1))
-    return any(e > start for _, e in taken[max(0, k - 8) : k])
+
+def examples(plain: list[str], n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows and labels of ``n`` made examples, set into stretches of clean text."""
+    maker = Maker(seed)
+    x, y = np.zeros((n, TRAIN_WINDOW), np.uint8), np.zeros((n, TRAIN_WINDOW), np.int8)
+    for i in range(n):
+        text, spans = maker.example(plain[i % len(plain)], TRAIN_WINDOW)
+        x[i, : len(text)] = codes(text)
+        y[i, : len(text)] = label_path(len(text), {k: [(s, e) for kind, s, e in spans if kind == k] for k in KINDS})
+    return x, y
 
 
 def train(docs: DataFrame) -> Tagger:
-    """A tagger fitted on windows around base spans, and around digits that are none, of a bounded sample.
+    """A tagger fitted on made examples with known spans, and on windows that the rules label.
 
-    The sample: of the documents with a digit or an @, the ``SAMPLE_DOCS`` whose ids have the
-    lowest hashes, at most 8 windows of each, and of those ``SAMPLE_WINDOWS`` windows.
+    The sample: of the documents, those whose ids have the lowest hashes, so many that some
+    ``SAMPLE_DOCS`` with a digit or an @ may be among them; at most 8 windows around base spans and
+    other digits of each, of these ``SAMPLE_WINDOWS``; and stretches without either, into which
+    ``EXAMPLES`` made ones are set. One scan; what reaches the driver is bounded by these numbers.
     """
-    text = F.col("text")
-    ids = docs.where(text.rlike("[0-9@]")).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
+    n = docs.count()
+    if not n:
+        return Tagger().fit(np.zeros((0, TRAIN_WINDOW), np.uint8), np.zeros((0, TRAIN_WINDOW), np.int8))
+    h = F.xxhash64(F.col("doc_id").cast("string"))
+    least = F.lit(int(-(1 << 63) + min(1.0, 8 * SAMPLE_DOCS / n) * ((1 << 64) - 1)) if n > 8 * SAMPLE_DOCS else (1 << 63) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            xs, ys = [], []
-            for t in b.column("text").to_pylist():
+        for b in pieces(batches):
+            out = {"h": [], "x": [], "y": [], "plain": []}
+            for h, t in zip(b.column("h").to_pylist(), b.column("text").to_pylist(), strict=True):
                 c, spans = codes(t), base_spans(t)
                 y = label_path(len(c), spans)
                 places = [s for k in KINDS for s, _ in spans[k][:2]][:8]
                 places += [m.start() for _, m in zip(range(2), _DIGITS.finditer(t), strict=False) if not y[m.start()]][: 8 - len(places)]
-                for n, s in enumerate(places):
-                    s = max(0, s - 7 - (s * 31 + n * 17) % 40)
+                rows = []
+                for i, s in enumerate(places):
+                    s = max(0, s - 7 - (s * 31 + i * 17) % 40)
                     x, z = np.zeros(TRAIN_WINDOW, np.uint8), np.zeros(TRAIN_WINDOW, np.int8)
                     part = slice(s, s + TRAIN_WINDOW)
                     x[: len(c[part])], z[: len(c[part])] = c[part], y[part]
-                    xs.append(x.tobytes())
-                    ys.append(z.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.binary()), pa.array(ys, pa.binary())], ["x", "y"])
-
-    if not ids:
-        return Tagger().fit(np.zeros((0, TRAIN_WINDOW), np.uint8), np.zeros((0, TRAIN_WINDOW), np.int8))
-    some = docs.select("doc_id", "text").where(F.col("doc_id").isin([r[0] for r in ids]) & text.isNotNull())
-    rows = some.mapInArrow(run, "x binary, y binary").orderBy(F.xxhash64("x", "y"), "x").limit(SAMPLE_WINDOWS).collect()
-    grid = lambda k, t: np.frombuffer(b"".join(bytes(r[k]) for r in rows), t).reshape(-1, TRAIN_WINDOW)
-    return Tagger().fit(grid("x", np.uint8), grid("y", np.int8))
+                    rows.append((x.tobytes(), z.tobytes(), None))
+                clean = max(re.split("[0-9@]", t), key=len)
+                if len(clean) > 40:
+                    rows.append((None, None, clean[len(clean) // 3 :][:TRAIN_WINDOW]))
+                for r in rows:
+                    for k, v in zip(out, (h, *r), strict=True):
+                        out[k].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out["h"], pa.int64()), pa.array(out["x"], pa.binary()), pa.array(out["y"], pa.binary()), pa.array(out["plain"], pa.string())], list(out))
+
+    some = docs.select(h.alias("h"), "text").where((F.col("h") <= least) & F.col("text").isNotNull())
+    marked = some.where(F.col("text").rlike("[0-9@]")).mapInArrow(run, "h long, x binary, y binary, plain string")
+    rows = marked.orderBy("h", "x", "plain").limit(9 * SAMPLE_DOCS).collect()
+    own = sorted({(bytes(r["x"]), bytes(r["y"])) for r in rows if r["x"] is not None}, key=lambda r: hashlib.md5(r[0]).digest())[:SAMPLE_WINDOWS]
+    grid = lambda k, t: np.frombuffer(b"".join(r[k] for r in own), t).reshape(-1, TRAIN_WINDOW)
+    plain = sorted({r["plain"] for r in rows if r["plain"]}) or ["and so it goes on for a while with nothing of note in it at all"]
+    x, y = examples(plain, EXAMPLES, 5)
+    return Tagger().fit(np.concatenate([grid(0, np.uint8), x]), np.concatenate([grid(1, np.int8), y]))
 
 
 def _joined(spans: list[tuple[str, int, int]]) -> str:
@@ -339,10 +402,10 @@ def report(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
     other columns are ignored; an empty table gives no rows. Memory: one Arrow batch and ``block`` windows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model or train(docs))
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             found = find([t or "" for t in b.column("text").to_pylist()], shared.value)
             cols = {"doc_id": b.column("doc_id")} | {f"n_{k}": pa.array([len(f[k]) for f, _ in found], pa.int64()) for k in KINDS}
             base = [_joined([(k, s, e) for k in KINDS for s, e in f[k]]) for f, _ in found]
@@ -366,11 +429,11 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
 def redacted(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
     """The documents with their spans replaced, n_chars (if there is one) counted anew; null texts stay null."""
     shared = docs.sparkSession.sparkContext.broadcast(model or train(docs))
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     names, schema = docs.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             texts = b.column("text").to_pylist()
             found = find([t or "" for t in texts], shared.value)
             new = [None if t is None else redact(t, s) if s else t for t, (_, s) in zip(texts, found, strict=True)]

@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from ..functions.shipping import ship
+from .common import pieces
 
 #: Fixed values of the contract.
 SYMBOLS = b"#*$%&|<>"
@@ -206,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     quality = {r["doc_id"]: int(r["quality"]) for r in some}  # at most `sample` ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             ids, texts = b.column("doc_id").to_pylist(), _bytes(b)
             slots, values = [[] for _ in ids], [[] for _ in ids]
             for k, (slot, lo, hi) in enumerate(features(Grid(texts)) if texts else []):
@@ -242,12 +243,12 @@ def report(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> Da
     are ignored; an empty table gives no rows; without usable labels only the base rules decide.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    ship(spark)
     shared = spark.sparkContext.broadcast(model or train(docs, labels))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             j = judge(_bytes(b), shared.value)
             cols = {"doc_id": b.column("doc_id")} | {n: pa.array([c[i] for c in j["counts"]], pa.int64()) for i, n in enumerate(names)}
             cols |= {"base_failed": pa.array(j["failed"], pa.bool_()), "probability": pa.array(j["p"], pa.float64()), "kept": pa.array(j["kept"], pa.bool_())}
@@ -258,11 +259,11 @@ def report(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> Da
 
 def kept_documents(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
     """The documents that are kept, as they came."""
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model or train(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             yield b.filter(pa.array(judge(_bytes(b), shared.value)["kept"], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -11,7 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, connected_components, small_batches, stage
+from ..functions.shipping import ship
+from .common import LOWER_BYTES, connected_components, pieces, stage
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 #: Fingerprints that one block may hold to be compared in a task; those of larger blocks meet at their close variants instead.
@@ -39,10 +40,10 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, *more: Column) -> DataFrame:
     """(doc_id, fp as a signed long) and the binary columns ``more`` for every row of ``docs``; null texts and those without words have fp 0."""
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             fps = np.array([fingerprint(t or b"") for t in b.column("text").cast(pa.binary()).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64)), *b.columns[2:]], ["doc_id", "fp", *names])
 
@@ -145,7 +146,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE, block_limit: int = BLOC
     sizes = keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).where(F.col("n") > block_limit).select("mask", "key")
     sizes = stage(sizes, "blocks")
     n = sizes.count()
-    small_batches(spark, 10_000)
+    ship(spark)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     if not n:
         return _small_blocks(keyed.repartition(parts, "mask", "key").sortWithinPartitions("mask", "key"), distance)
@@ -169,7 +170,7 @@ def _named(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(fp, root, component_id) of every distinct fingerprint: root, a fingerprint, tells components apart that share an id or have none."""
     distinct = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "fp")
     found = stage(links(distinct.select("fp"), distance), "links")
-    small_batches(fps.sparkSession)
+    ship(fps.sparkSession)
     roots = connected_components(found, "simhash")
     linked = distinct.join(roots, F.col("fp") == F.col("node"))
     least = linked.groupBy("root").agg(F.min("low").alias("least"))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 pytest.importorskip("ledgerloom.llm")
-from ledgerloom.llm import chat, common, decontaminate, licenses, mixing, pii, quality, queries, simhash, suffixes, tokens, urls  # noqa: E402
+from ledgerloom.llm import chat, common, decontaminate, licenses, mixing, pii, pii_examples, quality, queries, simhash, suffixes, tokens, urls  # noqa: E402
 
 DIR = "/root/testdata/sf0.001"
 COLS = "doc_id long, text string, source string, lang string, n_chars long, kept string, row string, h string, k string, size string, words string"
@@ -155,6 +155,48 @@ def test_pii_report(spark, awkward, empty):
     assert red.columns == awkward.columns and red.count() == awkward.count()
 
 
+def test_spans_are_those_of_a_full_decode():
+    r = random.Random(6)
+    make = pii_examples.Maker(3)
+    bits = [lambda: ".".join("abcdefgh"[r.randrange(8)] * r.randint(1, 30) for _ in range(r.randint(2, 12))) + "@", lambda: make.email(), lambda: make.phone(), lambda: "word " * r.randint(1, 90), lambda: make.digits(r.randint(1, 200)), lambda: " (at) ", lambda: "x" * r.randint(1, 400)]
+    for seed in (7, 8):
+        t = pii.Tagger(seed)
+        for k in range(2, pii.LABELS, 2):  # long spans, which cross many windows
+            t.p["move"][[k - 1, k], k] += 5
+        t.p["bias"][1::2] -= 1
+        texts = ["".join(r.choice(bits)() for _ in range(r.randint(0, 9))) for _ in range(150)] + ["", "1", "a" * 5000 + "@"]
+        some, every = t.spans(texts), t.spans(texts, every=True)
+        crossed = 0
+        for x, a, b in zip(texts, some, every, strict=True):
+            at = pii.marks(x)
+            held = lambda s, at=at: ((at >= s[1]) & (at < s[2])).any()
+            assert list(filter(held, a)) == list(filter(held, b))
+            crossed += sum(e - s > 192 for _, s, e in filter(held, b))
+        assert crossed > 10
+
+
+def test_taken_spans_are_met_however_many_lie_before():
+    t = pii.Taken([(0, 300), *[(10 * i, 10 * i + 3) for i in range(1, 12)]])
+    assert t.meets(250, 260) and not t.meets(300, 310) and not pii.Taken([]).meets(0, 5)
+
+
+def test_model_finds_what_the_rules_miss(spark):
+    """Recall of made spans, other ones than it was fitted on, that the patterns do not find; and what it adds to clean texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model, make = pii.train(docs), pii_examples.Maker(1234)
+    clean = [x[0][200:280] for x in docs.where(~F.col("text").rlike("[0-9@]") & (F.length("text") > 400)).select("text").limit(200).collect()]
+    seen, hit = Counter(), Counter()
+    for i in range(600):
+        text, spans = make.example(clean[i % len(clean)], 200)
+        base, every = pii.find([text], model)[0]
+        for kind, s, e in spans:
+            if (s, e) not in base[kind]:
+                seen[kind] += 1
+                hit[kind] += any(k == kind and a <= s + 1 and b >= e - 2 for k, a, b in every)
+    assert all(seen[k] > 80 and hit[k] / seen[k] > (0.65 if k == "email" else 0.75) for k in pii.KINDS), (seen, hit)
+    assert not any(x for _, x in pii.find(clean, model))
+
+
 def test_tagger_gradients_and_held_out():
     t, r = pii.Tagger(), np.random.default_rng(0)
     t.p = {k: v.astype(np.float64) for k, v in t.p.items()}
@@ -316,10 +358,11 @@ def _removed(rows):
     return Counter(out)
 
 
-@pytest.mark.parametrize(("batch", "piece"), [(2_000_000, 1 << 20), (3000, 200)])
-def test_repeated_strings(spark, awkward, empty, batch, piece, monkeypatch):
-    monkeypatch.setattr(suffixes, "BATCH", batch)
-    monkeypatch.setattr(suffixes, "PIECE", piece)
+@pytest.mark.parametrize(("batch", "piece", "fan", "hot"), [(8_000_000, 1 << 20, 4096, 32), (3000, 200, 4096, 2), (1000, 200, 3, 10**9)])
+def test_repeated_strings(spark, awkward, empty, batch, piece, fan, hot, monkeypatch):
+    """The last two: several batches to each bucket, hot grams dealt to all buckets, or buckets and batches dealt in two steps."""
+    for name, value in (("BATCH", batch), ("PIECE", piece), ("FAN", fan), ("HOT", hot), ("BUNDLE", 64_000_000 if fan > 3 else 500)):
+        monkeypatch.setattr(suffixes, name, value)
     r = random.Random(5)
     pool = ["".join(r.choice("abc é") for _ in range(300)) for _ in range(4)]
     piece_of = lambda: (p := r.choice(pool))[(a := r.randrange(250)) : a + r.randint(10, 140)] if r.random() < 0.6 else "".join(r.choice("abcdefgh") for _ in range(r.randint(1, 60)))
@@ -333,6 +376,24 @@ def test_repeated_strings(spark, awkward, empty, batch, piece, monkeypatch):
         assert suffixes.report(awkward).count() == awkward.count() and suffixes.report(empty).count() == 0
 
 
+def test_repeats_are_told_by_the_levels(spark, monkeypatch):
+    """Without what the scan of the levels says, no repeat from another batch is removed."""
+    monkeypatch.setattr(suffixes, "BATCH", 500)
+    r = random.Random(3)
+    said = ["".join(r.choice("abcdefgh ") for _ in range(600)) for _ in range(2)]
+    docs = spark.createDataFrame([(i, said[i % 2]) for i in range(6)], "doc_id long, text string")
+    gone = lambda: {x["doc_id"]: x["n_removed"] for x in suffixes.report(docs).collect()}
+    assert gone() == {0: 0, 1: 0, 2: 600, 3: 600, 4: 600, 5: 600}
+
+
+def test_buckets_do_not_hold_a_hot_gram_alone():
+    high, low = np.full(10_000, 7, np.uint64), np.arange(10_000, dtype=np.uint64)
+    for hot in (suffixes._NONE, np.array([7], np.uint64)):
+        plan = suffixes.Plan(0, 16, hot)
+        held = np.bincount(plan.bucket_of(high, low), minlength=16)
+        assert held.max() == 10_000 if not len(hot) else held.max() < 1000
+
+
 def test_index_family():
     r, f, all_ = np.random.default_rng(1), suffixes.IndexFamily(), {}
     for i in range(40):
@@ -456,22 +517,59 @@ def test_simhash_odd_distance_in_large_blocks(spark, distance):
 # -- 9 tokens -----------------------------------------------------------------------------------------------------
 
 
-def test_tokens(spark, awkward, empty):
+def _tokenizer():
     import public_tokenizers
+    import sentencepiece
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    t = tokens.transducer(path)
-    r = random.Random(1)
-    for _ in range(1500):
-        x = "".join(r.choice("ab  ▁é\n<s>") for _ in range(r.randint(0, 30)))
-        for n in (1, 2, 5, 1 << 16):
-            assert t.count(x, n) == len(t.sp.encode(x)), (x, n)
+    return path, sentencepiece.SentencePieceProcessor(model_file=path)
+
+
+def test_tokens(spark, awkward, empty):
+    path, sp = _tokenizer()
     for docs in (_texts(spark), awkward):
-        want = Counter((x["doc_id"], len((x["text"] or "").encode()), n := len(t.sp.encode(x["text"] or "")), n > 4096) for x in docs.collect())
-        assert Counter(tuple(x) for x in tokens.count_tokens(docs, path).collect()) == want
+        want = Counter((x["doc_id"], len((x["text"] or "").encode()), n := len(sp.encode(x["text"] or "")), n > 4096) for x in docs.collect())
+        for chunk in (tokens.CHUNK, 100):
+            assert Counter(tuple(x) for x in tokens.count_tokens(docs, path, chunk=chunk).collect()) == want
     assert tokens.count_tokens(empty, path).count() == 0
 
 
+def test_transducer_counts_as_the_library():
+    path, sp = _tokenizer()
+    t = tokens.transducer(path)
+    r = random.Random(1)
+    known = sorted(t.auto.score)
+    char = lambda: chr(r.choice([r.randrange(32, 127), r.randrange(0x4E00, 0x9FFF), r.randrange(0x400, 0x500), r.randrange(0x1F300, 0x1F700), r.randrange(32)]))
+    makers = [
+        lambda: "".join(r.choice(known) for _ in range(r.randint(0, 12))),
+        lambda: "".join(r.choice("ab  ▁é\n<s>") for _ in range(r.randint(0, 30))),
+        lambda: " " * r.randint(0, 80) + r.choice(["", "the", "x"]) + " " * r.randint(0, 40),
+        lambda: "".join(char() for _ in range(r.randint(0, 40))),
+        lambda: "".join(r.choice("aehinrst") for _ in range(r.randint(0, 60))),
+        lambda: r.choice("aeo-=_.0/*") * r.randint(0, 200) + "".join(r.choice(known) for _ in range(3)),
+    ]
+    for i in range(6000):
+        x = makers[i % 6]()
+        n = len(sp.encode(x))
+        assert t.count(x) == n, x
+        size = r.randint(1, 9)
+        maps = [t.chunk(x[k : k + size], k == 0) for k in range(0, len(x), size)]
+        while len(maps) > 1:  # any grouping of neighbours
+            k = r.randrange(len(maps) - 1)
+            maps[k : k + 2] = [t.compose(*maps[k : k + 2])]
+        assert not maps or maps[0].head == "" and maps[0].count == n, x
+
+
+def test_transducer_is_bounded(monkeypatch):
+    path, sp = _tokenizer()
+    monkeypatch.setattr(tokens, "MOST_EDGES", 300)
+    monkeypatch.setattr(tokens, "MOST_WORDS", 20)
+    t, r = tokens.Transducer(tokens.transducer(path).auto), random.Random(2)
+    for _ in range(300):
+        x = " ".join("".join(r.choice("etaoins") for _ in range(r.randint(1, 8))) for _ in range(20))
+        assert t.count(x) == len(sp.encode(x)) and t.edges < 300 + len(x) and len(t.words) <= 20
+
+
 # -- 10 chat ------------------------------------------------------------------------------------------------------
 
 
