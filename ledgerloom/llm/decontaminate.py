@@ -1,21 +1,28 @@
-"""Benchmark decontamination: broadcast blocks of test windows, scanned over every document's words."""
+"""Benchmark decontamination: broadcast blocks of test windows, scanned over every document's words.
+
+The documents are read once for each block and never written: what a block hits is kept by the digest of
+the text, and joined in before the last block. One block holds all benchmarks of a million words.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ..functions.shipping import ship
-from .common import LOWER, UPPER, WORD_ALNUM, pieces, stage
+from .common import LOWER, UPPER, WORD_ALNUM, broadcast_if, pieces, stage, unstage
 
 WINDOW = 13
-#: Most benchmark words that are broadcast at a time; a larger benchmark is scanned in several passes.
-BLOCK_WORDS = 300_000
+#: Most benchmark words that are broadcast at a time (some 70 MB); a larger benchmark is scanned in several passes.
+BLOCK_WORDS = 1_000_000
 #: Lower-cases A-Z and blanks out every other ASCII byte that is no letter or digit.
 _PLAIN = bytes(b if 48 <= b <= 57 or b > 127 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
@@ -29,20 +36,27 @@ class Windows:
 
     def __init__(self, items: list[tuple[object, bytes]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            n = min(window, len(ids))
-            for i in range(len(ids) - n + 1 if n else 0):
-                found.setdefault(tuple(ids[i : i + n]), set()).update(() if item is None else (str(item),))
-        self.tables: list[tuple[int, int, np.ndarray, np.ndarray, list[tuple[str, ...]]]] = []
-        for n in sorted({len(k) for k in found}):
-            keys = [k for k in found if len(k) == n]
-            grid, factor = np.array(keys, np.uint64), 0x9E3779B97F4A7C15
-            while len(set((h := self._hash(grid.T, factor)).tolist())) < len(keys):
-                factor = (factor * 5 + 2) % 2**64 | 1  # another factor, until no two windows share a hash
-            order = np.argsort(h)
-            self.tables.append((n, factor, h[order], grid[order], [tuple(found[keys[i]]) for i in order]))
+        self.names = [None if item is None else str(item) for item, _ in items]
+        grids: dict[int, list[tuple[np.ndarray, int]]] = {}
+        for k, (_, text) in enumerate(items):
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)], np.int32)
+            if len(ids):
+                n = min(window, len(ids))
+                grids.setdefault(n, []).append((np.lib.stride_tricks.sliding_window_view(ids, n), k))
+        #: For each length: hash factor, sorted hashes, the windows, where their owners begin, the owners.
+        self.tables: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        for n, parts in sorted(grids.items()):
+            grid, owner = np.concatenate([g for g, _ in parts]), np.repeat([k for _, k in parts], [len(g) for g, _ in parts])
+            factor = 0x9E3779B97F4A7C15
+            while True:
+                h = self._hash(grid.T, factor)
+                order = np.argsort(h, kind="stable")
+                same = np.flatnonzero(h[order][1:] == h[order][:-1])
+                if (grid[order[same]] == grid[order[same + 1]]).all():
+                    break
+                factor = (factor * 5 + 2) % 2**64 | 1  # another factor, until no two different windows share a hash
+            first = np.flatnonzero(np.diff(h[order], prepend=~h[order[:1]]))
+            self.tables.append((n, factor, h[order[first]], grid[order[first]], np.append(first, len(order)), owner[order]))
 
     @staticmethod
     def _hash(columns, factor: int) -> np.ndarray:
@@ -63,19 +77,21 @@ class Windows:
         stops = np.append(np.flatnonzero(ids == 0), len(ids))
         run = stops[np.searchsorted(stops, np.arange(len(ids)))] - np.arange(len(ids)) if len(ids) else ids
         diff, items = np.zeros(len(ids) + 1, np.int32), [set() for _ in docs]
-        for n, factor, hashes, grid, owners in self.tables:
+        for n, factor, hashes, grid, begin, owner in self.tables:
             at = np.flatnonzero(run >= n)
             if not len(at):
                 continue
             h = self._hash([ids[at + j] for j in range(n)], factor)
             k = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
             at, k = at[same := hashes[k] == h], k[same]
-            sure = np.all(ids[at[:, None] + np.arange(n)] == grid[k].astype(np.int64), axis=1) if len(at) else np.zeros(0, bool)
+            sure = np.all(ids[at[:, None] + np.arange(n)] == grid[k], axis=1) if len(at) else np.zeros(0, bool)
             at, k = at[sure], k[sure]
             np.add.at(diff, at, 1)
             np.add.at(diff, at + n, -1)
-            for d, x in zip(np.searchsorted(starts, at, "right") - 1, k, strict=True):
-                items[d].update(owners[x])
+            for d, x in set(zip((np.searchsorted(starts, at, "right") - 1).tolist(), k.tolist(), strict=True)):
+                items[d].update(self.names[o] for o in owner[begin[x] : begin[x + 1]])
+        for found in items:
+            found.discard(None)
         hit = np.cumsum(diff[:-1]) > 0
         return [(hit[s : s + n], i) for s, n, i in zip(starts[:-1], lengths, items, strict=True)]
 
@@ -87,9 +103,9 @@ def _n_blocks(benchmark: DataFrame, block_words: int) -> int:
 
 
 def _block(benchmark: DataFrame, k: int, of: int) -> list[tuple[object, bytes]]:
-    """The items of block k: about half of ``block_words`` words, or one longer item."""
+    """The items of block k, equal ones once: about half of ``block_words`` words, or one longer item."""
     b = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(of)) == k).collect()
+    rows = b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(of)) == k).distinct().collect()
     return [(r["item_id"], r["text"].encode("utf-8", "surrogatepass")) for r in rows]
 
 
@@ -97,42 +113,74 @@ def _texts(b: pa.RecordBatch) -> list[bytes]:
     return [t or b"" for t in pc.cast(b.column("text"), pa.binary()).to_pylist()]
 
 
+_HITS = pa.struct([("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
+_HITS_TYPE = StructType().add("n_words", LongType()).add("hits", ArrayType(StructType().add("start", LongType()).add("end", LongType()))).add("items", ArrayType(StringType()))
+_HITS_SQL = "struct<n_words: long, hits: array<struct<start: long, end: long>>, items: array<string>>"
+
+
+def _scanned(b: pa.RecordBatch, windows: Windows) -> list[dict]:
+    """Words, hits and items of each row; what earlier blocks hit comes in the column _before, if there is one."""
+    found = []
+    before = b.column("_before").to_pylist() if "_before" in b.schema.names else [None] * len(b)
+    for (mask, items), old in zip(windows.scan([words_of(t) for t in _texts(b)]), before, strict=True):
+        if old:
+            for s in old["hits"]:
+                mask[s["start"] : s["end"]] = True
+            items = items | set(old["items"])
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
+        found.append({"n_words": len(mask), "hits": [{"start": int(s), "end": int(e)} for s, e in edge.reshape(-1, 2)], "items": sorted(items)})
+    return found
+
+
+def _scan(docs: DataFrame, benchmark: DataFrame, emit: Callable, schema: str | StructType, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Whatever ``emit(batch, hits)`` makes of the rows of ``docs``; a batch may have the column _before at its end."""
+    spark = docs.sparkSession
+    ship(spark)
+    n = _n_blocks(benchmark, block_words)
+    shared = [spark.sparkContext.broadcast(Windows(_block(benchmark, 0, n), window))]
+    if n > 1:
+        key = F.sha2(F.col("text").cast("string"), 256)
+        parts = []
+        for k in range(1, n):
+            more = spark.sparkContext.broadcast(Windows(_block(benchmark, k, n), window))
+
+            def some(batches: Iterator[pa.RecordBatch], more=more) -> Iterator[pa.RecordBatch]:
+                for b in pieces(batches):
+                    found = _scanned(b, more.value)
+                    hit = [i for i, f in enumerate(found) if f["hits"]]
+                    yield pa.RecordBatch.from_arrays([b.column("_key").take(pa.array(hit, pa.int32())), pa.array([found[i] for i in hit], _HITS)], ["_key", "b"])
+
+            one = docs.select(key.alias("_key"), F.col("text").cast("string").alias("text")).where("text is not null").mapInArrow(some, f"_key string, b {_HITS_SQL}")
+            parts.append(stage(one.groupBy("_key").agg(F.first("b").alias("b")), "bench"))  # equal texts, equal hits
+        hits = reduce(DataFrame.unionByName, parts).groupBy("_key").agg(F.struct(F.max("b.n_words").alias("n_words"), F.flatten(F.collect_list("b.hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("b.items"))).alias("items")).alias("_before"))
+        hits = stage(hits, "bench")
+        unstage(*parts)
+        docs = docs.withColumn("_key", key).join(broadcast_if(hits, hits.count(), 10_000), "_key", "left").drop("_key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            yield emit(b, _scanned(b, shared[0].value))
+
+    return docs.mapInArrow(run, schema)
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """A struct ``row`` of the columns ``keep`` (all) of ``docs``, and a struct ``bench``: n_words, hits (word spans start, end) and items.
 
     Words are runs of letters and digits after lower-casing A-Z; null texts have none. A window
-    is ``window`` consecutive words of an item (all of a shorter one). Blocks of the benchmark
-    are broadcast one after another, and each pass adds to the hits so far; a pass is written
-    to the shared folder before the next one begins, so that memory holds one block.
-    Items with a null id hit words but are not listed; an empty benchmark hits nothing.
+    is ``window`` consecutive words of an item (all of a shorter one); an item's repeated rows count once.
+    Items with a null id hit words but are not listed; an empty benchmark hits nothing, an empty table gives no rows.
+    Columns of ``docs`` may have any names but _key and _before. Memory: one block and one slice of texts.
     """
-    spark = docs.sparkSession
-    ship(spark)
     keep = keep or docs.columns
-    out = docs.select(F.struct(*keep).alias("row"), F.col("text").cast("string").alias("text"), F.lit(None).cast("struct<n_words: long, hits: array<struct<start: long, end: long>>, items: array<string>>").alias("bench"))
-    blocks = list(range(_n_blocks(benchmark, block_words)))
-    bench_type = pa.struct([("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
-    for k in blocks:
-        shared = spark.sparkContext.broadcast(Windows(_block(benchmark, k, len(blocks)), window))
-        last = k == blocks[-1]
-        out = stage(out, "bench") if k else out
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
-            for b in pieces(batches):
-                docs = [words_of(t) for t in _texts(b)]
-                found = []
-                for (mask, items), before in zip(shared.value.scan(docs), b.column("bench").to_pylist(), strict=True):
-                    if before:
-                        for s in before["hits"]:
-                            mask[s["start"] : s["end"]] = True
-                        items = items | set(before["items"])
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
-                    found.append({"n_words": len(mask), "hits": [{"start": int(s), "end": int(e)} for s, e in edge.reshape(-1, 2)], "items": sorted(items)})
-                cols = {"row": b.column("row"), "text": b.column("text"), "bench": pa.array(found, bench_type)}
-                yield pa.RecordBatch.from_pydict({c: x for c, x in cols.items() if not (last and c == "text")})
-
-        out = out.mapInArrow(run, (out.drop("text") if last else out).schema)
-    return out
+    fields = StructType([docs.schema[c] for c in keep])
+
+    def emit(b: pa.RecordBatch, found: list[dict]) -> pa.RecordBatch:
+        row = pa.StructArray.from_arrays([b.column(c) for c in keep], fields=[b.schema.field(c) for c in keep])
+        return pa.RecordBatch.from_arrays([row, pa.array(found, _HITS)], ["row", "bench"])
+
+    narrow = docs.select(*dict.fromkeys([*keep, "text"]))
+    return _scan(narrow, benchmark, emit, StructType([StructField("row", fields, False), StructField("bench", _HITS_TYPE)]), window, block_words)
 
 
 def n_hit():
@@ -150,6 +198,39 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), F.col("bench.n_words").alias("n_words"), n_hit().alias("n_hit"), F.size("bench.items").cast("long").alias("n_items"), F.sha2(F.array_join("bench.items", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"))
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, as they came."""
-    return find_hits(docs, benchmark).where(~contaminated()).select("row.*")
+def _bad(f: dict) -> bool:
+    n = sum(s["end"] - s["start"] for s in f["hits"])
+    return n > 0 and 20 * n >= f["n_words"]
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The documents that are not contaminated, as they came; null and empty texts, and repeated rows, stay."""
+    names = docs.columns
+
+    def emit(b: pa.RecordBatch, found: list[dict]) -> pa.RecordBatch:
+        return b.select(names).filter(pa.array([not _bad(f) for f in found], pa.bool_()))
+
+    return _scan(docs, benchmark, emit, docs.schema, WINDOW, block_words)
+
+
+def _cut(text: str, hits: list[dict]) -> str:
+    """The text without its hit words and what is between them; A-Z and a-z have one byte each way, so places agree."""
+    data = text.encode("utf-8", "surrogatepass")
+    words = [m.span() for m in re.finditer(rb"[^ ]+", data.translate(_PLAIN))]
+    at, out = 0, []
+    for s in hits:
+        out.append(data[at : words[s["start"]][0]])
+        at = words[s["end"] - 1][1]
+    return b"".join([*out, data[at:]]).decode("utf-8", "surrogatepass")
+
+
+def without_hit_spans(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """All documents, without the runs of hit words (the mildest remedy: the rest of a document stays); null texts stay null."""
+    names = docs.columns
+
+    def emit(b: pa.RecordBatch, found: list[dict]) -> pa.RecordBatch:
+        texts = b.column("text").to_pylist()
+        new = pa.array([_cut(t, f["hits"]) if f["hits"] else t for t, f in zip(texts, found, strict=True)], b.schema.field("text").type)
+        return pa.RecordBatch.from_arrays([new if c == "text" else b.column(c) for c in names], names)
+
+    return _scan(docs, benchmark, emit, docs.schema, WINDOW, block_words)

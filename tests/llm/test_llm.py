@@ -106,13 +106,17 @@ def _hits(docs, items):
 @pytest.mark.parametrize("block", [decontaminate.BLOCK_WORDS, 300])
 def test_decontamination(spark, awkward, empty, block, monkeypatch):
     monkeypatch.setattr(decontaminate.find_hits, "__defaults__", (None, 13, block))
-    bench = _texts(spark, "benchmark").select("item_id", "text").unionByName(spark.createDataFrame([(500, "a B"), (501, None), (None, "x y"), (502, ""), (500, "a b")], "item_id long, text string"))
+    bench = _texts(spark, "benchmark").select("item_id", "text").unionByName(spark.createDataFrame([(500, "a B"), (501, None), (None, "x y"), (502, ""), (500, "a b"), (500, "a b")], "item_id long, text string"))
     items = [(r[0], r[1]) for r in bench.collect()]
     for docs in (_texts(spark), awkward):
         assert Counter(tuple(r) for r in decontaminate.report(docs, bench).collect()) == _hits([(r["doc_id"], r["text"]) for r in docs.collect()], items)
     assert decontaminate.report(empty, bench).count() == 0 and decontaminate.report(awkward, bench.limit(0)).where("n_hit > 0").count() == 0
-    kept = decontaminate.without_contaminated(awkward, bench)
-    assert kept.columns == awkward.columns and kept.count() == 8
+    kept = decontaminate.without_contaminated(awkward, bench, block)
+    assert kept.columns == awkward.columns and kept.count() == 8 and decontaminate.without_contaminated(empty, bench, block).count() == 0
+    cut = decontaminate.without_hit_spans(awkward, bench, block)
+    assert cut.columns == awkward.columns and Counter((r["doc_id"], r["text"]) for r in cut.collect())[5, " c"] == 2 and cut.count() == awkward.count()
+    left = decontaminate.report(decontaminate.without_hit_spans(_texts(spark), _texts(spark, "benchmark"), block), _texts(spark, "benchmark"))
+    assert left.where("n_hit > 0").count() == 0
 
 
 # -- 3 personal data ----------------------------------------------------------------------------------------------
