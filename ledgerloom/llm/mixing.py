@@ -35,7 +35,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3
     """(k, source_size, target): the total shared by weight, no target above ``cap`` times its source.
 
     Sources in order of cap over weight: those that fill up form a prefix, found by
-    running sums, so no repeated resharing is needed. The windows run over one row per source.
+    running sums, so no repeated resharing is needed. The windows run over one row of some 50 bytes per
+    source, in one task, which sorts and spills as any other: sources are counted in thousands, not as documents.
     """
     src = sizes.groupBy("k").agg(F.sum("size").alias("source_size"))
     every = W.partitionBy(F.lit(0))
@@ -83,8 +84,10 @@ def thresholds(sizes: DataFrame, goals: DataFrame, cap: int = 3) -> DataFrame:
     return state.drop("rest")
 
 
-def copies() -> Column:
-    return F.col("times") + ((F.col("h") < F.col("edge")) | ((F.col("h") == F.col("edge")) & F.col("with_edge"))).cast("long")
+def copies(cap: int) -> Column:
+    """How often a document is taken: also one of size 0 never over ``cap`` times."""
+    more = (F.col("h") < F.col("edge")) | ((F.col("h") == F.col("edge")) & F.col("with_edge"))
+    return F.least(F.col("times") + more.cast("long"), F.lit(cap).cast("long"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
@@ -96,13 +99,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) ->
     """
     sizes = stage(sized(docs), "mix-sizes")
     plan = thresholds(sizes, targets(sizes, weights, cap), cap)
-    return sizes.join(broadcast_if(plan, plan.count()), "k").select("doc_id", "size", "source_size", "target", (F.col("size") * copies()).alias("taken"))
+    return sizes.join(broadcast_if(plan, plan.count()), "k").select("doc_id", "size", "source_size", "target", (F.col("size") * copies(cap)).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
-    """The documents of the mix: a row per copy taken, with its number in ``mix_copy`` (from 1)."""
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, copy: str = "mix_copy") -> DataFrame:
+    """The documents of the mix: a row per copy taken, with its number (from 1) in a last column ``copy``.
+
+    If ``docs`` has a column of that name, the new one gets underscores after it until it differs.
+    Nulls, empty texts, repeated rows and empty tables are as in ``mix``; no row is taken over ``cap`` times.
+    """
+    while copy.lower() in map(str.lower, docs.columns):
+        copy += "_"
     sizes = stage(sized(docs), "mix-sizes")
     plan = thresholds(sizes, targets(sizes, weights, cap), cap)
     wide = docs.select(_key("source").alias("k"), _hash("doc_id").alias("h"), F.struct(*docs.columns).alias("row"))
-    taken = wide.join(broadcast_if(plan.select("k", "times", "edge", "with_edge"), plan.count()), "k").withColumn("n", copies()).where("n > 0")
-    return taken.select("row.*", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("mix_copy"))
+    taken = wide.join(broadcast_if(plan.select("k", "times", "edge", "with_edge"), plan.count()), "k").withColumn("n", copies(cap)).where("n > 0")
+    return taken.select("row.*", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias(copy))
