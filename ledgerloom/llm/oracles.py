@@ -60,9 +60,9 @@ r AS (SELECT *, CASE WHEN {_fits('www.example.com', '/en/')} THEN 'www.example.c
 v AS (SELECT *, CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS rv,
              regexp_extract(regexp_extract(html, '(?i)<link\s[^<>]*rel\s*=\s*[\x22\x27]?canonical[^<>]*>', 0), '(?i)href\s*=\s*[\x22\x27]?([^\x22\x27\s>]+)', 1) AS canon,
              regexp_extract(regexp_extract(html, '(?i)<meta\s[^<>]*http-equiv\s*=\s*[\x22\x27]?refresh[^<>]*>', 0), '(?i)url\s*=\s*[\x22\x27]?([^\x22\x27\s>;]+)', 1) AS jump FROM r),
-l AS (SELECT k, host, canon AS href FROM v WHERE canon <> '' AND k IS NOT NULL UNION SELECT k, host, jump FROM v WHERE jump <> '' AND k IS NOT NULL),
+l AS (SELECT k, host, path, replace(canon, '&amp;', '&') AS href FROM v WHERE canon <> '' AND k IS NOT NULL UNION SELECT k, host, path, replace(jump, '&amp;', '&') FROM v WHERE jump <> '' AND k IS NOT NULL),
 f AS (SELECT k, CASE WHEN instr(href, '://') > 0 THEN substr(href, instr(href, '://') + 3) WHEN starts_with(href, '//') THEN substr(href, 3)
-                     WHEN starts_with(href, '/') THEN host || href ELSE host || '/' || href END AS rest FROM l),
+                     WHEN starts_with(href, '/') THEN host || href ELSE host || CASE WHEN path = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || href END AS rest FROM l),
 t AS (SELECT k, translate(regexp_extract(rest, '^([^/?#]*)', 1), {_A_Z}) AS h2, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS p2, regexp_extract(rest, '^[^?#]*\?([^#]*)', 1) AS q2 FROM f),
 e AS (SELECT k AS a, {_key('h2', 'p2', 'q2')} AS b FROM t),
 u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),

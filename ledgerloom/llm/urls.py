@@ -43,20 +43,20 @@ def rule_of(df: DataFrame, rules: tuple = RULES) -> DataFrame:
         case = lambda values: reduce(lambda c, x: c.when(*x), list(zip(fits, map(F.lit, values), strict=True))[1:], F.when(fits[0], values[0])) if fits else F.lit(None).cast("string")
         return df.withColumn("rule", case([h + p for _, h, p in ranked])).withColumn("rule_verdict", case([v for v, _, _ in ranked]))
     table = df.sparkSession.createDataFrame([(v, h, p, i) for i, (v, h, p) in enumerate(ranked)], "v string, rh string, rp string, i int")
-    keyed = df.withColumn("_row", F.monotonically_increasing_id())
     parts = F.split("host", r"\.")
     tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat_ws(".", F.slice(parts, i, F.size(parts))))
-    hit = keyed.select("_row", "path", F.explode(tails).alias("rh")).join(table, "rh").where(F.col("path").startswith(F.col("rp")))
-    best = hit.groupBy("_row").agg(F.min_by(F.struct(F.concat("rh", "rp").alias("rule"), F.col("v").alias("rule_verdict")), "i").alias("b"))
-    return keyed.join(best, "_row", "left").select(*df.columns, "b.rule", "b.rule_verdict")
+    places = df.select("host", "path").distinct()
+    hit = places.select("host", "path", F.explode(tails).alias("rh")).join(table, "rh").where(F.col("path").startswith(F.col("rp")))
+    best = hit.groupBy("host", "path").agg(F.min_by(F.struct(F.concat("rh", "rp").alias("rule"), F.col("v").alias("rule_verdict")), "i").alias("b"))
+    return df.join(best, ["host", "path"], "left").select(*df.columns, "b.rule", "b.rule_verdict")
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """(host, href) of each page's canonical link and refresh redirect, with what host a relative one needs."""
+    """(key, host, path, href) of each page's canonical link and refresh redirect, with what a relative one needs; ``&amp;`` is taken back."""
     tag = F.regexp_extract("html", r"(?i)<link\s[^<>]*rel\s*=\s*[\"']?canonical[^<>]*>", 0)
     jump = F.regexp_extract("html", r"(?i)<meta\s[^<>]*http-equiv\s*=\s*[\"']?refresh[^<>]*>", 0)
     links = F.array(F.regexp_extract(tag, r"(?i)href\s*=\s*[\"']?([^\"'\s>]+)", 1), F.regexp_extract(jump, r"(?i)url\s*=\s*[\"']?([^\"'\s>;]+)", 1))
-    return pages.select("key", "host", F.explode(F.filter(links, lambda x: x != "")).alias("href"))
+    return pages.select("key", "host", "path", F.explode(F.filter(links, lambda x: x != "")).alias("href")).withColumn("href", F.replace("href", F.lit("&amp;"), F.lit("&")))
 
 
 def judge(pages: DataFrame, rules: tuple = RULES, redirects: DataFrame | None = None) -> DataFrame:
@@ -72,8 +72,9 @@ def judge(pages: DataFrame, rules: tuple = RULES, redirects: DataFrame | None =
     base = rule_of(split_url(base), rules)
     base = base.withColumn("key", F.when(F.col("host") != "", alias_key(base)))
     links = page_links(base.where("key is not null"))
+    folder = F.when(F.col("path") == "", "/").otherwise(F.regexp_replace("path", "[^/]*$", ""))
     full = F.when(F.instr("href", "://") > 0, F.col("href")).when(F.col("href").startswith("//"), F.concat(F.lit("http:"), "href"))
-    full = full.when(F.col("href").startswith("/"), F.concat(F.lit("http://"), "host", "href")).otherwise(F.concat(F.lit("http://"), "host", F.lit("/"), "href"))
+    full = full.when(F.col("href").startswith("/"), F.concat(F.lit("http://"), "host", "href")).otherwise(F.concat(F.lit("http://"), "host", folder, "href"))
     far = split_url(links.select(F.col("key").alias("a"), full.alias("url")))
     edges = far.select("a", alias_key(far).alias("b"))
     if redirects is not None:
@@ -82,9 +83,11 @@ def judge(pages: DataFrame, rules: tuple = RULES, redirects: DataFrame | None =
         two = split_url(one)
         edges = edges.unionByName(two.select("a", alias_key(two).alias("b")))
     roots = stage(connected_components(edges.where("a is not null and b is not null"), "url"), "url-roots")
-    known = base.drop("html", "url").join(broadcast_if(roots, roots.count()), F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key"))
+    alone = F.concat(F.lit("\0"), F.xxhash64("page_id", "host", "path").cast("string"))  # rows without a key match nothing, each for itself
+    known = base.drop("html", "url").join(broadcast_if(roots, roots.count()), F.coalesce("key", alone) == F.col("node"), "left").withColumn("root", F.coalesce("root", "key"))
     # Only groups that hold both a blocked page and one without a rule pass a decision on; those are few, and known by name.
     sides = known.where("root is not null and (rule_verdict is null or rule_verdict = 'block')").groupBy("root").agg(F.max(F.col("rule_verdict").isNull()).alias("open"), F.max(F.col("rule_verdict").isNotNull()).alias("bad"))
     blocked = stage(sides.where("open and bad").select("root", "bad"), "url-blocked")
     verdict = F.coalesce("rule_verdict", F.when(F.col("bad"), "block"), F.lit("allow"))
-    return known.join(broadcast_if(blocked, blocked.count()), "root", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"))
+    blocked = broadcast_if(blocked.withColumnRenamed("root", "_root"), blocked.count())
+    return known.join(blocked, F.coalesce("root", alone) == F.col("_root"), "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"))
