@@ -17,6 +17,8 @@ from .common import LOWER_BYTES, connected_components, pieces, stage
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 #: Fingerprints that one block may hold to be compared in a task; those of larger blocks meet at their close variants instead.
 BLOCK_LIMIT = 32_768
+#: Rows from which a fingerprint is not left to the shuffle of a join.
+HOT = 200_000
 _BITS = np.arange(64, dtype=np.uint64)
 
 
@@ -39,7 +41,10 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, *more: Column) -> DataFrame:
-    """(doc_id, fp as a signed long) and the binary columns ``more`` for every row of ``docs``; null texts and those without words have fp 0."""
+    """(doc_id, fp as a signed long) and the binary columns ``more`` for every row of ``docs``; null texts and those without words have fp 0.
+
+    Repeated rows are kept, other columns ignored, an empty table gives no rows.
+    """
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,19 +168,30 @@ def components(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     kept; other columns are ignored; an empty table gives no rows; a component of null ids has a null id.
     """
     fps = stage(fingerprints(docs), "fps")
-    return fps.join(_named(fps, distance), "fp").select("doc_id", "fp", "component_id")
+    return _with_names(fps, distance).select("doc_id", "fp", "component_id")
+
+
+def _with_names(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """``fps`` with root and component_id. Fingerprints of very many rows are looked up in a broadcast of those few, the others are joined."""
+    named = _named(fps, distance)
+    hot = named.where(F.col("n") > HOT).drop("n")
+    n, most = hot.count(), 1_000_000
+    if not n or n > most:
+        return fps.join(named.drop("n"), "fp")
+    few = F.broadcast(hot)
+    return fps.join(few, "fp").unionByName(fps.join(few, "fp", "left_anti").join(named.where(F.col("n") <= HOT).drop("n"), "fp"))
 
 
 def _named(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(fp, root, component_id) of every distinct fingerprint: root, a fingerprint, tells components apart that share an id or have none."""
-    distinct = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "fp")
+    """(fp, n, root, component_id) of every distinct fingerprint and its n rows: root, a fingerprint, tells components apart that share an id or have none."""
+    distinct = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "fp")
     found = stage(links(distinct.select("fp"), distance), "links")
     ship(fps.sparkSession)
     roots = connected_components(found, "simhash")
     linked = distinct.join(roots, F.col("fp") == F.col("node"))
     least = linked.groupBy("root").agg(F.min("low").alias("least"))
     moved = linked.join(least, "root").select("fp", "root", "least")
-    return stage(distinct.join(moved, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.least("low", "least").alias("component_id")), "component")
+    return stage(distinct.join(moved, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root"), F.least("low", "least").alias("component_id")), "component")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -193,11 +209,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each component, as it came: that with the smallest id (null ids last), of those the one with the least digest.
 
     Rows are known by their digest, so those that repeat an id, or have none, stay apart unless
-    all their columns are equal.
+    all their columns are equal. Null and empty texts are near-duplicates of each other (fingerprint 0);
+    columns may have any names but _digest and _row; an empty table gives no rows; reruns agree.
     """
     fps = stage(fingerprints(docs, _row_digest(docs).alias("digest")), "fps")
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "digest")
-    keep = stage(fps.join(_named(fps), "fp").groupBy("root").agg(F.min(first).alias("first")).select(F.col("first.digest").alias("_digest")), "kept")
+    keep = stage(_with_names(fps).groupBy("root").agg(F.min(first).alias("first")).select(F.col("first.digest").alias("_digest")), "kept")
     wide = docs.select(_row_digest(docs).alias("_digest"), F.struct(*docs.columns).alias("_row"))
     n, rows = fps.agg(F.count("*"), F.countDistinct("digest")).first()
     if n != rows:  # equal rows: one of them, taken before the join so that each task passes on one
