@@ -427,7 +427,10 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def redacted(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
-    """The documents with their spans replaced, n_chars (if there is one) counted anew; null texts stay null."""
+    """The documents with their spans replaced, n_chars (if there is one) counted anew; null texts stay null.
+
+    Repeated rows are treated alike, any other columns carried along; an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model or train(docs))
     ship(docs.sparkSession)
     names, schema = docs.columns, docs.schema

@@ -197,7 +197,8 @@ def _bytes(b: pa.RecordBatch) -> list[bytes]:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits on at most ``sample`` labelled documents, those whose ids have the lowest hashes.
 
-    Rows whose id is labelled both ways, or null, are left out. What reaches the driver is
+    Rows whose id is labelled both ways, or null, are left out; of documents that repeat an id the
+    least text is taken. What reaches the driver is
     the hashed counts of the sampled texts, at most ``DIM`` values for each family.
     """
     both = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most"))
@@ -219,6 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), cat(slots, pa.int32()), cat(values, pa.float32())], ["doc_id", "slots", "values"])
 
     picked = docs.selectExpr("cast(doc_id as long) doc_id", "text").where(F.col("doc_id").isin(list(quality)))
+    picked = picked.groupBy("doc_id").agg(F.min("text").alias("text"))  # of rows that repeat an id, always the same one
     rows: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}
     for b in picked.mapInArrow(run, "doc_id long, slots array<int>, values array<float>").toArrow().to_batches():
         slots, values = b.column("slots"), b.column("values")  # stay arrays: as Python numbers they would take ten times the memory
@@ -258,7 +260,10 @@ def report(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> Da
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
-    """The documents that are kept, as they came."""
+    """The documents that are kept, as they came: null, empty and short texts go, repeated rows stay or go alike.
+
+    Any other columns are carried along; an empty table gives no rows; see ``report`` for missing labels.
+    """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model or train(docs, labels))
 

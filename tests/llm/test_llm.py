@@ -265,6 +265,20 @@ def test_licenses(spark, awkward, empty):
     assert licenses.report(empty).count() == 0
 
 
+def test_altered_templates_are_told_apart():
+    """Each template set into prose, in capitals or not, with one word in 25 replaced: its own label, and it alone, in at least 9 of 10."""
+    s, r, right, total = licenses.Scanner(), random.Random(4), 0, 0
+    prose = lambda: [("der", "que", "with", "la", "and", "software", "license", "of", "the")[r.randrange(9)] for _ in range(r.randint(0, 200))]
+    for name, text in licenses.TEMPLATES.items():
+        for _ in range(20):
+            words = [w if r.random() > 0.04 else "qq" for w in (text.upper() if r.random() < 0.3 else text).split()]
+            found = s.scan([" ".join(prose() + words + prose()).encode()])[0]
+            total += 1
+            right += {x[0] for x in found["spans"] if x[3] >= licenses.COVER} == {name}
+    assert right >= 0.9 * total, (right, total)
+    assert not any(x["spans"] and max(c[3] for c in x["spans"]) >= licenses.COVER for x in s.scan([" ".join(prose()).encode() for _ in range(200)]))
+
+
 # -- 5 mixing -----------------------------------------------------------------------------------------------------
 
 
@@ -301,6 +315,9 @@ def test_mixing(spark, awkward, empty):
     assert mixing.mix(empty).count() == 0
     out = mixing.mixed_documents(awkward)
     assert out.columns == [*awkward.columns, "mix_copy"]
+    full = spark.createDataFrame([(i, "a b c" if i % 3 else "", "ab"[i % 2], i) for i in range(40)] + [(i, "x " * 900, "c", i) for i in range(40, 60)], "doc_id long, text string, source string, MIX_COPY int")
+    got = mixing.mixed_documents(full)
+    assert got.columns == [*full.columns, "mix_copy_"] and got.agg(F.max("mix_copy_")).first()[0] == 3 and mixing.mixed_documents(empty).count() == 0
 
 
 # -- 6 URLs -------------------------------------------------------------------------------------------------------
@@ -318,6 +335,9 @@ def test_urls(spark):
     assert got[1][2:] == ("net/es/", "block") and got[2][3] == got[3][3] == "block" and got[4][2:] == ("com/", "allow")
     assert got[5] == ("q.example.com", "/en/1", "example.com/en/", "block") and got[6][2:] == ("www.example.com/en/", "allow")
     assert got[7] == got[8] == ("", "", None, "allow") and got[10][2] is None and got[11][2:] == ("net/es/", "block") and got[12][3] == "allow"
+    near = spark.createDataFrame([page(1, "http://z.org/a/b.html", link("c?x=1&amp;y=2")), page(2, "http://z.org/a/c?x=1&y=2", link("http://q.net/es/")), page(3, "http://z.org", link("d")), page(4, "http://z.org/d", link("//q.net/fr/9")), page(6, "https://q.net/es"), page(7, "http://q.net/es/"), page(8, "http://q.net/fr/9")], pages.schema)
+    near = near.unionByName(spark.createDataFrame([page(5, "http://y.org/" + "long/" * 20_000, "<p>" * 100_000)], pages.schema))
+    assert {r["page_id"]: r["verdict"] for r in urls.judge(near).collect()} == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "block", 7: "block", 8: "block"}
     red = spark.createDataFrame([("http://e.org/rel", "http://a.net/es/1"), (None, "x")], "from_url string, to_url string")
     got = {r["page_id"]: r["verdict"] for r in urls.judge(pages, redirects=red).collect()}
     assert got[13] == got[12] == "block" and got[4] == "allow"
@@ -610,6 +630,28 @@ def test_best_paths(spark):
     assert {tuple(x) for x in got.collect()} == want
 
 
+def test_trees_with_cycles_and_repeated_rows(spark):
+    names = "tree string, node long, parent long, score double, conv_id long, role string, text string, root string, rank string, depth string"
+    row = lambda t, n, p, s=0.0, x="m": (t, n, p, s, 7, "user", x, "r", "k", "d")
+    rows = [
+        row("a", 1, 2), row("a", 2, 1), row("a", 3, 2), row("b", 1, 1), row("c", 4, 6), row("c", 5, 4), row("c", 6, 5), row("c", 9, 8), row("c", 8, 6), row("c", 1, 9),
+        row("d", 1, None, 1.0, "x"), row("d", 1, None, 1.0, "w"), row("d", 2, 1), row("d", 2, 1), row("d", 3, 1, None), row("e", None, 1), row(None, 1, None),
+    ]
+    d = spark.createDataFrame(rows, names)
+    got = {(x["tree"], x["root"], x["leaf"], x["depth"]): x["node"] for x in chat.ranked_paths(d).collect()}
+    path = lambda *at: {(at[0], at[1], at[-1], i): n for i, n in enumerate(at[1:])}
+    assert got == path("a", 1, 2, 3) | path("b", 1) | path("c", 4, 5, 6, 8, 9, 1) | path("d", 1, 2) | path("d", 1, 3)
+    said = {(x["root"], x["leaf"]): [t for _, t in chat.parse(x["formatted"])] for x in chat.format_trees(d.where("tree = 'd'")).collect()}
+    assert said == {(1, 2): ["w", "m"], (1, 3): ["w", "m"]}
+    assert chat.ranked_paths(d.limit(0)).count() == 0 and chat.digest(chat.format_trees(d.limit(0))).count() == 0
+
+
+def test_chat_of_an_awkward_table(spark, awkward):
+    d = awkward.selectExpr("doc_id as conv_id", "cast(null as long) as turn", "lang as role", "text", "kept", "row", "k as tree", "h as leaf")
+    got = chat.digest(chat.format_trees(chat.linear_trees(d))).collect()
+    assert Counter({r["conv_id"]: r["n_turns"] for r in got}) == Counter(r["doc_id"] for r in awkward.collect()) and all(r["loss_chars"] == 0 for r in got)
+
+
 def test_every_path_is_a_conversation(spark):
     r = random.Random(5)
     rows, want = [], set()
@@ -683,3 +725,23 @@ def test_pipeline_stages(spark):
             continue
         assert out.columns == columns
         docs = out
+
+
+def test_pipeline_of_awkward_tables(spark, awkward, empty):
+    """Nulls, empty and very long texts, repeated rows and clashing names pass every stage; what each keeps is defined."""
+    import corpus_pipeline
+
+    good = " ".join(f"word{i}" for i in range(60))
+    more = spark.createDataFrame([(i, good, None, None, None, "k", "r", "h", "k", "z", "w") for i in (None, 90, 90)], awkward.schema)
+    for docs in (awkward.unionByName(more).withColumn("mix_copy", F.lit(1)), empty.withColumn("mix_copy", F.lit(1))):
+        rows = docs.count()
+        for name, step in corpus_pipeline.STAGES:
+            out = common.stage(step(spark, docs, DIR), "t")
+            each = out.collect()
+            if name == "quality rules" and rows:
+                assert all(len(_words(r["text"])) >= 50 for r in each) and len(each) in (0, 3)
+            if name == "simhash near-dedup" and rows:
+                assert len(each) == 8  # the words-less ones are one group, the long one and each other text are others
+            if name == "pii":
+                assert len(each) == rows
+            assert out.columns == (docs.columns if name != "mixing sources" else [*docs.columns, "mix_copy_"])
