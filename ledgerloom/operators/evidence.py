@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,13 +80,17 @@ def asset_evidence(assets: DataFrame, bodies: DataFrame) -> DataFrame:
 
 
 def status(tables: dict[str, DataFrame]) -> DataFrame:
-    """(section, name, n): rows of each table, and jobs and assets by state."""
+    """(section, name, n): rows of each table, jobs and assets by state, matches without a detail, matches by population, and tags."""
     parts = [d.agg(F.count("*").alias("n")).select(F.lit("rows").alias("section"), F.lit(t).alias("name"), "n") for t, d in sorted(tables.items())]
     parts += [tables[t].groupBy("state").agg(F.count("*").alias("n")).select(F.lit(t).alias("section"), F.col("state").alias("name"), "n") for t in ("jobs", "assets") if t in tables]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    if "matches" in tables:
+        parts.append(tables["matches"].agg(F.count_if(F.col("detail_response_id").isNull()).alias("n")).select(F.lit("matches").alias("section"), F.lit("without detail").alias("name"), "n"))
+    if "match_classification" in tables:
+        name = F.concat_ws("/", "kind", "genre", "roster_class", "analysis_set")
+        parts.append(tables["match_classification"].groupBy(name.alias("name")).agg(F.count("*").alias("n")).select(F.lit("analysis").alias("section"), "name", "n"))
+    if "match_tags" in tables:
+        parts.append(tables["match_tags"].groupBy(F.col("tag").alias("name")).agg(F.count("*").alias("n")).select(F.lit("tags").alias("section"), "name", "n"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def verify(bodies: DataFrame, responses: DataFrame) -> DataFrame:

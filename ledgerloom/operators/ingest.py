@@ -27,7 +27,12 @@ def envelopes(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         "event_id", "account", "fetched_at", "operation", jsonx.canonical_json(F.coalesce("variables", F.lit("{}"))).alias("variables_json"), "query_id", "app_version",
         F.col("status").alias("http_status"), "headers", "body", F.sha2("body", 256).alias("body_sha256"),
     )
-    return good.dropDuplicates(["event_id"]), d.where("reason is not null").select("event_id", "reason")
+    # Of fetches that share an event_id, always the same one; the digests choose it, so bodies travel once.
+    first = good.groupBy("event_id").agg(F.min(F.struct("fetched_at", "body_sha256", "account", "operation", "variables_json")).alias("_f"))
+    twice = good.groupBy("event_id").count().where("count > 1").select("event_id")
+    one = good.join(twice, "event_id", "left_semi").join(first, "event_id").where(F.struct("fetched_at", "body_sha256", "account", "operation", "variables_json").eqNullSafe(F.col("_f"))).drop("_f").dropDuplicates(["event_id"])
+    good = good.join(twice, "event_id", "left_anti").unionByName(one)
+    return good, d.where("reason is not null").select("event_id", "reason")
 
 
 def bodies(fetches: DataFrame) -> DataFrame:
@@ -129,3 +134,51 @@ def superseded(jobs: DataFrame) -> DataFrame:
     w = W.partitionBy("account", "operation", "kind", "match_key")
     done = F.max(F.col("state") == "done").over(w)
     return jobs.withColumn("state", F.when(F.col("match_key").isNotNull() & F.col("state").isin("pending", "retry") & done, "superseded").otherwise(F.col("state")))
+
+
+#: Fixed codes of issues after which a response does not count as a success.
+BLOCKING = ("INCOMPLETE_RESPONSE", "SELECTED_FIELD_MISSING", "SELECTED_FIELD_SHAPE_INVALID", "RESPONSE_CATALOG_MISMATCH", "RESPONSE_CATALOG_UNRESOLVED")
+
+
+def project(fetches: DataFrame, detail_roots: dict[str, str]) -> dict[str, DataFrame]:
+    """All that is derived from the fetches, by name: responses (with outcome), receipts, issues, endpoint_heads, sightings, matches, documents, asset_refs, jobs.
+
+    Nothing is mutated: every table is a plan over the raw log, so running it again after more fetches,
+    in any order, gives what one run over all of them gives. ``detail_roots`` names, by operation, the
+    field below data that a match's detail is in; a sighting there is its document.
+    """
+    stored = responses(fetches)
+    v = F.col("_v")
+    root = F.coalesce(*[F.when(F.col("operation") == op, F.lit(name)) for op, name in detail_roots.items()], F.lit(None).cast("string"))
+    stored = stored.withColumn("_v", jsonx.parsed("json_text")).withColumn("outcome", outcome(F.col("http_status"), v, root, F.lit(None).cast("string"), F.col("parse_error").isNotNull())).drop("_v")
+    stored = stored.withColumn("id", F.col("event_id"))  # a response is known by its first fetch
+    got = receipts(fetches, stored)
+    named = got.join(stored.select(F.col("id").alias("response_event_id"), "account", "operation", "outcome"), "response_event_id")
+    issue = F.when(F.col("parse_error").isNotNull(), F.col("parse_error")).when(F.col("outcome") == "retry", "INCOMPLETE_RESPONSE")
+    fine = stored.where("outcome = 'done'")
+    seen_at = sightings(fine.select("id", "json_text"))
+    found = seen_at.join(stored.select("id", "account", "operation", "fetched_at"), "id")
+    on_root = root.isNotNull() & (F.col("path") == F.concat(F.lit("$.data."), root))
+    details = found.where(on_root).select("account", "kind", "match_key", "fetched_at", F.col("id").alias("response_id"), F.lit("detail").alias("path"))
+    chosen = canonical_details(details)
+    matches = seen(found, ["account", "kind", "match_key"], "fetched_at").join(chosen.select("account", "kind", "match_key", F.col("response_id").alias("detail_response_id")), ["account", "kind", "match_key"], "left")
+    text = stored.select(F.col("id").alias("response_id"), F.to_json(F.try_variant_get(F.try_element_at(F.try_variant_get(jsonx.parsed("json_text"), "$.data", "map<string,variant>"), root), "$", "variant")).alias("json_text"))
+    return {
+        "responses": stored, "receipts": got, "issues": stored.select(F.col("id").alias("response_id"), issue.alias("code")).where("code is not null"),
+        "endpoint_heads": endpoint_heads(named.where("outcome = 'done'").select("account", "operation", F.col("response_event_id").alias("response_id"), "fetched_at", "event_id")),
+        "sightings": found.select(F.col("id").alias("response_id"), "account", "path", "kind", "match_key"), "matches": matches,
+        "documents": chosen.select("response_id", "account", "kind", "match_key").join(text, "response_id"), "asset_refs": asset_refs(fine.select("id", "json_text")),
+        "jobs": acknowledged_state(named.select("account", "operation", "fetched_at", "event_id", "outcome", F.col("response_event_id").alias("response_id")), ["account", "operation"]),
+    }
+
+
+def last_success(stored: DataFrame, fetched: DataFrame, issues: DataFrame, now: Column, stale_after: int = 600) -> DataFrame:
+    """(operation, last_success_at, age_seconds, stale) of ``stored`` (id, operation, http_status, projected), ``fetched`` (response_id, fetched_at), ``issues`` (response_id, code).
+
+    Of the fetches of projected responses with status 200 and without a blocking issue the latest
+    counts; an operation without any is stale. Every operation in ``stored`` has a row.
+    """
+    fine = stored.where("http_status = 200 and projected = 1").join(issues.where(F.col("code").isin(*BLOCKING)).select(F.col("response_id").alias("id")), "id", "left_anti")
+    last = fetched.join(fine.select(F.col("id").alias("response_id"), "operation"), "response_id").groupBy("operation").agg(F.max("fetched_at").alias("last_success_at"))
+    age = F.when(F.col("last_success_at").isNotNull(), F.greatest(F.lit(0), F.unix_seconds(now) - F.unix_seconds("last_success_at")))
+    return stored.select("operation").distinct().join(last, "operation", "left").select("operation", "last_success_at", age.alias("age_seconds"), F.coalesce(age > stale_after, F.lit(True)).alias("stale"))

@@ -92,3 +92,43 @@ def catalog_binding(definitions: DataFrame, responses: DataFrame, current: str)
     d = definitions.groupBy(*key).agg(F.countDistinct(F.sha2("definition", 256)).alias("_n"), F.bool_or(F.col("catalog") == current).alias("_now"))
     b = F.when(F.col("query_id").isNull(), "legacy_unchecked").when(F.col("_n") > 1, "ambiguous").when(F.col("_now"), "known_current").when(F.col("_n") == 1, "known_saved").otherwise("unresolved")
     return responses.join(d, key, "left").withColumn("binding", b).drop("_n", "_now")
+
+
+def assets_due(assets: DataFrame, now: Column, most: int) -> DataFrame:
+    """The assets to fetch next, those with the fewest attempts first."""
+    return assets.where(F.col("state").isin("pending", "retry") & (F.col("next_attempt") <= now)).orderBy("attempts", "url").limit(most)
+
+
+def with_periods(jobs: DataFrame, groups: DataFrame, periods: DataFrame) -> DataFrame:
+    """``jobs`` (account, period_id ...) with start, end, event_id and what is missing, as ``reason``.
+
+    A period is described by the group that lists it (``groups``: account, json_text with timePeriods and
+    leagueMatchSetting); if that lacks its times, by its own entity (``periods``: account, entity_id,
+    json_text, possibly below data). The event comes from the description, else from any group that lists
+    the period. Successive left joins and a coalesce; each side has one row for a period.
+    """
+    v = F.try_parse_json("json_text")
+    body = lambda x: F.coalesce(F.when(F.try_variant_get(x, "$.data", "map<string,variant>").isNotNull(), F.try_variant_get(x, "$.data", "variant")), x)
+    text = lambda c, path: F.try_variant_get(c, path, "string")
+    event = "$.leagueMatchSetting.leagueMatchEvent.id"
+    g = groups.select("account", body(v).alias("g"))
+    g = g.select("account", text(F.col("g"), event).alias("e"), F.explode(F.try_variant_get("g", "$.timePeriods", "array<variant>")).alias("p"))
+    g = g.select("account", text(F.col("p"), "$.id").alias("period_id"), text(F.col("p"), "$.startTime").alias("s"), text(F.col("p"), "$.endTime").alias("t"), "e").where("period_id is not null")
+    listed = g.groupBy("account", "period_id").agg(F.max(F.when(F.col("s").isNotNull() & F.col("t").isNotNull(), F.struct("s", "t", "e"))).alias("a"), F.min("e").alias("any_event"))
+    own = periods.select("account", F.col("entity_id").alias("period_id"), body(v).alias("p"), F.lit(True).alias("there"))
+    own = own.groupBy("account", "period_id").agg(F.max(F.struct(text(F.col("p"), "$.startTime").alias("s"), text(F.col("p"), "$.endTime").alias("t"), text(F.col("p"), event).alias("e"), (F.try_variant_get("p", "$", "map<string,variant>").isNotNull()).alias("fine"))).alias("b"))
+    j = jobs.join(listed, ["account", "period_id"], "left").join(own, ["account", "period_id"], "left")
+    start, end = (F.coalesce(F.col(f"a.{x}"), F.when(F.col("a").isNull(), F.col(f"b.{x}"))) for x in "st")
+    at = lambda c: F.try_to_timestamp(c)
+    found = F.coalesce("a.e", F.when(F.col("a").isNull(), F.col("b.e")), "any_event")
+    reason = (
+        F.when(F.col("period_id").isNull(), "missing_period_id")
+        .when(F.col("a").isNull() & F.col("b").isNull(), "period_entity_not_found")
+        .when(F.col("a").isNull() & ~F.col("b.fine"), "invalid_period_json")
+        .when(start.isNull() | end.isNull(), "missing_period_time_range")
+        .when(at(start).isNull() | at(end).isNull(), "invalid_period_time_format")
+        .when(at(start) >= at(end), "invalid_period_time_range")
+        .when(found.isNull(), "event_id_unconfirmed")
+    )
+    keep = [c for c in jobs.columns if c not in ("start", "end", "event_id", "reason")]
+    return j.select(*keep, at(start).alias("start"), at(end).alias("end"), found.alias("event_id"), reason.alias("reason"))

@@ -115,11 +115,46 @@ def emptied_parts(before: DataFrame, now: DataFrame) -> DataFrame:
     return before.select("part").distinct().join(now.select("part").distinct(), "part", "left_anti")
 
 
-def match_index(matches: DataFrame, classification: DataFrame, homes: DataFrame, tags: DataFrame) -> DataFrame:
-    """One row for each match: identity, population, rule, part, tags in order."""
+def match_index(matches: DataFrame, classification: DataFrame, homes: DataFrame, tags: DataFrame, documents: DataFrame) -> DataFrame:
+    """One row for each match: identity, population and rule (or that there is none), time, stage, result, own weapon, tags in order, whether it has a detail, part."""
     t = tags.groupBy("account", "match_key").agg(F.array_join(F.array_sort(F.collect_set("tag")), "、").alias("tags"))
-    c = classification.select(*KEY, "genre", "rule_raw", "analysis_set")
-    return matches.select(*KEY, "first_seen", "last_seen").join(c, KEY, "left").join(homes, KEY, "left").join(t, ["account", "match_key"], "left")
+    c = classification.select(*KEY, F.nullif("analysis_set", F.lit("")).alias("analysis_set"), F.nullif("rule_raw", F.lit("")).alias("rule_raw"), "rule_name")
+    v, vs = F.col("_v"), F.col("kind") == "vs"
+    stage = F.when(vs, jsonx.text(v, "$.vsStage.name")).otherwise(jsonx.text(v, "$.coopStage.name"))
+    shown = {"played_time": jsonx.text(v, "$.playedTime"), "stage": stage, "judgement": F.when(vs, jsonx.text(v, "$.judgement")), "my_weapon": F.when(vs, jsonx.text(v, "$.player.weapon.name"))}
+    d = documents.select(F.col("response_id").alias("detail_response_id"), *KEY, jsonx.parsed("json_text").alias("_v"))
+    d = d.select("detail_response_id", *KEY, *[x.alias(n) for n, x in shown.items()], F.lit(1).alias("_there"))
+    m = matches.select(*KEY, "detail_response_id").join(d, ["detail_response_id", *KEY], "left").join(c, KEY, "left").join(homes, KEY, "left").join(t, ["account", "match_key"], "left")
+    return m.select(
+        *KEY, F.coalesce("analysis_set", F.lit("unclassified")).alias("analysis_set"), F.coalesce("rule_raw", F.lit("no-rule")).alias("rule_raw"), "rule_name",
+        *shown, "tags", F.coalesce("_there", F.lit(0)).alias("detail_available"), "part",
+    )
+
+
+def response_index(responses: DataFrame, homes: DataFrame, fetches: DataFrame) -> DataFrame:
+    """One row for each response: operation, status, part, how often it was fetched, first and last."""
+    n = fetches.groupBy("response_id").agg(F.count("*").alias("fetches"), F.min("fetched_at").alias("first_fetched_at"), F.max("fetched_at").alias("last_fetched_at"))
+    r = responses.select("id", "account", "operation", "http_status").join(homes, "id", "left")
+    return r.join(n.withColumnRenamed("response_id", "id"), "id", "left").withColumn("fetches", F.coalesce("fetches", F.lit(0)))
+
+
+def asset_index(assets: DataFrame, bodies: DataFrame) -> DataFrame:
+    """One row for each asset: state, content type, length of the stored body and the part that holds it."""
+    b = bodies.select(F.col("sha256").alias("body_sha256"), "byte_length")
+    return assets.select("url", "state", "content_type", "body_sha256").join(b, "body_sha256", "left").select("url", "state", "content_type", "byte_length", image_home(F.col("body_sha256")).alias("part"))
+
+
+def table_homes(placed: DataFrame) -> DataFrame:
+    """(table_name, parts, rows): in how many parts a table lives, from rows (part, table_name, role) of homes and copies."""
+    return placed.where("role = 'home'").groupBy("table_name").agg(F.countDistinct("part").alias("parts"), F.count("*").alias("rows"))
+
+
+def publication(published: DataFrame, verified: DataFrame) -> DataFrame:
+    """(step, action, part) in order: new or changed parts (by sha256) are sent first, the catalog then, and only after it lost ones are deleted."""
+    new = verified.join(published, ["part", "sha256"], "left_anti").select(F.lit(1).alias("step"), F.lit("send").alias("action"), "part")
+    gone = published.join(verified.select("part"), "part", "left_anti").select(F.lit(3).alias("step"), F.lit("delete").alias("action"), "part")
+    change = new.unionByName(gone)
+    return change.unionByName(change.groupBy().agg(F.count("*").alias("n")).where("n > 0").select(F.lit(2).alias("step"), F.lit("catalog").alias("action"), F.lit(None).cast("string").alias("part"))).orderBy("step", "part")
 
 
 def refreshed_index(previous: DataFrame, recomputed: DataFrame) -> DataFrame:

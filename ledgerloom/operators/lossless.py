@@ -65,26 +65,68 @@ def external_cells(cells_: DataFrame, most: int = EXTERNAL_BYTES, size: int = CH
     return chunks(cells_.where(F.octet_length("value") > most), size)
 
 
+def _boundaries(rows: DataFrame, order: str, ranges: int) -> list:
+    """Values of ``order`` that cut ``rows`` into about ``ranges`` ranges of like size, from a sample of at most 64 a range."""
+    some = rows.select(order).where(F.col(order).isNotNull()).orderBy(F.rand(7)).limit(64 * ranges)
+    n = F.ntile(ranges).over(W.orderBy(order))  # the bounded sample
+    return [r[0] for r in some.withColumn("_n", n).groupBy("_n").agg(F.min(order).alias("low")).select("low").distinct().orderBy("low").collect()][1:]
+
+
+def _range_of(order: str, cuts: list) -> Column:
+    """How many of the cuts are not above the value: looked up among every k-th cut first, then among the k after it."""
+    if not cuts:
+        return F.lit(0)
+    k = max(1, int(len(cuts) ** 0.5))
+    upto = lambda a: F.size(F.filter(a, lambda c: c <= F.col(order)))
+    groups = [cuts[i : i + k] for i in range(0, len(cuts), k)]
+    at = upto(F.array(*[F.lit(g[0]) for g in groups]))
+    inner = F.element_at(F.array(*[F.array(*map(F.lit, g)) for g in groups]), F.greatest(at, F.lit(1)))
+    return F.when(at == 0, 0).otherwise((at - 1) * k + upto(inner)).cast("int")
+
+
 def size_bins(rows: DataFrame, order: str, size: Column, most: int = PART_BYTES) -> DataFrame:
-    """``rows`` with part: contiguous ranges in order, each within ``most`` bytes (a longer row is alone in its part).
+    """``rows`` with part: contiguous ranges in order (nulls first), each within ``most`` bytes (a longer row is alone in its part).
 
-    Sums of row sizes are taken within ranges of rows and then over the ranges, so no task sees all rows;
-    a part is the number of whole budgets before a row's end, which no range of rows may exceed.
+    Sums of row sizes are taken within ranges of rows and then over the ranges, so no task sees all rows.
+    The ranges have boundaries that are taken once, so that sums and rows agree on them. Rows that
+    begin in the same half of a budget are one part, unless a row of over half a budget, which has a part of
+    its own, is between them. Part numbers rise with the order, with gaps. ``order`` should be unique.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    r = rows.withColumn("_size", size.cast("long")).repartitionByRange(parts, order).withColumn("_range", F.spark_partition_id())
-    sums = r.groupBy("_range").agg(F.sum("_size").alias("_sum"))
-    before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # a row for each range
-    r = r.join(F.broadcast(before.select("_range", "_before")), "_range")
-    upto = F.sum("_size").over(W.partitionBy("_range").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    r = rows.withColumn("_size", F.coalesce(size.cast("long"), F.lit(0))).withColumn("_range", _range_of(order, _boundaries(rows, order, parts)))
     half = max(1, most // 2)
-    return r.withColumn("_upto", F.col("_before") + upto).withColumn("part", F.floor((F.col("_upto") - F.col("_size")) / half).cast("long")).drop("_size", "_range", "_before", "_upto")
-
-
-def stream_digest(digests: DataFrame, order: str) -> DataFrame:
-    """One digest of an ordered stream of row digests, in two levels: of each run of 4096 ordinals, then of the runs."""
-    runs = digests.withColumn("_run", F.floor(F.col(order) / 4096)).groupBy("_run").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "digest"))), lambda x: F.concat(x[order].cast("string"), F.lit(":"), x["digest"])), "|"), 256).alias("d"), F.count("*").alias("n"))
-    return runs.agg(F.sum("n").alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_run", "d"))), lambda x: x["d"]), "|"), 256).alias("digest"))
+    r = r.withColumn("_big", (F.col("_size") > half).cast("long"))
+    sums = r.groupBy("_range").agg(F.sum("_size").alias("_sum"), F.sum("_big").alias("_bigs"))
+    earlier = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
+    before = sums.select("_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"), F.coalesce(F.sum("_bigs").over(earlier), F.lit(0)).alias("_big_before"))
+    r = r.join(F.broadcast(before), "_range")  # as many rows as shuffle partitions
+    upto = W.partitionBy("_range").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    start = F.col("_before") + F.sum("_size").over(upto) - F.col("_size")
+    bigs = F.col("_big_before") + F.sum("_big").over(upto)
+    part = F.floor(start / half).cast("long") + 2 * bigs - F.col("_big")
+    return r.withColumn("part", part).drop("_size", "_big", "_range", "_before", "_big_before")
+
+
+def stream_digest(digests: DataFrame, order: str, run: int = 4096) -> DataFrame:
+    """One digest of an ordered stream of row digests: of each run of ordinals, then of runs of these, until one is left.
+
+    No task holds more than ``run`` digests. An empty stream has the digest of no text.
+    """
+    level = digests.select(F.col(order).cast("long").alias("at"), "digest", F.lit(1).cast("long").alias("n"))
+    most = level.agg(F.max(F.abs("at"))).first()[0] or 0
+    while True:
+        lines = F.transform(F.array_sort(F.collect_list(F.struct("at", "digest"))), lambda x: F.concat(x["at"].cast("string"), F.lit(":"), x["digest"]))
+        if most < run:
+            return level.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.sha2(F.array_join(lines, "|"), 256).alias("digest"))
+        level = level.groupBy(F.floor(F.col("at") / run).alias("_at")).agg(F.sha2(F.array_join(lines, "|"), 256).alias("digest"), F.sum("n").alias("n")).withColumnRenamed("_at", "at")
+        most = most // run + 1
+
+
+def outsized(cells_: DataFrame, most: int = PART_BYTES) -> DataFrame:
+    """(row_key, column_name): of rows whose cells are over ``most`` bytes together, the largest cells, as many as bring the rest within it."""
+    sized = cells_.select("row_key", "column_name", "column_index", F.coalesce(F.octet_length("value"), F.lit(0)).cast("long").alias("_b"))
+    least_first = W.partitionBy("row_key").orderBy("_b", F.col("column_index").desc())  # one row's cells
+    return sized.withColumn("_upto", F.sum("_b").over(least_first.rowsBetween(W.unboundedPreceding, 0))).where((F.col("_upto") > most) & (F.col("_b") > 0)).select("row_key", "column_name")
 
 
 def compared(a: DataFrame, b: DataFrame, ordinal: str) -> DataFrame:

@@ -44,10 +44,10 @@ METRIC_LABELS = {
     "vibes": "チョーシ",
 }
 #: Fixed names that are no metrics although they end like one, subtrees that are not entered, and endings of metrics.
-NOT_METRICS = frozenset(
-    "kill death assist special paint width height duration order waveNumber waterLevel goldenPopCount defeatEnemyCount defeatCount "
-    "goldenAssistCount rescueCount rescuedCount noroshi noroshiTry paintPoint paintRatio score festUniformBonusRate contribution".split()
-)
+NOT_METRICS = frozenset((
+    "kill", "death", "assist", "special", "paint", "width", "height", "duration", "order", "waveNumber", "waterLevel", "goldenPopCount", "defeatEnemyCount", "defeatCount",
+    "goldenAssistCount", "rescueCount", "rescuedCount", "noroshi", "noroshiTry", "paintPoint", "paintRatio", "score", "festUniformBonusRate", "contribution",
+))
 NOT_ENTERED = frozenset(("memberResults", "enemyResults", "badges", "additionalGearPowers"))
 ENDINGS = ("Power", "Rate", "Point", "Score", "Percentile")
 
@@ -114,20 +114,28 @@ SERIES = ["account", "series_id", "label", "genre", "rule_raw", "source", "prior
 def series_summary(points: DataFrame, keys: list[str] | None = None, time: str = "played_time", tie: str = "match_key") -> DataFrame:
     """Count, latest, previous, delta, min and max of each series, ordered by time (null first) and tie.
 
-    Null and non-finite values are dropped before the order is taken. The two latest values come
-    from a bounded aggregate, so a long series is never gathered: partial maxima meet in the shuffle.
+    Null and non-finite values are dropped before the order is taken. The two latest values are those
+    of a row number up to 2, which Spark limits before the shuffle: of a long series each task passes on two rows.
     """
     keys = keys or SERIES
     fine = points.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
-    order = F.struct(F.col(time).isNotNull().alias("a"), F.col(time).alias("b"), F.col(tie).alias("c"), F.col("value").alias("v"))
-    last = F.max_by(F.col("value"), order)
-    one = fine.groupBy(*keys).agg(F.count("*").alias("count"), last.alias("latest"), F.min("value").alias("min"), F.max("value").alias("max"), F.max(order).alias("_top"))
-    before = fine.join(one.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_top").alias("_cut")), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]).where(order < F.col("_cut")).groupBy(*[F.col(k) for k in keys]).agg(F.max_by(F.col("value"), order).alias("previous"))
-    before = before.select(*[F.col(k).alias(f"_{k}") for k in keys], "previous")
-    out = one.join(before, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left")
+    late_first = W.partitionBy(*keys).orderBy(F.col(time).isNotNull().desc(), F.col(time).desc(), F.col(tie).desc(), F.col("value").desc())
+    two = fine.select(*keys, time, tie, "value").withColumn("_n", F.row_number().over(late_first)).where("_n <= 2")
+    ends = two.groupBy(*keys).agg(F.max(F.when(F.col("_n") == 1, F.col("value"))).alias("latest"), F.max(F.when(F.col("_n") == 2, F.col("value"))).alias("previous"))
+    ends = ends.select(*[F.col(k).alias(f"_{k}") for k in keys], "latest", "previous")
+    one = fine.groupBy(*keys).agg(F.count("*").alias("count"), F.min("value").alias("min"), F.max("value").alias("max"))
+    out = one.join(ends, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left")
     return out.select(*keys, "count", "latest", "previous", (F.col("latest") - F.col("previous")).alias("delta"), "min", "max")
 
 
+def display_stats(points: DataFrame) -> DataFrame:
+    """What a chart of each shown series says: latest, change (a dash for one point), least, most and count, as texts; ratios in percent."""
+    s = rate_summary(points)
+    shown = lambda c: F.when(F.col("unit") == "ratio", F.concat(labels.short_number(F.col(c) * 100), F.lit("%"))).otherwise(labels.short_number(F.col(c)))
+    change = F.when(F.col("unit") == "ratio", F.concat(labels.signed_number(F.col("delta") * 100), F.lit("%"))).otherwise(labels.signed_number(F.col("delta")))
+    return s.select(*SERIES, shown("latest").alias("latest"), F.coalesce(change, F.lit("—")).alias("change"), shown("min").alias("least"), shown("max").alias("most"), "count")
+
+
 def rate_summary(points: DataFrame) -> DataFrame:
     """``series_summary`` of the series that are shown, with unit and display order."""
     s = series_summary(points.where(~labels.is_hidden(F.col("series_id"), F.col("label"))))

@@ -92,6 +92,23 @@ def search(frame: DataFrame, s: Search, weapons: DataFrame, tags: DataFrame) ->
     return out
 
 
+def get(frame: DataFrame, account: str, kind: str, match_key: str) -> DataFrame:
+    """The one record of a match with its detail_state's columns, no row if there is none; the key reaches the scans as a filter."""
+    return frame.where((F.col("account") == account) & (F.col("kind") == kind) & (F.col("match_key") == match_key)).limit(1)
+
+
+def only_account(matches: DataFrame) -> DataFrame:
+    """(accounts, account): how many accounts there are, and the one if it is only one. Two distinct names are enough to know."""
+    few = matches.select("account").where("account is not null").distinct().limit(2)
+    return few.agg(F.count("*").alias("accounts"), F.when(F.count("*") == 1, F.max("account")).alias("account"))
+
+
+def tag_lists(classification: DataFrame, tags: DataFrame) -> DataFrame:
+    """(account, kind, match_key, tags) for a sheet: each match's tags in order, comma-joined; empty without any."""
+    t = tags.groupBy("account", "match_key").agg(F.array_join(F.array_sort(F.collect_set("tag")), ", ").alias("tags"))
+    return classification.select(*views.KEY).join(t, ["account", "match_key"], "left").select(*views.KEY, F.coalesce("tags", F.lit("")).alias("tags"))
+
+
 def page(found: DataFrame, s: Search) -> DataFrame:
     """One page in order of kind and key."""
     return found.orderBy("kind", "match_key").offset(s.offset).limit(s.limit)

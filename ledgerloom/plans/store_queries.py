@@ -113,9 +113,10 @@ def verify_bodies(s, d):
     return evidence.verify(b, b.select(F.lit(1).alias("id"), F.col("sha256").alias("body_sha256")))
 
 
-@query("SELECT 'rows' AS section, 'jobs' AS name, count(*) AS n FROM jb UNION ALL SELECT 'rows', 'matches', count(*) FROM o UNION ALL SELECT 'jobs', state, count(*) FROM jb GROUP BY state", True)
+@query("""SELECT 'rows' AS section, 'jobs' AS name, count(*) AS n FROM jb UNION ALL SELECT 'rows', 'matches', count(*) FROM o UNION ALL SELECT 'rows', 'match_classification', count(*) FROM cs UNION ALL SELECT 'rows', 'match_tags', count(*) FROM tg UNION ALL SELECT 'jobs', state, count(*) FROM jb GROUP BY state
+UNION ALL SELECT 'matches', 'without detail', count_if(NOT has_detail)::BIGINT FROM o UNION ALL SELECT 'analysis', 'vs/' || genre || '/' || roster_class || '/' || analysis_set, count(*) FROM cs GROUP BY 2 UNION ALL SELECT 'tags', tag, count(*) FROM tg GROUP BY tag""", True)
 def archive_status(s, d):
-    return evidence.status({"matches": fx.matches(s, d), "jobs": fx.jobs(s, d)})
+    return evidence.status({"matches": fx.matches(s, d), "jobs": fx.jobs(s, d), "match_classification": _classes(s, d), "match_tags": fx.tags(s, d)})
 
 
 # -- jobs ---------------------------------------------------------------------------------------------------------
@@ -318,11 +319,14 @@ def body_homes(s, d):
     return layout.body_homes(docs.select(F.col("body_sha256").alias("sha256")).distinct(), docs.select("id", "body_sha256"), docs.select("id", "part"), none)
 
 
-@query(f", {_HOME} SELECT h.account, h.match_key, o.first_seen, o.last_seen, genre, cs.rule_raw, analysis_set, part, (SELECT string_agg(tag, '、' ORDER BY tag) FROM tg WHERE tg.account = h.account AND tg.match_key = h.match_key) AS tags FROM h JOIN o USING (k) LEFT JOIN cs USING (k)", True)
+@query(f""", {_HOME} SELECT h.account, 'vs' AS kind, h.match_key, coalesce(analysis_set, 'unclassified') AS analysis_set, coalesce(cs.rule_raw, 'no-rule') AS rule_raw, 'n_' || cs.rule_raw AS rule_name, cs.played AS played_time,
+'stage' || (cs.k % 6) AS stage, cs.judgement, CASE WHEN cs.k % 3 = 0 THEN 'w3' END AS my_weapon, (SELECT string_agg(tag, '、' ORDER BY tag) FROM tg WHERE tg.account = h.account AND tg.match_key = h.match_key) AS tags,
+(cs.k IS NOT NULL)::BIGINT AS detail_available, part FROM h JOIN o USING (k) LEFT JOIN cs USING (k)""", True)
 def match_index(s, d):
-    c = _classes(s, d)
-    m = fx.matches(s, d)
-    return layout.match_index(m, c, layout.match_home(m, c, fx.documents(s, d)), fx.tags(s, d)).drop("kind")
+    m, c = fx.matches(s, d), _classes(s, d)
+    own = F.concat(F.lit('{"player":{"weapon":{"name":"w3"}},'), F.substring("json_text", 2, 1 << 30))
+    docs = fx.documents(s, d).withColumn("json_text", F.when(F.col("response_id") % 3 == 0, own).otherwise(F.col("json_text")))
+    return layout.match_index(m, c, layout.match_home(m, c, docs), fx.tags(s, d), docs)
 
 
 _PARTS = "b AS (SELECT o_orderkey AS id, o_orderpriority || (o_orderkey % 50) AS part FROM orders WHERE o_orderkey % 100 <> 3), n AS (SELECT o_orderkey AS id, o_orderpriority || ((o_orderkey + CASE WHEN o_orderkey % 999 = 0 THEN 1 ELSE 0 END) % 50) AS part FROM orders WHERE o_orderkey % 777 <> 5)"
@@ -396,7 +400,7 @@ def cells_roundtrip(s, d):
     return lossless.restored(lossless.cells(c, "c_custkey"), "row_key", [("c_custkey", "bigint"), ("c_name", "string"), ("c_acctbal", "double"), ("c_mktsegment", "string")]).drop("row_key")
 
 
-@query("SELECT doc_id, floor((sum(strlen(text)) OVER (ORDER BY doc_id) - strlen(text)) / 50000)::BIGINT AS part FROM documents")
+@query("SELECT doc_id, (floor((sum(n) OVER (ORDER BY doc_id) - n) / 50000) + 2 * sum((n > 50000)::INT) OVER (ORDER BY doc_id) - (n > 50000)::INT)::BIGINT AS part FROM (SELECT doc_id, strlen(text) AS n FROM documents)")
 def size_bins(s, d):
     return lossless.size_bins(fx.read(s, d, "documents").select("doc_id", "text"), "doc_id", F.octet_length("text"), 100_000).select("doc_id", "part")
 

@@ -142,10 +142,11 @@ def test_incremental_index_equals_full(spark, seed):
 
     def index(m, c, t):
         m = spark.createDataFrame(m, key + ", first_seen string, last_seen string, detail_response_id long")
-        c = spark.createDataFrame(c, key + ", genre string, rule_raw string, analysis_set string")
+        c = spark.createDataFrame([(*x, "name") for x in c], key + ", genre string, rule_raw string, analysis_set string, rule_name string")
         t = spark.createDataFrame(t, "account string, match_key string, tag string")
+        docs = m.where("detail_response_id % 3 > 0").select(F.col("detail_response_id").alias("response_id"), "account", "kind", "match_key", F.lit('{"playedTime":"2026-01-01T00:00:00Z","judgement":"WIN","player":{"weapon":{"name":"w"}}}').alias("json_text"))
         h = m.select("account", "kind", "match_key", F.concat(F.lit("p"), "match_key").alias("part"))
-        return layout.match_index(m, c, h, t)
+        return layout.match_index(m, c, h, t, docs)
 
     m, c, t = world(20)
     before = index(m, c, t)
@@ -307,18 +308,82 @@ def test_recipes(spark):
     from ledgerloom.plans import recipes
 
     d = "/root/testdata/sf0.001"
-    m, docs, coop = fx.matches(spark, d), fx.documents(spark, d), fx.coop_details(spark, d)
-    det = details.match_details(m, docs)
-    c = classify.classify(det)
-    homes = layout.match_home(m, c, docs)
+    coop = fx.coop_details(spark, d)
     tables = {t: spark.createDataFrame([], ddl) for t, ddl in schema.TABLES.items()} | {
-        "matches": m, "other_matches": m, "documents": docs, "match_classification": c, "battles": details.battles(det, c), "match_home": homes, "battle_players": details.battle_players(details.battle_teams(det)),
-        "salmon_waves": details.salmon_waves(coop), "match_index": layout.match_index(m, c, homes, fx.tags(spark, d)),
+        "matches": fx.matches(spark, d), "documents": fx.documents(spark, d), "coop_details": coop, "match_tags": fx.tags(spark, d),
+        "jobs": fx.jobs(spark, d).withColumn("operation", F.lit("Op")).withColumn("attempts", F.lit(1)),
+        "response_fetches": spark.createDataFrame([("a", 1, "2026-01-01T00:00:00Z"), ("b", 1, "2026-01-01T00:01:00Z"), ("c", 2, "x")], "event_id string, response_id long, fetched_at string"),
+        "rate_points": spark.createDataFrame([("a", "g|R|jobRate", "L", "g", "R", "m1", "t1", 2.0, "api", "primary"), ("a", "g|R|jobRate", "L", "g", "R", "m2", "t2", 5.0, "api", "primary")], schema.TABLES["rate_points"]),
     }
-    args = {"match_key": "m1", "analysis_set": "xmatch", "rule_raw": "LOFT", "tag": "x", "url": "u"}
-    for name, sql in recipes.RECIPES.items():
-        n = recipes.ask(spark, name, tables, **{k: v for k, v in args.items() if f":{k}" in sql}).count()
-        assert n > 0 or any(t in sql for t in ("rate_points", "assets", "responses", "response_fetches", "FROM jobs")), name
+    r = recipes.RECIPES
+    wins = r["win_rates"](tables).collect()
+    assert len(wins) > 5 and all(x["win_rate"] is None or abs(x["win_rate"] - x["wins"] / (x["wins"] + x["losses"])) < 1e-12 for x in wins)
+    one = tables["matches"].where("detail_response_id is not null").first()
+    sheet = r["match_sheet"](tables, one["account"], "vs", one["match_key"]).collect()
+    assert len(sheet) == 1 and sheet[0]["detail_state"] == "available" and sheet[0]["json_text"] and r["match_sheet"](tables, "none", "vs", "m").count() == 0
+    assert r["weapon_results"](tables).agg(F.sum("matches")).first()[0] > 0
+    waves = {x["match_key"]: tuple(x)[2:] for x in r["wave_totals"](tables).collect()}
+    for k, n in coop.select("match_key", F.get_json_object("json_text", "$.myResult.goldenDeliverCount").cast("int")).collect():
+        assert waves[k] == (2, 2 * n + 1, n + 1)
+    assert [tuple(x)[7:] for x in r["courses"](tables).collect()] == [(2, 5.0, 2.0, 3.0, 2.0, 5.0, "number")]
+    assert {x["match_key"] for x in r["tagged_matches"](tables, "x").collect()} == {x["match_key"] for x in tables["match_tags"].where("tag = 'x'").collect()}
+    assert [tuple(x) for x in r["refetched"](tables).collect()] == [(1, 2, "2026-01-01T00:00:00Z", "2026-01-01T00:01:00Z", 60)]
+    assert {x["state"]: x["jobs"] for x in r["open_work"](tables).collect()} == {x["state"]: x["count"] for x in tables["jobs"].where("state <> 'unavailable'").groupBy("state").count().collect()}
+
+
+def test_size_bins_agree_on_ranges_that_a_sample_cannot_cover(spark):
+    rows = spark.range(0, 2_000_000, 1, 6).select(F.xxhash64("id").alias("id"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(200)) + 1).alias("b"))
+    for most in (1_000_000, 90):
+        part = lossless.size_bins(rows if most > 90 else rows.limit(20_000), "id", F.col("b"), most).groupBy("part").agg(F.sum("b").alias("b"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n"))
+        got = sorted(part.collect(), key=lambda r: r["lo"])
+        assert all(r["b"] <= most or r["n"] == 1 for r in got) and [r["part"] for r in got] == sorted(r["part"] for r in got)
+        assert all(x["hi"] < y["lo"] for x, y in zip(got, got[1:], strict=False)) and sum(r["n"] for r in got) == (2_000_000 if most > 90 else 20_000)
+    odd = spark.createDataFrame([(None, 5), ("a", None), ("b", 500), ("c", 1)], "id string, b long")
+    assert [r["part"] for r in lossless.size_bins(odd, "id", F.col("b"), 10).orderBy("id").collect()] == [0, 1, 2, 103]
+
+
+def test_stream_digest_folds_in_levels(spark):
+    rows = spark.range(5000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("digest"))
+    one = lambda d, run=4: lossless.stream_digest(d, "id", run).first()
+    assert one(rows) == one(rows.repartition(5)) and one(rows)["rows"] == 5000
+    assert len({one(d)["digest"] for d in (rows, rows.where("id <> 4321"), rows.withColumn("digest", F.when(F.col("id") == 7, "x").otherwise(F.col("digest"))))}) == 3
+    assert one(rows.limit(0))["rows"] == 0
+
+
+def test_outsized_cells(spark):
+    c = spark.createDataFrame([("r", 0, "a", "x" * 60), ("r", 1, "b", "x" * 50), ("r", 2, "c", "x" * 30), ("s", 0, "a", "y"), ("t", 0, "a", None)], "row_key string, column_index int, column_name string, value string")
+    assert {tuple(x) for x in lossless.outsized(c, 100).collect()} == {("r", "a")} and {tuple(x) for x in lossless.outsized(c, 70).collect()} == {("r", "a"), ("r", "b")}
+
+
+def test_envelopes_choose_among_clashing_fetches(spark):
+    import base64
+
+    enc = lambda x: base64.b64encode(x.encode()).decode()
+    rows = [("e1", "a", "2026-01-02", "Op", "{}", None, None, 200, "{}", enc("later")), ("e1", "a", "2026-01-01", "Op", "{}", None, None, 200, "{}", enc("first")), ("e1", "a", "2026-01-01", "Op", "{}", None, None, 200, "{}", enc("first")), ("e2", "a", "2026-01-01", "Op", "{}", None, None, 200, "{}", enc("x"))]
+    for order in (rows, rows[::-1]):
+        good, _ = ingest.envelopes(spark.createDataFrame(order, schema.ENVELOPE))
+        assert {x["event_id"]: bytes(x["body"]) for x in good.collect()} == {"e1": b"first", "e2": b"x"} and good.count() == 2
+
+
+def test_project_is_one_plan_over_the_log(spark):
+    import base64
+    import json
+
+    mid = base64.b64encode(b"VsHistoryDetail-u-abc:RECENT:20260101T000000_d1").decode()
+    enc = lambda x: base64.b64encode(json.dumps(x).encode()).decode()
+    detail = {"data": {"detail": {"id": mid, "playedTime": "2026-01-01T00:00:00Z", "image": {"url": "https://h/i.png"}}}}
+    row = lambda e, at, op, body, status=200: (e, "acc", at, op, "{}", None, None, status, "{}", body)
+    log = [row("f1", "2026-01-01", "List", enc({"data": {"nodes": [{"id": mid}]}})), row("f2", "2026-01-02", "Detail", enc(detail)), row("f3", "2026-01-03", "Detail", enc(detail)), row("f4", "2026-01-04", "List", enc({"data": None}), 500), row("f5", "2026-01-05", "Bad", base64.b64encode(b"{").decode())]
+    for order in (log, log[::-1]):
+        p = ingest.project(ingest.envelopes(spark.createDataFrame(order, schema.ENVELOPE))[0], {"Detail": "detail"})
+        assert {x["id"]: x["outcome"] for x in p["responses"].collect()} == {"f1": "done", "f2": "done", "f4": "retry", "f5": "retry"}
+        assert {(x["event_id"], x["response_event_id"]) for x in p["receipts"].collect()} == {("f1", "f1"), ("f2", "f2"), ("f3", "f2"), ("f4", "f4"), ("f5", "f5")}
+        assert {tuple(x) for x in p["issues"].collect()} == {("f4", "INCOMPLETE_RESPONSE"), ("f5", "INVALID_JSON")}
+        assert {tuple(x) for x in p["endpoint_heads"].collect()} == {("acc", "List", "f1"), ("acc", "Detail", "f2")}
+        m = p["matches"].collect()
+        assert len(m) == 1 and (m[0]["first_seen"], m[0]["last_seen"], m[0]["detail_response_id"]) == ("2026-01-01", "2026-01-02", "f2")
+        assert [json.loads(x["json_text"]) for x in p["documents"].collect()] == [detail["data"]["detail"]] and [x["url"] for x in p["asset_refs"].collect()] == ["https://h/i.png"]
+        assert {(x["operation"], x["state"], x["attempts"]) for x in p["jobs"].collect()} == {("List", "retry", 2), ("Detail", "done", 2), ("Bad", "retry", 1)}
 
 
 def _gaps(rows):
