@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.shipping import ship
-from .common import pieces, stage, unstage
+from .common import pieces, ship, stage, unstage
 
 #: Fixed control strings of the template.
 START, END = "<|im_start|>", "<|im_end|>"

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.shipping import ship
+from ..functions import shipping
 
 #: Fixed character classes of the operators' contracts (as regular expressions).
 WORD_WS = r"[^\x20\x09-\x0D]+"
@@ -27,11 +27,26 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch on its way to Python.
+BATCH_BYTES = "8m"
+
+
+def ship(spark: SparkSession) -> None:
+    """Make the package importable on the executors; where the session does not bound Arrow batches by bytes itself, bound them.
+
+    The bound is one and the same for all operators and changes no result, so frames may run in any order.
+    """
+    shipping.ship(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def pieces(batches: Iterable[pa.RecordBatch], most: int = 1 << 20, rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Slices of Arrow batches with at most ``most`` bytes of text and ``rows`` rows (a longer text is alone).
 
-    Spark bounds the batches themselves, by ``spark.sql.execution.arrow.maxBytesPerBatch``; what Python
-    builds from a batch is many times larger, so tasks work on slices. No setting of the session is changed.
+    Spark bounds the batches themselves (see ``ship``); what Python builds from a batch is many times
+    larger, so tasks work on slices.
     """
     for b in batches:
         size = np.zeros(len(b), np.int64)

@@ -17,8 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from ..functions.shipping import ship
-from .common import LOWER, UPPER, WORD_ALNUM, broadcast_if, pieces, stage, unstage
+from .common import LOWER, UPPER, WORD_ALNUM, broadcast_if, pieces, ship, stage, unstage
 
 WINDOW = 13
 #: Most benchmark words that are broadcast at a time (some 70 MB); a larger benchmark is scanned in several passes.

@@ -13,8 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.shipping import ship
-from .common import pieces
+from .common import pieces, ship
 from .pii_examples import Maker
 
 KINDS = ("email", "ip", "card", "phone")

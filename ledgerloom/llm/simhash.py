@@ -11,8 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.shipping import ship
-from .common import LOWER_BYTES, connected_components, pieces, stage
+from .common import LOWER_BYTES, connected_components, pieces, ship, stage
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 #: Fingerprints that one block may hold to be compared in a task; those of larger blocks meet at their close variants instead.

@@ -24,8 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.shipping import ship
-from .common import pieces, stage, unstage
+from .common import pieces, ship, stage, unstage
 
 LENGTH, GRAM = 50, 24
 #: Bytes of text in a batch and in a piece of a long text; bytes of sorted records that one bucket holds.

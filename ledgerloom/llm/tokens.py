@@ -11,8 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.shipping import ship
-from .common import pieces
+from .common import pieces, ship
 
 SPACE = "▁"
 #: Bytes from which a text is cut into chunks (which have so many characters), and how many chunk maps one step composes.
