@@ -18,6 +18,15 @@ def parsed(json_text: Column | str) -> Column:
     return F.try_parse_json(json_text)
 
 
+def with_parsed(df: DataFrame, name: str, column: str = "json_text") -> DataFrame:
+    """``df`` with the Variant of a column, parsed once for each row.
+
+    The Variant comes out of a one-element array, which the optimizer does not fold into what reads it; as a plain
+    column it would be parsed anew in every filter and expression that is pushed below it.
+    """
+    return df.select("*", F.explode(F.array(parsed(column))).alias(name))
+
+
 def _get(v: Column, path: str, kind: str) -> Column:
     return F.try_variant_get(v, path, kind)
 

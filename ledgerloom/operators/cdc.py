@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lossless import numbered
+from .overlay import current_rows
+
 
 def cell_key(df: DataFrame, columns: list[str]) -> Column:
     """One string of typed, length-prefixed cells, equal exactly for rows with the same types and values; -0.0 is not 0.0 in it."""
@@ -58,6 +61,32 @@ def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.subtract(b).withColumn("side", F.lit("a")).unionByName(b.subtract(a).withColumn("side", F.lit("b")))
 
 
+def operation_log(changes: DataFrame) -> DataFrame:
+    """``changes`` (table_name, op, identity, values ...) of all tables with ordinal: one gapless sequence, a table's operations together.
+
+    A table's clear comes first, then its operations by identity; rows without an identity (of a cleared table) by their
+    content. Equal rows may change places, which changes nothing.
+    """
+    rest = F.sha2(F.to_json(F.struct(*[c for c in changes.columns if c not in ("table_name", "op", "identity")])), 256)
+    place = F.concat_ws("\x01", "table_name", F.when(F.col("op") == "clear_table", "0").otherwise("1"), F.coalesce("identity", F.lit("")), F.coalesce(rest, F.lit("")))
+    return numbered(changes.withColumn("_place", place), "_place").drop("_place")
+
+
+def replay_problems(before: DataFrame, log: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """(key, op): what is still to be done after one table's log was applied to ``before``; no rows if the log is right."""
+    got = current_rows(before, log.withColumn("generation", F.lit(0)), key)
+    return feed_of(got.select(*after.columns), after, key)
+
+
+def identity_problems(log: DataFrame) -> DataFrame:
+    """(table_name, identity, problem): identities that a log names twice, and operations that lack one although nothing was cleared."""
+    cleared = log.where("op = 'clear_table'").select("table_name").distinct().withColumn("_cleared", F.lit(True))
+    ops = log.where("op <> 'clear_table'")
+    twice = ops.where("identity is not null").groupBy("table_name", "identity").agg(F.count("*").alias("n")).where("n > 1").select("table_name", "identity", F.lit("repeated").alias("problem"))
+    lost = ops.where("identity is null").select("table_name", "op").distinct().join(F.broadcast(cleared), "table_name", "left").where("_cleared is null or op = 'delete'")  # names of tables
+    return twice.unionByName(lost.select("table_name", F.lit(None).cast(log.schema["identity"].dataType).alias("identity"), F.lit("missing").alias("problem")).distinct())
+
+
 def transport_problems(operations: DataFrame) -> DataFrame:
     """(table_name, problem): operation logs whose ordinals are not contiguous, that clear twice, or clear after an upsert."""
     per = operations.groupBy("table_name").agg(F.count_if(F.col("op") == "clear_table").alias("clears"), F.min(F.when(F.col("op") != "clear_table", F.col("ordinal"))).alias("first"), F.max(F.when(F.col("op") == "clear_table", F.col("ordinal"))).alias("cleared"), F.count("*").alias("n"), F.countDistinct("ordinal").alias("d"), F.min("ordinal").alias("lo"), F.max("ordinal").alias("hi"))

@@ -40,15 +40,24 @@ def analysis_set(genre: Column, roster: Column) -> Column:
     return F.when(genre.isin(*PUBLIC_SETS, *COOP_GENRES.values()), genre).otherwise(F.coalesce(private, F.lit("hold")))
 
 
-def classify(details: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(account, kind, match_key, detail_response_id, genre ... opponent_counts) for ``match_details`` rows, and the columns ``keep``."""
+#: What a result view shows of a detail besides its classes.
+SHOWN = {"played_time": "$.playedTime", "judgement": "$.judgement"}
+
+
+def classify(details: DataFrame, keep: tuple[str, ...] = (), also: dict[str, str] | None = None) -> DataFrame:
+    """(account, kind, match_key, detail_response_id, genre ... opponent_counts) for ``match_details`` rows, and the columns ``keep``.
+
+    ``also`` names texts (name: path) that are taken out of the details in the same pass.
+    """
+    also = also or {}
     v = F.col("_v")
-    d = details.select("account", "kind", "match_key", "detail_response_id", *keep, jsonx.parsed("json_text").alias("_v"))
+    d = jsonx.with_parsed(details, "_v").select("account", "kind", "match_key", "detail_response_id", *keep, "_v")
     mine = F.size(jsonx.elements(v, "$.myTeam.players"))
     others = jsonx.elements(v, "$.otherTeams")
     counts = F.transform(others, lambda t: F.size(F.try_variant_get(t, "$.players", "array<variant>")))
     d = d.select(
         *[c for c in d.columns if c != "_v"],
+        *[jsonx.text(v, path).alias(name) for name, path in also.items()],
         jsonx.text(v, "$.vsMode.mode").alias("mode_raw"),
         jsonx.text(v, "$.bankaraMatch.mode").alias("bankara_mode"),
         F.when(F.col("kind") == "coop", jsonx.text(v, "$.rule")).otherwise(jsonx.text(v, "$.vsRule.rule")).alias("rule_raw"),

@@ -15,24 +15,41 @@ def match_details(matches: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def _parsed(details: DataFrame, kind: str) -> DataFrame:
-    return details.where(F.col("kind") == kind).withColumn("_v", jsonx.parsed("json_text"))
+    return jsonx.with_parsed(details.where(F.col("kind") == kind), "_v")
+
+
+def _first_and_rest(v: Column, first: str, rest: str) -> Column:
+    """The object below ``first`` (if it is one) as (0, 1, it), then the elements below ``rest`` as (1, 0, it) and so on: one array, so one pass."""
+    one = F.array(F.struct(F.lit(0).alias("i"), F.lit(1).alias("own"), F.try_variant_get(v, first, "variant").alias("e")))
+    others = F.transform(jsonx.elements(v, rest), lambda e, i: F.struct((i + 1).alias("i"), F.lit(0).alias("own"), e.alias("e")))
+    none = F.filter(one, lambda x: F.lit(False))
+    return F.concat(F.when(jsonx.is_object(v, first), one).otherwise(none), F.coalesce(others, none))
 
 
 def _each(frame: DataFrame, v: str, path: str, index: str, keep: list[str]) -> DataFrame:
     return frame.select(*keep, F.posexplode(jsonx.elements(F.col(v), path)).alias(index, "_e"))
 
 
+def _teams(details: DataFrame) -> DataFrame:
+    rows = _parsed(details, "vs").select("account", "match_key", F.inline(_first_and_rest(F.col("_v"), "$.myTeam", "$.otherTeams")))
+    return rows.toDF("account", "match_key", "team_index", "is_my_team", "_t")
+
+
 def battle_teams(details: DataFrame) -> DataFrame:
     """The own team as index 0 (if it is an object), then the other teams from 1."""
-    d = _parsed(details, "vs")
-    v, key = F.col("_v"), ["account", "match_key"]
-    own = d.where(jsonx.is_object(v, "$.myTeam")).select(*key, F.lit(0).alias("team_index"), F.lit(1).alias("is_my_team"), jsonx.subtree(v, "$.myTeam").alias("json_text"))
-    rest = _each(d, "_v", "$.otherTeams", "i", key).select(*key, (F.col("i") + 1).alias("team_index"), F.lit(0).alias("is_my_team"), F.to_json("_e").alias("json_text"))
-    return own.unionByName(rest)
+    return _teams(details).select("account", "match_key", "team_index", "is_my_team", F.to_json("_t").alias("json_text"))
+
+
+def players_of(details: DataFrame) -> DataFrame:
+    """``battle_players`` of all teams of ``details``, without printing and parsing the teams between."""
+    return _players(_teams(details))
 
 
 def battle_players(teams: DataFrame) -> DataFrame:
-    t = teams.withColumn("_t", jsonx.parsed("json_text"))
+    return _players(jsonx.with_parsed(teams, "_t"))
+
+
+def _players(t: DataFrame) -> DataFrame:
     p, e = _each(t, "_t", "$.players", "player_index", ["account", "match_key", "team_index", "is_my_team"]), F.col("_e")
     numbers = {"is_myself": "$.isMyself", "paint": "$.paint", "kills": "$.result.kill", "assists": "$.result.assist", "deaths": "$.result.death", "specials": "$.result.special"}
     texts = {"player_id": "$.id", "name": "$.name", "weapon": "$.weapon.name"}
@@ -41,7 +58,7 @@ def battle_players(teams: DataFrame) -> DataFrame:
 
 def battle_gear(players: DataFrame) -> DataFrame:
     """A row for each of the three gear slots that a player object has."""
-    p = players.withColumn("_p", jsonx.parsed("json_text"))
+    p = jsonx.with_parsed(players, "_p")
     slots = F.array(*[F.struct(F.lit(s).alias("slot"), jsonx.subtree(F.col("_p"), f"$.{s}").alias("json_text")) for s in ("headGear", "clothingGear", "shoesGear")])
     return p.select("account", "match_key", "team_index", "player_index", F.inline(F.filter(slots, lambda s: s["json_text"].isNotNull())))
 
@@ -64,10 +81,8 @@ def salmon_bosses(details: DataFrame) -> DataFrame:
 
 def salmon_players(details: DataFrame) -> DataFrame:
     """The own result as index 0 (if it is an object), then the members from 1."""
-    d = _parsed(details, "coop")
-    own = d.where(jsonx.is_object(F.col("_v"), "$.myResult")).select("account", "match_key", F.lit(0).alias("player_index"), F.lit(1).alias("is_myself"), jsonx.subtree(F.col("_v"), "$.myResult").alias("json_text"))
-    rest = _indexed(details, "coop", "$.memberResults", "i").select("account", "match_key", (F.col("i") + 1).alias("player_index"), F.lit(0).alias("is_myself"), "json_text")
-    return own.unionByName(rest)
+    rows = _parsed(details, "coop").select("account", "match_key", F.inline(_first_and_rest(F.col("_v"), "$.myResult", "$.memberResults")))
+    return rows.select("account", "match_key", F.col("i").alias("player_index"), F.col("own").alias("is_myself"), F.to_json("e").alias("json_text"))
 
 
 def salmon_runs(details: DataFrame) -> DataFrame:

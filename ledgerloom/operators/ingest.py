@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jsonx
 from ..functions.shipping import ship
+from .cdc import cell_key
 from .identity import identity
 
 #: What makes two fetches one response; compared null-safely.
@@ -102,6 +103,18 @@ def changed_only(current: DataFrame, incoming: DataFrame, keys: list[str], value
     return incoming.join(old, keys, "left").where(F.col("_known").isNull() | ~F.col(value).eqNullSafe(F.col("_old"))).drop("_old", "_known")
 
 
+def replaced(current: DataFrame, incoming: DataFrame, owner: list[str], keys: list[str]) -> DataFrame:
+    """(keys, op): what brings the rows of the owners that ``incoming`` names in line with it; rows that it no longer has are deleted.
+
+    Other owners' rows are left alone. Rows are compared as typed cells; equal rows give no operation.
+    """
+    theirs = current.join(incoming.select(*owner).distinct(), owner, "left_semi")
+    cols = [c for c in incoming.columns if c not in keys]
+    old, new = theirs.select(*keys, F.sha2(cell_key(theirs, cols), 256).alias("_b")), incoming.select(*keys, F.sha2(cell_key(incoming, cols), 256).alias("_a"))
+    op = F.when(F.col("_a").isNull(), "delete").when(~F.col("_a").eqNullSafe(F.col("_b")), "upsert")
+    return old.join(new, keys, "full_outer").withColumn("op", op).where("op is not null").select(*keys, "op")
+
+
 def acknowledged_state(receipts_: DataFrame, keys: list[str]) -> DataFrame:
     """Job state after replaying receipts in any order: only the newest by time counts, a delayed one never undoes it; attempts count all."""
     order = F.struct("fetched_at", "event_id")

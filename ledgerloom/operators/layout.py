@@ -24,7 +24,7 @@ def _segment(c: Column, other: str) -> Column:
 
 def match_home(matches: DataFrame, classification: DataFrame, documents: DataFrame) -> DataFrame:
     """(account, kind, match_key, part): matches/<population>/<rule>/<month>/<day>/<key>, days nine hours ahead of UTC."""
-    d = documents.withColumnRenamed("response_id", "detail_response_id").select("detail_response_id", *KEY, jsonx.text(jsonx.parsed("json_text"), "$.playedTime").alias("played"))
+    d = jsonx.with_parsed(documents, "_v").select(F.col("response_id").alias("detail_response_id"), *KEY, jsonx.text(F.col("_v"), "$.playedTime").alias("played"))
     m = matches.select(*KEY, "detail_response_id").join(classification.select(*KEY, "analysis_set", "rule_raw"), KEY, "left").join(d, ["detail_response_id", *KEY], "left")
     return m.select(*KEY, _path("matches", _segment(F.col("analysis_set"), "unclassified"), _segment(F.col("rule_raw"), "no-rule"), paths.local_day_path(F.col("played")), _segment(F.col("match_key"), "no-match-key")).alias("part"))
 
@@ -122,8 +122,7 @@ def match_index(matches: DataFrame, classification: DataFrame, homes: DataFrame,
     v, vs = F.col("_v"), F.col("kind") == "vs"
     stage = F.when(vs, jsonx.text(v, "$.vsStage.name")).otherwise(jsonx.text(v, "$.coopStage.name"))
     shown = {"played_time": jsonx.text(v, "$.playedTime"), "stage": stage, "judgement": F.when(vs, jsonx.text(v, "$.judgement")), "my_weapon": F.when(vs, jsonx.text(v, "$.player.weapon.name"))}
-    d = documents.select(F.col("response_id").alias("detail_response_id"), *KEY, jsonx.parsed("json_text").alias("_v"))
-    d = d.select("detail_response_id", *KEY, *[x.alias(n) for n, x in shown.items()], F.lit(1).alias("_there"))
+    d = jsonx.with_parsed(documents, "_v").select(F.col("response_id").alias("detail_response_id"), *KEY, *[x.alias(n) for n, x in shown.items()], F.lit(1).alias("_there"))
     m = matches.select(*KEY, "detail_response_id").join(d, ["detail_response_id", *KEY], "left").join(c, KEY, "left").join(homes, KEY, "left").join(t, ["account", "match_key"], "left")
     return m.select(
         *KEY, F.coalesce("analysis_set", F.lit("unclassified")).alias("analysis_set"), F.coalesce("rule_raw", F.lit("no-rule")).alias("rule_raw"), "rule_name",

@@ -84,6 +84,25 @@ def _range_of(order: str, cuts: list) -> Column:
     return F.when(at == 0, 0).otherwise((at - 1) * k + upto(inner)).cast("int")
 
 
+def numbered(rows: DataFrame, order: str, name: str = "ordinal") -> DataFrame:
+    """``rows`` with their place (from 0, no gaps) in ascending order, nulls first.
+
+    Rows are counted within ranges and the counts summed over the ranges, so no task sees all rows. Rows of
+    one value are in one range; ``order`` should be unique if reruns must agree.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = rows.withColumn("_range", _range_of(order, _boundaries(rows, order, parts)))
+    earlier = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
+    before = r.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.row_number().over(W.partitionBy("_range").orderBy(order)) - 1
+    return r.join(F.broadcast(before), "_range").withColumn(name, place).drop("_range", "_before")  # as many rows as shuffle partitions
+
+
+def part_ranges(binned: DataFrame, order: str, size: Column) -> DataFrame:
+    """(part, first, last, rows, bytes): what a reader needs to know which parts of ``size_bins`` a range of keys is in."""
+    return binned.groupBy("part").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("rows"), F.sum(size).cast("long").alias("bytes"))
+
+
 def size_bins(rows: DataFrame, order: str, size: Column, most: int = PART_BYTES) -> DataFrame:
     """``rows`` with part: contiguous ranges in order (nulls first), each within ``most`` bytes (a longer row is alone in its part).
 

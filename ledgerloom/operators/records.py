@@ -51,8 +51,8 @@ class Search:
 def records(matches: DataFrame, documents: DataFrame, classification: DataFrame) -> DataFrame:
     """Matches with what lists show; bodies and whole documents are not read beyond the parsed scalars."""
     d = documents.withColumnRenamed("response_id", "detail_response_id")
-    v = jsonx.parsed("json_text")
-    d = d.select("detail_response_id", *views.KEY, jsonx.text(v, "$.playedTime").alias("played_time"), jsonx.text(v, "$.judgement").alias("judgement"), F.coalesce(jsonx.text(v, "$.vsStage.name"), jsonx.text(v, "$.coopStage.name")).alias("stage"))
+    v = F.col("_v")
+    d = jsonx.with_parsed(d, "_v").select("detail_response_id", *views.KEY, jsonx.text(v, "$.playedTime").alias("played_time"), jsonx.text(v, "$.judgement").alias("judgement"), F.coalesce(jsonx.text(v, "$.vsStage.name"), jsonx.text(v, "$.coopStage.name")).alias("stage"))
     return matches.join(d, ["detail_response_id", *views.KEY], "left").join(classification.drop("detail_response_id"), views.KEY, "left")
 
 

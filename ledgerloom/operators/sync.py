@@ -74,3 +74,25 @@ def due_step(now: Column, due: Column, last_success: Column, last_failure: Colum
     fresh = F.coalesce(last_success >= due, F.lit(False))
     waiting = F.coalesce(F.unix_seconds(now) - F.unix_seconds(last_failure) < retry_seconds, F.lit(False))
     return F.when(fresh, "done").when(waiting, "wait").otherwise("run")
+
+
+AXES = ("unified", "mode", "rule")
+
+
+def dataset_problems(items: DataFrame) -> DataFrame:
+    """(token, problem) of a list of data sets (token, axis): unknown axes, repeated tokens, tokens that are not of their axis.
+
+    A token is ``unified``, ``mode:<name>`` or ``rule:<name>``.
+    """
+    of = F.when(F.col("token") == "unified", "unified").when(F.col("token").startswith("mode:"), "mode").when(F.col("token").startswith("rule:"), "rule")
+    checks = F.array(F.when(~F.coalesce(F.col("axis").isin(*AXES), F.lit(False)), "axis"), F.when(~of.eqNullSafe(F.col("axis")), "token"))
+    each = items.select("token", F.explode(F.array_compact(checks)).alias("problem"))
+    return each.unionByName(items.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token", F.lit("repeated").alias("problem")))
+
+
+def count_problems(counts: DataFrame) -> DataFrame:
+    """(problem) of one row (mode_files, rule_files, modes, rules): a rule file for each mode and rule, a file for each mode at least."""
+    checks = F.array(
+        F.when(F.least("mode_files", "rule_files", "modes", "rules") < 0, "negative"), F.when(F.col("rule_files") != F.col("modes") * F.col("rules"), "rule files"), F.when(F.col("mode_files") < F.col("modes"), "mode files")
+    )
+    return counts.select(F.explode(F.array_compact(checks)).alias("problem"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import jsonx
+from .classify import SHOWN
 
 KEY = ["account", "kind", "match_key"]
 
@@ -13,14 +14,13 @@ KEY = ["account", "kind", "match_key"]
 def population(details: DataFrame, classification: DataFrame, analysis_set: str) -> DataFrame:
     """The matches of one population, with what is asked of their details; one builder for all populations."""
     c = classification.where(F.col("analysis_set") == analysis_set)
-    v = jsonx.parsed("json_text")
-    return details.join(c.drop("detail_response_id"), KEY).select(*details.columns, *[x for x in c.columns if x not in (*details.columns,)], jsonx.text(v, "$.playedTime").alias("played_time"), jsonx.text(v, "$.judgement").alias("judgement"))
+    d = jsonx.with_parsed(details, "_v").select(*details.columns, *[jsonx.text(F.col("_v"), path).alias(name) for name, path in SHOWN.items()])
+    return d.join(c.drop("detail_response_id"), KEY).select(*details.columns, *[x for x in c.columns if x not in details.columns], *SHOWN)
 
 
 def population_of(classified: DataFrame, *analysis_sets: str) -> DataFrame:
-    """``population`` of details that were classified in the same pass (with their json_text): no join, one parse."""
-    v = jsonx.parsed("json_text")
-    return classified.where(F.col("analysis_set").isin(*analysis_sets)).withColumn("_v", v).select("*", jsonx.text(F.col("_v"), "$.playedTime").alias("played_time"), jsonx.text(F.col("_v"), "$.judgement").alias("judgement")).drop("_v", "json_text")
+    """``population`` of details that were classified with ``also=SHOWN``: no join, one parse."""
+    return classified.where(F.col("analysis_set").isin(*analysis_sets))
 
 
 def by_rule(population: DataFrame) -> DataFrame:

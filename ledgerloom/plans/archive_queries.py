@@ -36,7 +36,7 @@ def _classes(s: SparkSession, d: str) -> DataFrame:
 
 
 def _classified(s: SparkSession, d: str) -> DataFrame:
-    return classify.classify(_details(s, d), ("json_text",))
+    return classify.classify(_details(s, d), also=classify.SHOWN)
 
 
 @query("SELECT account, rule_raw, 'n_' || rule_raw AS rule_name, count(*) AS matches, count(CASE WHEN judgement = 'WIN' THEN 1 END) AS wins, count(CASE WHEN judgement = 'LOSE' THEN 1 END) AS losses, count(CASE WHEN judgement = 'DRAW' THEN 1 END) AS draws, count(CASE WHEN judgement IS NULL THEN 1 END) AS other FROM cs WHERE analysis_set = 'bankara_open' GROUP BY ALL")
@@ -88,13 +88,13 @@ def battle_teams(s, d):
 
 @query("SELECT account, match_key, team_index, player_index, 'p' || l_partkey AS player_id, 's' || l_suppkey AS name, (l_linenumber = 1)::BIGINT AS is_myself, 'w' || (l_suppkey % 10) AS weapon, l_quantity::BIGINT AS paint, l_partkey % 9 AS kills, l_linenumber::BIGINT AS assists FROM pl")
 def battle_players(s, d):
-    return details.battle_players(details.battle_teams(_details(s, d))).select("account", "match_key", "team_index", "player_index", "player_id", "name", "is_myself", "weapon", "paint", "kills", "assists")
+    return details.players_of(_details(s, d)).select("account", "match_key", "team_index", "player_index", "player_id", "name", "is_myself", "weapon", "paint", "kills", "assists")
 
 
 @query("""SELECT account, match_key, team_index, player_index, slot, '{"name":"' || l_returnflag || '"}' AS json_text FROM pl, (SELECT unnest(['headGear', 'clothingGear', 'shoesGear']) AS slot)
 WHERE (slot = 'headGear' AND l_returnflag = 'R') OR (slot = 'clothingGear' AND l_returnflag = 'A') OR (slot = 'shoesGear' AND l_linenumber > 3)""")
 def battle_gear(s, d):
-    return details.battle_gear(details.battle_players(details.battle_teams(_details(s, d))))
+    return details.battle_gear(details.players_of(_details(s, d)))
 
 
 @query("""SELECT account, match_key, player_index AS award_index, '{"name":"s' || l_suppkey || '"}' AS json_text FROM pl WHERE team_index = 0""")
@@ -190,7 +190,7 @@ def unavailable_details(s, d):
 
 
 def _search(s: SparkSession, d: str, **ask):
-    own = details.battle_players(details.battle_teams(_details(s, d))).where("is_myself = 1").select("account", "match_key", "weapon").distinct()
+    own = details.players_of(_details(s, d)).where("is_myself = 1").select("account", "match_key", "weapon").distinct()
     want = records.Search(account="BUILDING", **ask)
     return records.search(records.records(fx.matches(s, d), fx.documents(s, d), _classes(s, d)), want, own, fx.tags(s, d)), want
 
@@ -230,7 +230,7 @@ def search_total(s, d):
 
 @query(f", {_W}, f AS (SELECT DISTINCT 'analysis_set' AS facet, analysis_set AS value FROM cs WHERE account = 'BUILDING' UNION SELECT 'rule_raw', rule_raw FROM cs WHERE account = 'BUILDING' UNION SELECT 'weapon', weapon FROM wp JOIN o USING (k) WHERE account = 'BUILDING' UNION SELECT 'tag', tag FROM tg WHERE account = 'BUILDING') SELECT facet, value FROM f")
 def facets(s, d):
-    own = details.battle_players(details.battle_teams(_details(s, d))).where("is_myself = 1").select("account", "match_key", "weapon")
+    own = details.players_of(_details(s, d)).where("is_myself = 1").select("account", "match_key", "weapon")
     return records.facets(_classes(s, d), own, fx.tags(s, d), "BUILDING").select("facet", "value")
 
 

@@ -13,8 +13,8 @@ from ..operators import classify, details, layout, rates, records, views
 Tables = dict[str, DataFrame]
 
 
-def _classified(t: Tables) -> DataFrame:
-    return classify.classify(details.match_details(t["matches"], t["documents"]), ("json_text",))
+def _classified(t: Tables, *keep: str) -> DataFrame:
+    return classify.classify(details.match_details(t["matches"], t["documents"]), keep, classify.SHOWN)
 
 
 def win_rates(t: Tables) -> DataFrame:
@@ -27,12 +27,12 @@ def win_rates(t: Tables) -> DataFrame:
 def match_sheet(t: Tables, account: str, kind: str, match_key: str) -> DataFrame:
     """One match with its class, its state and its whole detail."""
     one = records.get(views.detail_states(t["matches"], t["jobs"]), account, kind, match_key)
-    return one.join(_classified(t).drop("detail_response_id"), views.KEY, "left")
+    return one.join(_classified(t, "json_text").drop("detail_response_id"), views.KEY, "left")
 
 
 def weapon_results(t: Tables) -> DataFrame:
     """How the player's own weapons did: matches, and kills and paint on average."""
-    mine = details.battle_players(details.battle_teams(details.match_details(t["matches"], t["documents"]))).where("is_myself = 1")
+    mine = details.players_of(details.match_details(t["matches"], t["documents"])).where("is_myself = 1")
     return mine.groupBy("account", "weapon").agg(F.count("*").alias("matches"), F.avg("kills").alias("kills"), F.avg("paint").alias("paint"))
 
 

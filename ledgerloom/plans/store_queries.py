@@ -231,6 +231,69 @@ def reconcile(s, d):
     return cdc.reconcile(*_snapshots(s, d), "row_id").drop("ordinal_class")
 
 
+_LOG = f"SELECT x.row_id, CASE WHEN x.op = 'delete' THEN 'delete' ELSE 'upsert' END AS op FROM ({_FEED}) x"
+
+
+def _log(s: SparkSession, d: str) -> DataFrame:
+    """The log of the two snapshots, and that of a keyless table that is cleared and loaded anew."""
+    ops = cdc.reconcile(*_snapshots(s, d), "row_id").select(F.lit("orders").alias("table_name"), "op", F.format_string("%012d", F.col("row_id")).alias("identity"), "row_id", "status", "price")
+    n = fx.read(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("row_id"), F.col("n_name").alias("status"))
+    anew = cdc.reconcile(n, n, None).select(F.lit("nation").alias("table_name"), "op", F.lit(None).cast("string").alias("identity"), "row_id", "status", F.lit(None).cast("double").alias("price"))
+    return cdc.operation_log(ops.unionByName(anew))
+
+
+@query(f"WITH {_S}, l AS (SELECT 'orders' AS table_name, op, row_id FROM ({_LOG})) SELECT table_name, op, row_id, 26 + row_number() OVER (ORDER BY row_id) - 1 AS ordinal FROM l UNION ALL SELECT 'nation', 'clear_table', NULL, 0")
+def operation_log(s, d):
+    return _log(s, d).where("table_name = 'orders' or op = 'clear_table'").select("table_name", "op", "row_id", F.col("ordinal").cast("long").alias("ordinal"))
+
+
+@query(f"WITH {_S} SELECT row_id, CASE WHEN op = 'delete' THEN 'delete' WHEN row_id IN (SELECT row_id FROM b) THEN 'update' ELSE 'insert' END AS op FROM ({_LOG}) WHERE row_id % 10 = 3")
+def replay_problems(s, d):
+    before, after = _snapshots(s, d)
+    log = _log(s, d).where("table_name = 'orders'")
+    broken = log.where("row_id % 10 <> 3")  # operations that were lost on the way
+    whole = cdc.replay_problems(before, log, after, "row_id")  # gives no rows
+    return cdc.replay_problems(before, broken, after, "row_id").unionByName(whole)
+
+
+@query("SELECT o_orderpriority AS table_name, o_custkey::VARCHAR AS identity, 'repeated' AS problem FROM orders GROUP BY ALL HAVING count(*) > 1 UNION ALL SELECT 'lost', NULL, 'missing'")
+def identity_problems(s, d):
+    o = fx.read(s, d, "orders").select(F.col("o_orderpriority").alias("table_name"), F.lit("upsert").alias("op"), F.col("o_custkey").cast("string").alias("identity"))
+    more = s.createDataFrame([("lost", "upsert", None), ("new", "clear_table", None), ("new", "upsert", None)], o.schema)
+    return cdc.identity_problems(o.unionByName(more))
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS ordinal FROM orders")
+def numbered_rows(s, d):
+    o = fx.read(s, d, "orders").select("o_orderkey", F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.format_string(" %012d", F.col("o_orderkey"))).alias("place"))
+    return lossless.numbered(o, "place").select("o_orderkey", F.col("ordinal").cast("long").alias("ordinal"))
+
+
+@query("SELECT count(*) AS rows, sum(strlen(text))::BIGINT AS bytes, TRUE AS apart FROM documents")
+def part_ranges(s, d):
+    from pyspark.sql import Window as W
+
+    t = fx.read(s, d, "documents").select("doc_id", "text")
+    p = lossless.part_ranges(lossless.size_bins(t, "doc_id", F.octet_length("text"), 100_000), "doc_id", F.octet_length("text"))
+    before = F.lag("last").over(W.orderBy("part"))  # a row for each part
+    return p.withColumn("_apart", F.coalesce(F.col("first") > before, F.lit(True))).agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), F.bool_and("_apart").alias("apart"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 2 THEN 'delete' ELSE 'upsert' END AS op FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey % 3 = 0) x WHERE EXISTS (SELECT 1 FROM lineitem y WHERE y.l_orderkey = x.l_orderkey AND y.l_linenumber <> 2) AND l_linenumber IN (2, 3)")
+def replaced_series(s, d):
+    one = fx.read(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("quantity"))
+    now = one.where("l_orderkey % 3 = 0 and l_linenumber <> 2").withColumn("quantity", F.when(F.col("l_linenumber") == 3, F.col("quantity") + 1).otherwise(F.col("quantity")))
+    return ingest.replaced(one, now, ["l_orderkey"], ["l_orderkey", "l_linenumber"])
+
+
+@query("SELECT n_name AS token, 'token' AS problem FROM nation WHERE n_nationkey % 5 = 0 UNION ALL SELECT 'mode:' || n_nationkey, 'axis' FROM nation WHERE n_nationkey % 5 = 1 UNION ALL SELECT 'mode:' || n_nationkey, 'token' FROM nation WHERE n_nationkey % 5 = 1 UNION ALL SELECT 'rule:x', 'repeated'")
+def dataset_problems(s, d):
+    k = F.col("n_nationkey")
+    token = F.when(k % 5 == 0, F.col("n_name")).when(k % 5 < 3, F.concat(F.lit("mode:"), k.cast("string"))).otherwise("rule:x")
+    axis = F.when(k % 5 == 0, "unified").when(k % 5 == 1, "map").when(k % 5 == 2, "mode").otherwise("rule")
+    return sync.dataset_problems(fx.read(s, d, "nation").select(token.alias("token"), axis.alias("axis")))
+
+
 @query(f"WITH {_S}, i AS (SELECT row_id FROM b WHERE row_id % 4 = 0 UNION SELECT row_id + 1 FROM b WHERE row_id % 4 = 0) SELECT i.row_id, CASE WHEN a.row_id IS NULL THEN 'delete' ELSE 'upsert' END AS op, status, price FROM i LEFT JOIN a USING (row_id)")
 def net_changes(s, d):
     before, after = _snapshots(s, d)

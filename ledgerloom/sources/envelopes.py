@@ -31,8 +31,18 @@ def export_raw(bodies: DataFrame, manifest: DataFrame, fetches: DataFrame, path:
     bodies.sparkSession.range(1).selectExpr("'complete' as state").coalesce(1).write.mode("overwrite").json(f"{path}/_CURRENT")
 
 
+def export_assets(assets: DataFrame, path: str) -> None:
+    """The assets of a raw export as ordered JSON lines: url, state, content type and the hash of the body that holds each."""
+    assets.select("url", "state", "content_type", "body_sha256").orderBy("url").write.mode("overwrite").json(f"{path}/assets")
+
+
+def lines_header(rows: DataFrame) -> dict:
+    """What a reader of typed lines must know first: the columns and their types, in order."""
+    return {"columns": [{"name": f.name, "type": f.dataType.simpleString()} for f in rows.schema]}
+
+
 def typed_lines(rows: DataFrame, limit: int) -> tuple[DataFrame, dict]:
-    """Rows as JSON lines, and the footer that says whether more would follow."""
+    """Rows as JSON lines, and the footer that says whether more would follow; ``lines_header`` goes before them."""
     n = rows.limit(limit + 1).count()
     return rows.limit(limit).select(F.to_json(F.struct(*rows.columns)).alias("line")), {"rows": min(n, limit), "truncated": n > limit}
 

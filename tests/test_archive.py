@@ -413,3 +413,55 @@ def test_history_gap_counts_all_users(spark):
     directory = "/root/testdata/sf0.001"
     events = spark.read.parquet(f"{directory}/events.parquet").selectExpr("event_type", "date_format(ts, 'yyyy-MM-dd')", "user_id")
     assert {tuple(x) for x in registry.queries()["history_gap"](spark, directory).collect()} == _gaps(map(tuple, events.collect()))
+
+
+def test_parts_and_versions(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from ledgerloom.sources import parts
+
+    rows = spark.range(20_000).select("id", F.repeat(F.lit("x"), (F.col("id") % 90).cast("int")).alias("text"))
+    parts.write_parts(rows, "id", F.octet_length("text"), str(tmp_path / "p"), 50_000)
+    manifest = spark.read.parquet(str(tmp_path / "p/manifest")).orderBy("part").collect()
+    assert sum(m["rows"] for m in manifest) == 20_000 and max(m["bytes"] for m in manifest) <= 50_000 and len(manifest) > 10
+    got = parts.read_range(spark, str(tmp_path / "p"), "id", 1234, 5678)
+    assert sorted(r["id"] for r in got.collect()) == list(range(1234, 5679)) and set(got.columns) == {"id", "text"}
+    assert parts.read_range(spark, str(tmp_path / "p"), "id", 30_000, 40_000).count() == 0
+
+    root = str(tmp_path / "t")
+    parts.publish(rows.limit(5), root, 1)
+    old = parts.open_version(spark, root)
+    parts.publish(rows.limit(9), root, 2)
+    assert old.count() == 5 and parts.open_version(spark, root).count() == 9 and parts.open_version(spark, root, 1).count() == 5
+    with pytest.raises(LookupError):
+        parts.open_version(spark, root, 3)
+    with pytest.raises(Exception):
+        parts.publish(rows, root, 2)
+    parts.backup(spark, root, str(tmp_path / "copy"))
+    assert spark.read.parquet(str(tmp_path / "copy")).count() == 9
+    with pytest.raises(Exception):
+        parts.backup(spark, root, str(tmp_path / "copy"))
+
+
+def test_lines_header_and_asset_list(spark, tmp_path):
+    from ledgerloom.sources import envelopes
+
+    a = spark.createDataFrame([("u2", "done", None, "b", 1), ("u1", "retry", "image/png", None, 2)], "url string, state string, content_type string, body_sha256 string, attempts int")
+    assert envelopes.lines_header(a)["columns"][-1] == {"name": "attempts", "type": "int"}
+    envelopes.export_assets(a, str(tmp_path))
+    assert {r["url"] for r in spark.read.json(str(tmp_path / "assets")).collect()} == {"u1", "u2"}
+
+
+def test_counts_of_data_sets(spark):
+    from ledgerloom.operators import sync
+
+    c = spark.createDataFrame([(3, 6, 3, 2), (2, 5, 3, 2), (-1, 0, 0, 2)], "mode_files int, rule_files int, modes int, rules int")
+    assert sorted(r["problem"] for r in sync.count_problems(c).collect()) == ["mode files", "mode files", "negative", "rule files"]
+
+
+def test_json_is_parsed_once(spark):
+    d = spark.createDataFrame([("a", "vs", "m", 1, "{}")], "account string, kind string, match_key string, detail_response_id long, json_text string")
+    from ledgerloom.operators import classify, views
+
+    plan = views.by_rule(views.population_of(classify.classify(d, also=classify.SHOWN), "xmatch"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parse_json") + plan.lower().count("parsejson") <= 2
