@@ -52,18 +52,22 @@ def classify(details: DataFrame, keep: tuple[str, ...] = (), also: dict[str, str
     also = also or {}
     v = F.col("_v")
     d = jsonx.with_parsed(details, "_v").select("account", "kind", "match_key", "detail_response_id", *keep, "_v")
-    mine = F.size(jsonx.elements(v, "$.myTeam.players"))
-    others = jsonx.elements(v, "$.otherTeams")
-    counts = F.transform(others, lambda t: F.size(F.try_variant_get(t, "$.players", "array<variant>")))
+    sizes = F.transform(jsonx.elements(v, "$.otherTeams"), lambda t: F.size(F.try_variant_get(t, "$.players", "array<variant>")))
+    taken = {name: jsonx.text(v, path) for name, path in also.items()} | {
+        "mode_raw": jsonx.text(v, "$.vsMode.mode"),
+        "bankara_mode": jsonx.text(v, "$.bankaraMatch.mode"),
+        "rule_raw": F.when(F.col("kind") == "coop", jsonx.text(v, "$.rule")).otherwise(jsonx.text(v, "$.vsRule.rule")),
+        "rule_name": F.when(F.col("kind") != "coop", jsonx.text(v, "$.vsRule.name")),
+        "_mine": F.size(jsonx.elements(v, "$.myTeam.players")),
+        "_sizes": sizes,
+    }
+    # as one row of an array for the same reason as the Variant: filters on the classes then read these columns and are not copied into the paths
+    d = d.select(*[c for c in d.columns if c != "_v"], F.inline(F.array(F.struct(*[c.alias(name) for name, c in taken.items()]))))
+    mine, counts = F.col("_mine"), F.col("_sizes")
     d = d.select(
-        *[c for c in d.columns if c != "_v"],
-        *[jsonx.text(v, path).alias(name) for name, path in also.items()],
-        jsonx.text(v, "$.vsMode.mode").alias("mode_raw"),
-        jsonx.text(v, "$.bankaraMatch.mode").alias("bankara_mode"),
-        F.when(F.col("kind") == "coop", jsonx.text(v, "$.rule")).otherwise(jsonx.text(v, "$.vsRule.rule")).alias("rule_raw"),
-        F.when(F.col("kind") != "coop", jsonx.text(v, "$.vsRule.name")).alias("rule_name"),
+        *[c for c in d.columns if c not in ("_mine", "_sizes")],
         F.when(mine >= 0, mine).alias("my_player_count"),
-        F.when(F.coalesce((F.size(others) > 0) & ~F.exists(counts, lambda n: F.coalesce(n, F.lit(-1)) < 0), F.lit(False)) & (mine >= 0), counts).alias("opponent_counts"),
+        F.when(F.coalesce((F.size(counts) > 0) & ~F.exists(counts, lambda n: F.coalesce(n, F.lit(-1)) < 0), F.lit(False)) & (mine >= 0), counts).alias("opponent_counts"),
     )
     coop = F.col("kind") == "coop"
     d = d.withColumn("genre", F.when(coop, _case(F.col("rule_raw"), COOP_GENRES, F.lit("unknown"))).otherwise(genre(F.col("mode_raw"), F.col("bankara_mode"))))
