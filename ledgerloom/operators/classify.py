@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -44,16 +45,16 @@ def analysis_set(genre: Column, roster: Column) -> Column:
 SHOWN = {"played_time": "$.playedTime", "judgement": "$.judgement"}
 
 
-def classify(details: DataFrame, keep: tuple[str, ...] = (), also: dict[str, str] | None = None) -> DataFrame:
+def classify(details: DataFrame, keep: tuple[str, ...] = (), also: dict[str, str | Callable[[Column], Column]] | None = None) -> DataFrame:
     """(account, kind, match_key, detail_response_id, genre ... opponent_counts) for ``match_details`` rows, and the columns ``keep``.
 
-    ``also`` names texts (name: path) that are taken out of the details in the same pass.
+    ``also`` names texts (name: path), or functions of the Variant, that are taken out of the details in the same pass.
     """
     also = also or {}
     v = F.col("_v")
     d = jsonx.with_parsed(details, "_v").select("account", "kind", "match_key", "detail_response_id", *keep, "_v")
     sizes = F.transform(jsonx.elements(v, "$.otherTeams"), lambda t: F.size(F.try_variant_get(t, "$.players", "array<variant>")))
-    taken = {name: jsonx.text(v, path) for name, path in also.items()} | {
+    taken = {name: jsonx.text(v, take) if isinstance(take, str) else take(v) for name, take in also.items()} | {
         "mode_raw": jsonx.text(v, "$.vsMode.mode"),
         "bankara_mode": jsonx.text(v, "$.bankaraMatch.mode"),
         "rule_raw": F.when(F.col("kind") == "coop", jsonx.text(v, "$.rule")).otherwise(jsonx.text(v, "$.vsRule.rule")),

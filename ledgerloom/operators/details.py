@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import jsonx
+from .classify import classify
 
 
 def match_details(matches: DataFrame, documents: DataFrame) -> DataFrame:
@@ -90,10 +91,13 @@ def salmon_runs(details: DataFrame) -> DataFrame:
     return d.select("account", "match_key", "detail_response_id", jsonx.text(v, "$.playedTime").alias("played_time"), jsonx.text(v, "$.coopStage.name").alias("stage"), jsonx.text(v, "$.rule").alias("rule"), jsonx.number(v, "$.dangerRate").alias("danger_rate"), jsonx.integer(v, "$.resultWave").alias("result_wave"), "json_text")
 
 
-def battles(details: DataFrame, classification: DataFrame) -> DataFrame:
-    d, v = _parsed(details, "vs"), F.col("_v")
-    texts: dict[str, str] = {"played_time": "$.playedTime", "mode": "$.vsMode.mode", "rule": "$.vsRule.name", "stage": "$.vsStage.name", "judgement": "$.judgement", "knockout": "$.knockout"}
-    cols: list[Column] = [jsonx.text(v, p).alias(n) for n, p in texts.items()]
-    d = d.select("account", "kind", "match_key", "detail_response_id", *cols, jsonx.integer(v, "$.duration").alias("duration"), "json_text")
-    c = classification.select("account", "kind", "match_key", "genre", "roster_class", "analysis_set")
-    return d.join(c, ["account", "kind", "match_key"], "left").drop("kind")
+#: What a battle row shows of its detail (the rule's name comes with the classes).
+BATTLE = {"played_time": "$.playedTime", "mode": "$.vsMode.mode", "stage": "$.vsStage.name", "judgement": "$.judgement", "knockout": "$.knockout", "duration": lambda v: jsonx.integer(v, "$.duration")}
+
+
+def battles(details: DataFrame) -> DataFrame:
+    """A row for each battle with its classes, from one pass over the details."""
+    c = classify(details.where("kind = 'vs'"), keep=("json_text",), also=BATTLE)
+    return c.select(
+        "account", "match_key", "detail_response_id", "played_time", "mode", F.col("rule_name").alias("rule"), "stage", "judgement", "knockout", "duration", "json_text", "genre", "roster_class", "analysis_set"
+    )

@@ -77,7 +77,7 @@ def details_join(s, d):
 
 @query("SELECT account, match_key, k AS detail_response_id, played AS played_time, mode, 'n_' || rule_raw AS rule, 'stage' || (k % 6) AS stage, judgement, k % 300 AS duration, NULL::VARCHAR AS knockout, genre, roster_class, analysis_set FROM cs")
 def battles(s, d):
-    return details.battles(_details(s, d), _classes(s, d)).drop("json_text")
+    return details.battles(_details(s, d)).drop("json_text")
 
 
 @query("SELECT account, match_key, t AS team_index, 1 - t AS is_my_team, CASE t WHEN 0 THEN mine ELSE others END AS players FROM cs, (SELECT unnest([0, 1]) AS t)")
