@@ -54,13 +54,16 @@ def signed_url_expired(url: Column, now: Column) -> Column:
     return seconds <= F.unix_seconds(now)
 
 
-def host_allowed(url: Column, suffixes: tuple[str, ...]) -> Column:
-    """https on port 443 without user names, on one of the hosts or below it."""
+def host_allowed(url: Column, suffixes: tuple[str, ...], buckets: dict[str, str] | None = None) -> Column:
+    """https on port 443 without user names, on one of the hosts or below it, or in the one allowed bucket (first path segment) of a store's host."""
     a = url_address(url)
     host = a["host"]
     near = F.lit(False)
     for s in suffixes:
         near = near | (host == s) | host.endswith("." + s)
+    first = F.get(F.filter(F.split(a["path"], "/"), lambda s: s != ""), F.lit(0))
+    for store, bucket in (buckets or {}).items():
+        near = near | ((host == store) & F.coalesce(first == bucket, F.lit(False)))
     return F.coalesce((a["scheme"] == "https") & (a["port"] == 443) & near, F.lit(False))
 
 

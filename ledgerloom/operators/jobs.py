@@ -84,14 +84,25 @@ def backfill(jobs: DataFrame, histories: list[str], matches: DataFrame) -> DataF
 def catalog_binding(definitions: DataFrame, responses: DataFrame, current: str) -> DataFrame:
     """``responses`` with binding: which schema version explains them.
 
-    ``definitions`` (catalog, operation, query_id, app_version, definition); a response is known_current
-    or known_saved if all catalogs that name its query agree on one definition, ambiguous if they do not,
-    legacy_unchecked without a query id, else unresolved.
+    ``definitions`` (catalog, operation, query_id, app_version, definition and, if stored, sha256); a response without
+    an app_version is explained by any version of its query. It is known_current or known_saved if all catalogs that name
+    its query agree on one definition, ambiguous if they do not, catalog_corrupt if one of them differs from its stored
+    hash, catalog_invalid if one has no definition, legacy_unchecked without a query id, else unresolved.
     """
-    key = ["operation", "query_id", "app_version"]
-    d = definitions.groupBy(*key).agg(F.countDistinct(F.sha2("definition", 256)).alias("_n"), F.bool_or(F.col("catalog") == current).alias("_now"))
-    b = F.when(F.col("query_id").isNull(), "legacy_unchecked").when(F.col("_n") > 1, "ambiguous").when(F.col("_now"), "known_current").when(F.col("_n") == 1, "known_saved").otherwise("unresolved")
-    return responses.join(d, key, "left").withColumn("binding", b).drop("_n", "_now")
+    hashed = F.sha2("definition", 256)
+    wrong = F.coalesce(hashed != F.col("sha256"), F.lit(False)) if "sha256" in definitions.columns else F.lit(False)
+    d = definitions.where("operation is not null and query_id <> ''").select("operation", "query_id", "app_version", hashed.alias("_d"), wrong.alias("_wrong"), (F.col("catalog") == current).alias("_cur"))
+    d = d.where("app_version is not null").unionByName(d.withColumn("app_version", F.lit(None).cast("string")))
+    d = d.groupBy("operation", "query_id", "app_version").agg(F.countDistinct("_d").alias("_n"), F.bool_or("_cur").alias("_now"), F.bool_or("_wrong").alias("_corrupt"), F.bool_or(F.col("_d").isNull()).alias("_invalid"))
+    keys = ["operation", "query_id", "app_version"]
+    d = d.select(*[F.col(c).alias(f"_{c}") for c in keys], "_n", "_now", "_corrupt", "_invalid")
+    on = (F.col("operation") == F.col("_operation")) & (F.col("query_id") == F.col("_query_id")) & F.col("app_version").eqNullSafe(F.col("_app_version"))
+    states = {"_corrupt": "catalog_corrupt", "_invalid": "catalog_invalid"}
+    b = F.when(F.col("query_id").isNull(), "legacy_unchecked")
+    for flag, name in states.items():
+        b = b.when(F.col(flag), name)
+    b = b.when(F.col("_n") > 1, "ambiguous").when(F.col("_now"), "known_current").when(F.col("_n") == 1, "known_saved").otherwise("unresolved")
+    return responses.join(d, on, "left").select(*responses.columns, b.alias("binding"))
 
 
 def assets_due(assets: DataFrame, now: Column, most: int) -> DataFrame:

@@ -465,3 +465,40 @@ def test_json_is_parsed_once(spark):
 
     plan = views.by_rule(views.population_of(classify.classify(d, also=classify.SHOWN), "xmatch"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.lower().count("parse_json") + plan.lower().count("parsejson") <= 2
+
+
+def test_catalog_binding_corrupt_invalid_and_any_version(spark):
+    from hashlib import sha256
+
+    from ledgerloom.operators import jobs
+
+    h = lambda t: sha256(t.encode()).hexdigest()
+    d = spark.createDataFrame(
+        [
+            ("now", "op", "q1", "1", "d", h("d")), ("old", "op", "q1", "2", "e", h("e")),
+            ("old", "op", "q2", "1", "d", "00"), ("old", "op", "q3", "1", None, h("d")),
+            ("old", "op", "q4", None, "d", h("d")), ("old", None, "q5", "1", "d", h("d")),
+        ],
+        "catalog string, operation string, query_id string, app_version string, definition string, sha256 string",
+    )
+    asked = [(1, "q1", "1"), (2, "q1", "2"), (3, "q1", None), (4, "q2", "1"), (5, "q3", None), (6, "q4", None), (7, "q4", "1"), (8, "q5", "1"), (9, "", "1"), (10, None, "1")]
+    r = spark.createDataFrame([(i, "op", q, v) for i, q, v in asked], "id long, operation string, query_id string, app_version string")
+    got = {x["id"]: x["binding"] for x in jobs.catalog_binding(d, r, "now").collect()}
+    assert got == {
+        1: "known_current", 2: "known_saved", 3: "ambiguous", 4: "catalog_corrupt", 5: "catalog_invalid",
+        6: "known_saved", 7: "unresolved", 8: "unresolved", 9: "unresolved", 10: "legacy_unchecked",
+    }
+
+
+def test_host_allowed_buckets(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerloom.operators import evidence
+
+    urls = {
+        "https://good.example/x": True, "https://store.example/mine/a?x=1": True, "https://store.example//mine": True, "https://store.example/other/mine": False,
+        "https://store.example": False, "https://a.store.example/mine/a": False, "http://store.example/mine/a": False, "https://u@store.example/mine/a": False,
+    }
+    df = spark.createDataFrame([(u,) for u in [*urls, None]], "u string")
+    got = {x["u"]: x["a"] for x in df.select("u", evidence.host_allowed(F.col("u"), ("good.example",), {"store.example": "mine"}).alias("a")).collect()}
+    assert got == urls | {None: False}
