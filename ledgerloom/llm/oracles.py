@@ -97,6 +97,28 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
 FROM o GROUP BY conv_id
 """
 
+_OP13 = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+low AS (SELECT t, min(doc_id) AS low FROM d GROUP BY t),
+l AS (SELECT doc_id, coalesce(max((quality = 1)::INT), 0) AS good, coalesce(max((toxic = 1)::INT), 0) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+             {'A': len(ws) < 200, 'B': 100 * len(list_distinct(ws)) < 50 * len(ws), 'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t),
+              'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(low < w.doc_id, FALSE)} AS fails
+      FROM w JOIN low USING (t) LEFT JOIN l ON l.doc_id = w.doc_id),
+g AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+s AS (SELECT part, n, good, toxic, concat(CASE WHEN fails.A THEN 'A' END, CASE WHEN fails.B THEN 'B' END, CASE WHEN fails.C THEN 'C' END, CASE WHEN fails.D THEN 'D' END, CASE WHEN fails.E THEN 'E' END) AS bad FROM g),
+perm(o) AS (SELECT '' UNION ALL SELECT o || x FROM perm, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE instr(o, x) = 0),
+steps AS (SELECT o AS filter_order, i::INTEGER AS step, o[i] AS c, o[:i - 1] AS earlier FROM perm, range(1, 6) AS r(i) WHERE length(o) = 5),
+x AS (SELECT part, filter_order, step, c, n, good, toxic, bad, instr(bad, c) > 0 AS hit,
+             translate(bad, earlier, '') <> bad AS gone FROM s, steps),
+y AS (SELECT part, filter_order, step, c, sum(CASE WHEN NOT hit AND NOT gone THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN hit AND NOT gone THEN n ELSE 0 END)::BIGINT AS removed,
+             sum(CASE WHEN hit AND gone THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN bad = c THEN n ELSE 0 END)::BIGINT AS unique_fails,
+             sum(CASE WHEN hit AND NOT gone THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN hit AND NOT gone THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+      FROM x GROUP BY part, filter_order, step, c)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, c))::BIGINT AS shapley FROM y
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": _OP2, "op5_mix_sources": _OP5, "op6_url_filters": _OP6, "op7_repeated_strings": _OP7, "op10_chat_format": _OP10}
+    return {"op2_decontaminate": _OP2, "op5_mix_sources": _OP5, "op6_url_filters": _OP6, "op7_repeated_strings": _OP7, "op10_chat_format": _OP10, "op13_filter_audit": _OP13}
