@@ -22,6 +22,9 @@ WORD_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
+#: Lower-cases A-Z and blanks out every other ASCII byte that is no letter or digit: then bytes.split() gives the matches of WORD_ALNUM.
+PLAIN_BYTES = bytes(b if 48 <= b <= 57 or b > 127 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

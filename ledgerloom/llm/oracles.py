@@ -97,6 +97,19 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
 FROM o GROUP BY conv_id
 """
 
+_OP11 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(text, {_A_Z}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+n AS (SELECT rid, doc_id, len(ws)::BIGINT AS n FROM d WHERE len(ws) > 0),
+c AS (SELECT count(*)::BIGINT AS nd, sum(n)::BIGINT AS nw FROM n),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, {_A_Z}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+t AS (SELECT rid, term, count(*)::BIGINT AS tf FROM (SELECT rid, unnest(ws) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY rid, term),
+w AS (SELECT term, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM t, c GROUP BY term, nd),
+s AS (SELECT q.item_id, n.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n.n * nd) // nw))))::BIGINT AS score
+      FROM q JOIN t USING (term) JOIN w USING (term) JOIN n USING (rid), c GROUP BY q.item_id, rid, n.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
 _OP13 = r"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
@@ -121,4 +134,4 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": _OP2, "op5_mix_sources": _OP5, "op6_url_filters": _OP6, "op7_repeated_strings": _OP7, "op10_chat_format": _OP10, "op13_filter_audit": _OP13}
+    return {"op2_decontaminate": _OP2, "op5_mix_sources": _OP5, "op6_url_filters": _OP6, "op7_repeated_strings": _OP7, "op10_chat_format": _OP10, "op11_search": _OP11, "op13_filter_audit": _OP13}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, interaction, licenses, mixing, pii, quality, simhash, suffixes, tokens, urls
+from . import chat, decontaminate, interaction, licenses, mixing, pii, quality, search, simhash, suffixes, tokens, urls
 from .common import read
 
 
@@ -55,6 +55,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_trees(chat.linear_trees(rows)))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interaction.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -63,6 +67,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_quality_rules, op2_decontaminate, op3_pii, op4_licenses, op5_mix_sources,
         op6_url_filters, op7_repeated_strings, op8_simhash, op9_token_counts, op10_chat_format,
-        op13_filter_audit,
+        op11_search, op13_filter_audit,
     )
     return {f.__name__: f for f in every}
