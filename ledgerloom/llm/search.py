@@ -2,9 +2,10 @@
 
 Documents are dealt to shards as Spark deals them to tasks; a shard is one row of a written table, with its documents
 and the postings of its terms. The counts that scores need (documents, words, documents of a term) are summed from that
-table. To search, each shard scores its posting lists, cuts each into blocks of unequal length by dynamic programming
-(the cut that minimises what block maxima overstate), and then leaves out every stretch of documents whose summed block
-maxima cannot reach the tenth score so far. WAND's pivot test is made for all stretches between block ends at once, best first.
+table. To search, each shard scores its posting lists and cuts each into blocks of unequal length by dynamic programming
+(the cut that minimises what block maxima overstate). WAND's two tests then decide what is read: pivots are documents of
+lists heavy enough to reach the tenth score so far, and a block is skipped where the block maxima of all lists, summed, do
+not reach it. Both tests are made for all documents between block ends at once, not by moving one cursor at a time.
 """
 
 from __future__ import annotations
@@ -198,6 +199,18 @@ def cut_blocks(scores: np.ndarray, starts: np.ndarray) -> np.ndarray:
 # -- search -------------------------------------------------------------------------------------------------------
 
 
+class _View:
+    """The posting lists of a shard that a block of items asks for, scored and cut into blocks."""
+
+    def __init__(self, docs: np.ndarray, scores: np.ndarray, starts: np.ndarray, ids: np.ndarray, absent: np.ndarray):
+        self.docs, self.scores, self.starts, self.ids, self.absent = docs, scores, starts, ids, absent
+        self.keys = np.repeat(np.arange(len(starts) - 1), np.diff(starts)) << 32 | docs
+        self.begin = cut_blocks(scores, starts)
+        self.end = np.append(self.begin[1:], len(scores))
+        self.first, self.after, self.high = docs[self.begin], docs[self.end - 1] + 1, np.maximum.reduceat(scores, self.begin)
+        self.list_block, self.list_high = np.searchsorted(self.begin, starts), np.maximum.reduceat(scores, starts[:-1])
+
+
 class Searcher:
     """The items of a block and the counts of the whole corpus; keeps each item's best documents over the shards it is shown."""
 
@@ -229,49 +242,71 @@ class Searcher:
         weight = np.repeat(self.weight[number[mine]], counts)
         scores = weight * ((1_000_000_000 * tfs) // (1000 * tfs + 8 * self._m(shard["lengths"])[docs]))
         starts = np.concatenate([[0], np.cumsum(counts)])
-        begin = cut_blocks(scores, starts)
-        end = np.append(begin[1:], len(scores))
-        blocks = begin, end, docs[begin], docs[end - 1] + 1, np.maximum.reduceat(scores, begin)
-        list_block = np.searchsorted(begin, starts)
+        view = _View(docs, scores, starts, shard["doc_ids"], absent)
         where = np.full(len(self.terms) + 1, -1)
         where[number[mine]] = np.arange(len(mine))
-        self.postings += len(scores)
         for i, wanted in enumerate(self.items):
             lists = where[wanted]
             lists = lists[lists >= 0]
             if len(lists):
-                b = _ranges(list_block[lists], list_block[lists + 1])
-                self._search(i, [x[b] for x in blocks], docs, scores, shard["doc_ids"], absent)
-
-    def _search(self, i: int, blocks: list[np.ndarray], docs: np.ndarray, scores: np.ndarray, ids: np.ndarray, absent: np.ndarray) -> None:
-        begin, end, first, after, high = blocks
-        edges = np.unique(np.concatenate([first, after]))
-        lo, hi = np.searchsorted(edges, first), np.searchsorted(edges, after)
-        change = np.zeros(len(edges) + 1, np.int64)
-        np.add.at(change, lo, high)
-        np.subtract.at(change, hi, high)
-        bound = np.cumsum(change)[: len(edges) - 1]  # of the documents from one edge up to the next
-        order = np.argsort(-bound, kind="stable")
-        order = order[: np.searchsorted(-bound[order], 0)]
-        at, chunk = 0, 16
+                self._search(i, lists[np.argsort(-view.list_high[lists], kind="stable")], view)
+
+    def _least(self, i: int) -> int:
+        """What a score must reach: the last of the best, as an equal score may have a smaller id."""
+        return int(self.best[i][0][-1]) if len(self.best[i][0]) == self.most else 1
+
+    def _search(self, i: int, lists: np.ndarray, v: _View) -> None:
+        """``lists`` come by what they can give at most, the heaviest first."""
+        size = v.starts[lists + 1] - v.starts[lists]
+        self.postings += int(size.sum())
+        heavy = lists[: int(np.searchsorted(np.cumsum(size), 4 * self.most)) + 1]
+        seen = np.unique(v.docs[_ranges(v.starts[heavy], v.starts[heavy + 1])])
+        self._evaluate(i, seen, np.zeros(len(seen), np.int64), lists, v)
+        least = self._least(i)
+        # a document none of whose terms is among the drivers cannot reach `least`, whatever lighter terms it has
+        drivers = int((np.cumsum(v.list_high[lists][::-1])[::-1] >= least).sum())
+        b = _ranges(v.list_block[lists], v.list_block[lists + 1])
+        drives = np.arange(len(b)) < (v.list_block[lists[:drivers] + 1] - v.list_block[lists[:drivers]]).sum()
+        edges = np.unique(np.concatenate([v.first[b], v.after[b]]))
+        lo, hi = np.searchsorted(edges, v.first[b]), np.searchsorted(edges, v.after[b])
+
+        def bound(of: np.ndarray) -> np.ndarray:
+            """Summed block maxima for the documents from each edge up to the next."""
+            change = np.zeros(len(edges) + 1, np.int64)
+            np.add.at(change, lo[of], v.high[b[of]])
+            np.subtract.at(change, hi[of], v.high[b[of]])
+            return np.cumsum(change)[:-1]
+
+        light = bound(~drives)
+        opens = light + bound(drives) >= least
+        opened = np.concatenate([[0], np.cumsum(opens)])
+        live = b[drives & (opened[hi] > opened[lo])]
+        p = _ranges(v.begin[live], v.end[live])
+        p = p[opens[np.searchsorted(edges, v.docs[p], "right") - 1]]
+        self.evaluated += len(p)
+        docs, group = np.unique(v.docs[p], return_inverse=True)
+        total = np.zeros(len(docs), np.int64)
+        np.add.at(total, group, v.scores[p])
+        hope = total + light[np.searchsorted(edges, docs, "right") - 1]
+        hope[np.isin(docs, seen)] = 0
+        order = np.argsort(-hope, kind="stable")
+        at, chunk = 0, 32
         while at < len(order):
             some = order[at : at + chunk]
-            if len(self.best[i][0]) == self.most:
-                some = some[bound[some] >= self.best[i][0][-1]]  # an equal score may have a smaller id
-                if not len(some):
-                    return
+            some = some[hope[some] >= self._least(i)]
+            if not len(some):
+                return
+            self._evaluate(i, docs[some], total[some], lists[drivers:], v)
             at, chunk = at + chunk, chunk * 4
-            open_ = np.zeros(len(edges), bool)
-            open_[some] = True
-            opened = np.concatenate([[0], np.cumsum(open_)])
-            live = opened[hi] > opened[lo]
-            p = _ranges(begin[live], end[live])
-            p = p[open_[np.searchsorted(edges, docs[p], "right") - 1]]
-            self.evaluated += len(p)
-            d, group = np.unique(docs[p], return_inverse=True)
-            total = np.zeros(len(d), np.int64)
-            np.add.at(total, group, scores[p])
-            self._merge(i, total[total > 0], ids[d[total > 0]], absent[d[total > 0]])
+
+    def _evaluate(self, i: int, docs: np.ndarray, total: np.ndarray, lists: np.ndarray, v: _View) -> None:
+        """Merge in ``docs`` (in order), which have ``total`` without ``lists``: their postings in these are sought."""
+        wanted = (lists[:, None] << 32 | docs).ravel()
+        at = np.minimum(np.searchsorted(v.keys, wanted), len(v.keys) - 1)
+        self.evaluated += len(wanted)
+        total = total + np.where(v.keys[at] == wanted, v.scores[at], 0).reshape(len(lists), len(docs)).sum(0)
+        some = total >= self._least(i)
+        self._merge(i, total[some], v.ids[docs[some]], v.absent[docs[some]])
 
     def _merge(self, i: int, total: np.ndarray, ids: np.ndarray, absent: np.ndarray) -> None:
         if len(total) > self.most:
