@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, interaction, licenses, mixing, pii, quality, search, simhash, suffixes, tokens, urls
+from . import chat, decontaminate, interaction, langid, licenses, mixing, pii, quality, search, simhash, suffixes, tokens, urls
 from .common import read
 
 
@@ -59,6 +59,10 @@ def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(read(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interaction.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -67,6 +71,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_quality_rules, op2_decontaminate, op3_pii, op4_licenses, op5_mix_sources,
         op6_url_filters, op7_repeated_strings, op8_simhash, op9_token_counts, op10_chat_format,
-        op11_search, op13_filter_audit,
+        op11_search, op12_language, op13_filter_audit,
     )
     return {f.__name__: f for f in every}
