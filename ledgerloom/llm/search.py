@@ -142,6 +142,14 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
+def _summed(docs: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The documents, in order, and the sum of each."""
+    found, group = np.unique(docs, return_inverse=True)
+    total = np.zeros(len(found), np.int64)
+    np.add.at(total, group, scores)
+    return found, total
+
+
 def _cuts_of_runs(scores: np.ndarray, lengths: np.ndarray, cost: np.ndarray) -> list[np.ndarray]:
     """For runs (rows, padded) the lengths of their blocks, last to first: least sum of (block maximum - score), plus ``cost`` a block.
 
@@ -259,8 +267,12 @@ class Searcher:
         """``lists`` come by what they can give at most, the heaviest first."""
         size = v.starts[lists + 1] - v.starts[lists]
         self.postings += int(size.sum())
-        heavy = lists[: int(np.searchsorted(np.cumsum(size), 4 * self.most)) + 1]
-        seen = np.unique(v.docs[_ranges(v.starts[heavy], v.starts[heavy + 1])])
+        heavy = lists[: int(np.searchsorted(np.cumsum(size), self.most)) + 1]
+        p = _ranges(v.starts[heavy], v.starts[heavy + 1])
+        docs, total = _summed(v.docs[p], v.scores[p])
+        self.evaluated += len(p)
+        # the best of what the heaviest lists hold give a first score to beat
+        seen = np.sort(docs[np.argsort(-total, kind="stable")[: 4 * self.most]])
         self._evaluate(i, seen, np.zeros(len(seen), np.int64), lists, v)
         least = self._least(i)
         # a document none of whose terms is among the drivers cannot reach `least`, whatever lighter terms it has
@@ -284,9 +296,7 @@ class Searcher:
         p = _ranges(v.begin[live], v.end[live])
         p = p[opens[np.searchsorted(edges, v.docs[p], "right") - 1]]
         self.evaluated += len(p)
-        docs, group = np.unique(v.docs[p], return_inverse=True)
-        total = np.zeros(len(docs), np.int64)
-        np.add.at(total, group, v.scores[p])
+        docs, total = _summed(v.docs[p], v.scores[p])
         hope = total + light[np.searchsorted(edges, docs, "right") - 1]
         hope[np.isin(docs, seen)] = 0
         order = np.argsort(-hope, kind="stable")
