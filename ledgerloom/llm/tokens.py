@@ -16,8 +16,8 @@ from .common import pieces, ship
 SPACE = "▁"
 #: Bytes from which a text is cut into chunks (which have so many characters), and how many chunk maps one step composes.
 CHUNK, FAN = 1 << 17, 64
-#: Chunk maps are composed in so many rounds: FAN ** ROUNDS chunks are more than a Spark string can hold.
-ROUNDS = 3
+#: Most bytes of a Spark string.
+LONGEST_TEXT = 1 << 31
 #: Most transitions and words that one Python worker keeps; beyond it both are compiled anew.
 MOST_EDGES, MOST_WORDS, LONGEST_WORD = 500_000, 250_000, 48
 
@@ -282,9 +282,17 @@ def _written(maps: Iterable[tuple[str, int, StateMap]]) -> pd.DataFrame:
 _MAP = "key string, pos long, head string, count long, node long, tokens array<string>, more array<long>"
 
 
+def _rounds(chunk: int, fan: int) -> int:
+    """Rounds of composing ``fan`` maps into one, until the longest text that there can be is one map."""
+    n, rounds = -(-LONGEST_TEXT // chunk), 1
+    while fan**rounds < n:
+        rounds += 1
+    return rounds
+
+
 def _counts_of_long(long: DataFrame, shared, model_path: str, chunk: int) -> DataFrame:
     """(key, total) of each distinct text of ``long`` (key, doc_id, text): chunks are dealt over the tasks, their maps composed in rounds."""
-    n = F.ceil(F.length("text") / chunk).cast("int")
+    n, fan = F.ceil(F.length("text") / chunk).cast("int"), FAN
     cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("text"), i * chunk + 1, F.lit(chunk)))
     parts = long.select("key", "doc_id", F.posexplode(cut).alias("pos", "piece")).repartition("key", "doc_id", "pos")
 
@@ -299,12 +307,12 @@ def _counts_of_long(long: DataFrame, shared, model_path: str, chunk: int) -> Dat
         for r in frame.sort_values("pos").itertuples():
             m = StateMap(r.head, r.count, None if r.tokens is None else (int(r.node), tuple(zip(r.tokens, map(int, r.more), strict=True))))
             all_ = m if all_ is None else machine.compose(all_, m)
-        return _written([(frame["key"].iloc[0], frame["pos"].iloc[0] // FAN, all_)])
+        return _written([(frame["key"].iloc[0], frame["pos"].iloc[0] // fan, all_)])
 
     same = lambda d: d.groupBy("key", "pos").agg(F.first(F.struct("head", "count", "node", "tokens", "more")).alias("m")).select("key", "pos", "m.*")
     maps = same(parts.select("key", F.col("pos").cast("long").alias("pos"), "piece").mapInArrow(read, _MAP))
-    for _ in range(ROUNDS):
-        maps = maps.groupBy("key", F.floor(F.col("pos") / FAN).alias("_up")).applyInPandas(compose, _MAP)
+    for _ in range(_rounds(chunk, fan)):
+        maps = maps.groupBy("key", F.floor(F.col("pos") / fan).alias("_up")).applyInPandas(compose, _MAP)
     return maps.select("key", F.col("count").alias("total"))
 
 
