@@ -117,10 +117,10 @@ _HITS_TYPE = StructType().add("n_words", LongType()).add("hits", ArrayType(Struc
 _HITS_SQL = "struct<n_words: long, hits: array<struct<start: long, end: long>>, items: array<string>>"
 
 
-def _scanned(b: pa.RecordBatch, windows: Windows) -> list[dict]:
-    """Words, hits and items of each row; what earlier blocks hit comes in the column _before, if there is one."""
+def _scanned(b: pa.RecordBatch, windows: Windows, earlier: str | None = None) -> list[dict]:
+    """Words, hits and items of each row; what earlier blocks hit comes in the column ``earlier``."""
     found = []
-    before = b.column("_before").to_pylist() if "_before" in b.schema.names else [None] * len(b)
+    before = b.column(earlier).to_pylist() if earlier else [None] * len(b)
     for (mask, items), old in zip(windows.scan([words_of(t) for t in _texts(b)]), before, strict=True):
         if old:
             for s in old["hits"]:
@@ -131,11 +131,20 @@ def _scanned(b: pa.RecordBatch, windows: Windows) -> list[dict]:
     return found
 
 
+def _free(name: str, columns: list[str]) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def _scan(docs: DataFrame, benchmark: DataFrame, emit: Callable, schema: str | StructType, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Whatever ``emit(batch, hits)`` makes of the rows of ``docs``; a batch may have the column _before at its end."""
+    """Whatever ``emit(batch, hits)`` makes of the rows of ``docs``; a batch may have one more column at its end."""
     spark = docs.sparkSession
     ship(spark)
     n = _n_blocks(benchmark, block_words)
+    digest, earlier = _free("_key", docs.columns), _free("_before", docs.columns)
     shared = [spark.sparkContext.broadcast(Windows(_block(benchmark, 0, n), window))]
     if n > 1:
         key = F.sha2(F.col("text").cast("string"), 256)
@@ -151,14 +160,15 @@ def _scan(docs: DataFrame, benchmark: DataFrame, emit: Callable, schema: str | S
 
             one = docs.select(key.alias("_key"), F.col("text").cast("string").alias("text")).where("text is not null").mapInArrow(some, f"_key string, b {_HITS_SQL}")
             parts.append(stage(one.groupBy("_key").agg(F.first("b").alias("b")), "bench"))  # equal texts, equal hits
-        hits = reduce(DataFrame.unionByName, parts).groupBy("_key").agg(F.struct(F.max("b.n_words").alias("n_words"), F.flatten(F.collect_list("b.hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("b.items"))).alias("items")).alias("_before"))
+            more.destroy()
+        hits = reduce(DataFrame.unionByName, parts).groupBy(F.col("_key").alias(digest)).agg(F.struct(F.max("b.n_words").alias("n_words"), F.flatten(F.collect_list("b.hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("b.items"))).alias("items")).alias(earlier))
         hits = stage(hits, "bench")
         unstage(*parts)
-        docs = docs.withColumn("_key", key).join(broadcast_if(hits, hits.count(), 10_000), "_key", "left").drop("_key")
+        docs = docs.withColumn(digest, key).join(broadcast_if(hits, hits.count(), 10_000), digest, "left").drop(digest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            yield emit(b, _scanned(b, shared[0].value))
+            yield emit(b, _scanned(b, shared[0].value, earlier if n > 1 else None))
 
     return docs.mapInArrow(run, schema)
 
@@ -169,7 +179,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = No
     Words are runs of letters and digits after lower-casing A-Z; null texts have none. A window
     is ``window`` consecutive words of an item (all of a shorter one); an item's repeated rows count once.
     Items with a null id hit words but are not listed; an empty benchmark hits nothing, an empty table gives no rows.
-    Columns of ``docs`` may have any names but _key and _before. Memory: one block and one slice of texts.
+    Columns of ``docs`` may have any names. Memory: one block and one slice of texts.
     """
     keep = keep or docs.columns
     fields = StructType([docs.schema[c] for c in keep])
@@ -192,7 +202,10 @@ def contaminated():
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of ``docs``."""
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of ``docs``.
+
+    Null and empty texts have no words and are clean; repeated rows are judged alike; an empty table gives no rows; other columns are ignored.
+    """
     found = find_hits(docs, benchmark, ["doc_id"])
     return found.select(F.col("row.doc_id").alias("doc_id"), F.col("bench.n_words").alias("n_words"), n_hit().alias("n_hit"), F.size("bench.items").cast("long").alias("n_items"), F.sha2(F.array_join("bench.items", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"))
 
@@ -203,7 +216,11 @@ def _bad(f: dict) -> bool:
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The documents that are not contaminated, as they came; null and empty texts, and repeated rows, stay."""
+    """The documents that are not contaminated, as they came, with any other columns; null and empty texts stay.
+
+    Repeated rows stay or go alike; texts are scanned whole, one long text at a time; an empty table gives no rows, an
+    empty benchmark removes none.
+    """
     names = docs.columns
 
     def emit(b: pa.RecordBatch, found: list[dict]) -> pa.RecordBatch:
@@ -224,7 +241,10 @@ def _cut(text: str, hits: list[dict]) -> str:
 
 
 def without_hit_spans(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """All documents, without the runs of hit words (the mildest remedy: the rest of a document stays); null texts stay null."""
+    """All documents, without the runs of hit words (the mildest remedy: the rest of a document stays); null texts stay null.
+
+    Repeated rows are cut alike, any other columns carried along; an empty table gives no rows, an empty benchmark cuts nothing.
+    """
     names = docs.columns
 
     def emit(b: pa.RecordBatch, found: list[dict]) -> pa.RecordBatch:

@@ -119,6 +119,18 @@ def test_decontamination(spark, awkward, empty, block, monkeypatch):
     assert left.where("n_hit > 0").count() == 0
 
 
+@pytest.mark.parametrize("block", [1_000_000, 30])
+def test_decontamination_clashing_columns(spark, block):
+    """Columns that are named as the operator names its own stay as they are."""
+    bench = spark.createDataFrame([(i, f"w{i} x{i} y{i}") for i in range(30)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "w1 x1 y1", "old", "k", "K"), (2, "clean", None, None, None), (3, None, "b", "k", None)], "doc_id long, text string, _before string, _key string, _BEFORE_ string")
+    kept = decontaminate.without_contaminated(docs, bench, block)
+    assert kept.columns == docs.columns and {tuple(r) for r in kept.collect()} == {(2, "clean", None, None, None), (3, None, "b", "k", None)}
+    cut = decontaminate.without_hit_spans(docs, bench, block)
+    assert cut.columns == docs.columns and {tuple(r) for r in cut.collect()} == {(1, "", "old", "k", "K"), (2, "clean", None, None, None), (3, None, "b", "k", None)}
+    assert {r["row"]["_before"] for r in decontaminate.find_hits(docs, bench, block_words=block).collect()} == {"old", None, "b"}
+
+
 # -- 3 personal data ----------------------------------------------------------------------------------------------
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -558,6 +570,16 @@ def test_tokens(spark, awkward, empty):
     assert tokens.count_tokens(empty, path).count() == 0
 
 
+def test_tokens_of_many_chunks(spark, monkeypatch):
+    """Rounds follow from the chunk's size: with a fan of 4, three rounds would leave several rows of this text."""
+    path, sp = _tokenizer()
+    text = "ab cde fghij klm " * 6_000
+    monkeypatch.setattr(tokens, "FAN", 4)
+    got = tokens.count_tokens(spark.createDataFrame([(1, text), (2, "x y")], "doc_id long, text string"), path, chunk=800)
+    assert {tuple(x) for x in got.collect()} == {(1, len(text), n := len(sp.encode(text)), n > 4096), (2, 3, len(sp.encode("x y")), False)}
+    assert 64 ** tokens._rounds(tokens.CHUNK, 64) * tokens.CHUNK >= 1 << 31 and tokens._rounds(1, 64) == 6
+
+
 def test_transducer_counts_as_the_library():
     path, sp = _tokenizer()
     t = tokens.transducer(path)
