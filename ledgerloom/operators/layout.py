@@ -26,7 +26,11 @@ def match_home(matches: DataFrame, classification: DataFrame, documents: DataFra
     """(account, kind, match_key, part): matches/<population>/<rule>/<month>/<day>/<key>, days nine hours ahead of UTC."""
     d = jsonx.with_parsed(documents, "_v").select(F.col("response_id").alias("detail_response_id"), *KEY, jsonx.text(F.col("_v"), "$.playedTime").alias("played"))
     m = matches.select(*KEY, "detail_response_id").join(classification.select(*KEY, "analysis_set", "rule_raw"), KEY, "left").join(d, ["detail_response_id", *KEY], "left")
-    return m.select(*KEY, _path("matches", _segment(F.col("analysis_set"), "unclassified"), _segment(F.col("rule_raw"), "no-rule"), paths.local_day_path(F.col("played")), _segment(F.col("match_key"), "no-match-key")).alias("part"))
+    return m.select(*KEY, match_part(F.col("analysis_set"), F.col("rule_raw"), F.col("played"), F.col("match_key")).alias("part"))
+
+
+def match_part(analysis_set: Column, rule_raw: Column, played: Column, match_key: Column) -> Column:
+    return _path("matches", _segment(analysis_set, "unclassified"), _segment(rule_raw, "no-rule"), paths.local_day_path(played), _segment(match_key, "no-match-key"))
 
 
 def prefer_vs(homes: DataFrame) -> DataFrame:
@@ -39,9 +43,13 @@ def response_home(responses: DataFrame, documents: DataFrame, homes: DataFrame)
     """(id, part): the home of the first match whose detail it is, else a part of its operation and hour; ranking responses have their own."""
     first = documents.join(homes, KEY).groupBy(F.col("response_id").alias("id")).agg(F.min_by("part", F.struct(*KEY)).alias("_match"))
     r = responses.select("id", "operation", "fetched_at").join(first, "id", "left")
-    op, period = _segment(F.col("operation"), "no-operation"), paths.response_period(F.col("operation"), F.col("fetched_at"))
-    own = F.when(F.col("operation").isin(*paths.RANKING_OPERATIONS), _path("responses", op, period, F.col("id").cast("string"))).otherwise(_path("responses", op, period))
-    return r.select("id", F.coalesce("_match", own).alias("part"))
+    return r.select("id", F.coalesce("_match", own_response_part(F.col("operation"), F.col("fetched_at"), F.col("id"))).alias("part"))
+
+
+def own_response_part(operation: Column, fetched_at: Column, response_id: Column) -> Column:
+    """Where a response lives that is no match's detail."""
+    op, period = _segment(operation, "no-operation"), paths.response_period(operation, fetched_at)
+    return F.when(operation.isin(*paths.RANKING_OPERATIONS), _path("responses", op, period, response_id.cast("string"))).otherwise(_path("responses", op, period))
 
 
 def fetch_home(fetched_at: Column) -> Column:
