@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -22,9 +23,29 @@ def current_rows(baseline: DataFrame, operations: DataFrame, key: str) -> DataFr
     return live.select(key, *[F.col(f"w.{c}").alias(c) for c in cols])
 
 
-def generation_counts(baseline: DataFrame, operations: DataFrame, key: str, generations: list[int]) -> dict[int, int]:
-    """Rows after each generation, to hold against what its metadata says."""
-    return {g: current_rows(baseline, operations.where(F.col("generation") <= g), key).count() for g in generations}
+def generation_counts(baseline: DataFrame, operations: DataFrame, key: str) -> DataFrame:
+    """(generation, rows): the rows that there are after each generation (-1: the baseline), to hold against what its metadata says.
+
+    A key exists from a generation that ends with its upsert up to the next generation in which it has an operation, or a
+    clear follows: +1 and -1 over generations, summed up to each. Operations are first reduced to the last one of a
+    key in a generation, so a key's window has one row a generation; that reduction is read twice, the sources once.
+    Clears are at most one row a generation, held in one array.
+    """
+    base = baseline.select(F.lit(-1).cast("long").alias("generation"), F.lit(0).cast("long").alias("ordinal"), F.lit("upsert").alias("op"), F.col(key).alias("_key"))
+    named = F.when(F.col("op") != "clear_table", F.col(key))
+    every = base.unionByName(operations.select(F.col("generation").cast("long").alias("generation"), F.col("ordinal").cast("long").alias("ordinal"), "op", named.alias("_key")))
+    last = every.groupBy("_key", "generation").agg(F.max(F.struct("ordinal", "op")).alias("_last"))
+    clears = last.where("_last.op = 'clear_table'").agg(F.array_sort(F.collect_list(F.struct("generation", F.col("_last.ordinal").alias("ordinal")))).alias("_clears"))  # one row
+    ops = last.where("_last.op <> 'clear_table'").join(F.broadcast(clears))
+    at = F.struct("generation", F.col("_last.ordinal").alias("ordinal"))
+    cleared = F.get(F.filter("_clears", lambda c: c > at), F.lit(0))["generation"]
+    following = F.lead("generation").over(W.partitionBy("_key").orderBy("generation"))
+    span = ops.select("generation", (F.col("_last.op") == "upsert").alias("_there"), F.least(following, cleared).alias("_end"))  # least skips nulls
+    span = span.where(F.col("_there") & (F.col("_end").isNull() | (F.col("_end") > F.col("generation"))))
+    steps = span.select(F.inline(F.array(F.struct("generation", F.lit(1).alias("n")), F.struct(F.col("_end").alias("generation"), F.lit(-1).alias("n"))))).where("generation is not null")
+    there = last.select("generation", F.lit(0).alias("n")).unionByName(baseline.sparkSession.range(1).select(F.lit(-1).cast("long").alias("generation"), F.lit(0).alias("n")))
+    per = steps.unionByName(there).groupBy("generation").agg(F.sum("n").alias("n"))
+    return per.select("generation", F.sum("n").over(W.orderBy("generation")).alias("rows"))  # a row for each generation
 
 
 def lookup(rows: DataFrame, criteria: dict[str, object]) -> DataFrame:
@@ -48,8 +69,6 @@ def unique(rows: DataFrame, criteria: dict[str, object]):
 
 def chain_problems(generations: DataFrame) -> DataFrame:
     """(id, problem) of a chain (ordinal, id, parent, after, through, schema_hash, baseline, reset): each must follow from the one before."""
-    from pyspark.sql import Window as W
-
     w = W.orderBy("ordinal")  # one row for each generation
     g = generations.withColumns({"_id": F.lag("id").over(w), "_through": F.lag("through").over(w), "_schema": F.lag("schema_hash").over(w), "_base": F.first("baseline").over(w)})
     first = F.col("_id").isNull()

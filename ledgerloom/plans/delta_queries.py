@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import increment
+from ..operators import increment, overlay, packing
 from ..sources import shared
 from . import fixtures as fx
 
@@ -78,3 +78,39 @@ def layout_delta(s, d):
     step = state.advance(increment.net(before, after))
     gone = step.emptied.withColumn("_gone", F.lit(True))
     return step.dirty.join(gone, "part", "left").select("part", F.coalesce("_gone", F.lit(False)).alias("emptied"))
+
+
+# -- generations and parts ----------------------------------------------------------------------------------------
+
+#: Seven generations over the orders: upserts of some keys, deletes of others, a clear in the fifth after some of its upserts.
+_OPS = """ops AS (SELECT o_orderkey AS id, g::BIGINT AS generation, CASE WHEN (o_orderkey + g) % 3 = 0 THEN 'delete' ELSE 'upsert' END AS op, (o_orderkey * 7 % 1000) * 2 AS ordinal FROM orders, range(7) AS t(g) WHERE (o_orderkey + g * 13) % 5 = 0
+ UNION ALL SELECT o_orderkey, g, CASE WHEN (o_orderkey + g) % 4 = 0 THEN 'upsert' ELSE 'delete' END, 5000 + o_orderkey % 10 FROM orders, range(7) AS t(g) WHERE (o_orderkey + g * 13) % 35 = 0 UNION ALL SELECT NULL, 4, 'clear_table', 777),
+base AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 4 <> 1), gens AS (SELECT unnest(range(-1, 7)) AS generation)"""
+
+
+def _operations(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    k, g = F.col("id"), F.col("generation")
+    o = fx.read(s, d, "orders").select(F.col("o_orderkey").alias("id"))
+    some = o.withColumn("generation", F.explode(F.sequence(F.lit(0), F.lit(6)))).withColumn("generation", g.cast("long")).where((k + g * 13) % 5 == 0)
+    first = some.withColumns({"op": F.when((k + g) % 3 == 0, "delete").otherwise("upsert"), "ordinal": (k * 7 % 1000) * 2})
+    again = some.where((k + g * 13) % 35 == 0).withColumns({"op": F.when((k + g) % 4 == 0, "upsert").otherwise("delete"), "ordinal": 5000 + k % 10})
+    clear = s.range(1).select(F.lit(None).cast("long").alias("id"), F.lit(4).cast("long").alias("generation"), F.lit("clear_table").alias("op"), F.lit(777).cast("long").alias("ordinal"))
+    return o.where(k % 4 != 1), first.unionByName(again).unionByName(clear)
+
+
+@query(f"""WITH {_OPS}, e AS (SELECT id, -1 AS generation, 0 AS ordinal, 'upsert' AS op FROM base UNION ALL SELECT id, generation, ordinal, op FROM ops),
+last AS (SELECT g.generation, id, arg_max(op, e.generation * 100000 + ordinal) AS op, max(e.generation * 100000 + ordinal) AS place FROM gens g JOIN e ON e.generation <= g.generation WHERE op <> 'clear_table' GROUP BY ALL)
+SELECT generation::BIGINT AS generation, count(*) FILTER (WHERE op = 'upsert' AND NOT (generation >= 4 AND place < 400777)) AS rows FROM last GROUP BY generation""")
+def generation_rows(s, d):
+    return overlay.generation_counts(*_operations(s, d), "id")
+
+
+#: The sequential definition: a part begins with the first row that does not fit into the one before.
+@query("""WITH RECURSIVE r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS rn, b > 4000 AS external, CASE WHEN b > 4000 THEN 128 ELSE b END AS b FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 7 THEN 90000 ELSE 60 + o_custkey * 31 % 997 END AS b FROM orders)),
+c AS (SELECT *, sum(b) OVER (ORDER BY rn) AS upto FROM r),
+p(part, first, before) AS (SELECT 0::BIGINT, 1::BIGINT, 0::HUGEINT UNION ALL SELECT part + 1, n.rn, n.upto - n.b FROM p JOIN c n ON n.upto > p.before + 20000 AND n.upto - n.b <= p.before + 20000)
+SELECT o_orderkey, part, external FROM c JOIN p ON c.rn >= p.first AND c.upto <= p.before + 20000""")
+def packed_parts(s, d):
+    k = F.col("o_orderkey")
+    o = fx.read(s, d, "orders").select(k, F.when(k % 50 == 7, 90_000).otherwise(60 + F.col("o_custkey") * 31 % 997).alias("b"))
+    return packing.pack(o, "o_orderkey", F.col("b"), 20_000, 4_000, run=1000, fan=4).select("o_orderkey", "part", "external")
