@@ -40,10 +40,12 @@ def generation_counts(baseline: DataFrame, operations: DataFrame, key: str) -> D
     at = F.struct("generation", F.col("_last.ordinal").alias("ordinal"))
     cleared = F.get(F.filter("_clears", lambda c: c > at), F.lit(0))["generation"]
     following = F.lead("generation").over(W.partitionBy("_key").orderBy("generation"))
-    span = ops.select("generation", (F.col("_last.op") == "upsert").alias("_there"), F.least(following, cleared).alias("_end"))  # least skips nulls
-    span = span.where(F.col("_there") & (F.col("_end").isNull() | (F.col("_end") > F.col("generation"))))
-    steps = span.select(F.inline(F.array(F.struct("generation", F.lit(1).alias("n")), F.struct(F.col("_end").alias("generation"), F.lit(-1).alias("n"))))).where("generation is not null")
-    there = last.select("generation", F.lit(0).alias("n")).unionByName(baseline.sparkSession.range(1).select(F.lit(-1).cast("long").alias("generation"), F.lit(0).alias("n")))
+    there = (F.col("_last.op") == "upsert") & (cleared.isNull() | (cleared > F.col("generation")))
+    span = ops.select("generation", there.alias("_there"), F.least(following, cleared).alias("_end"))  # least skips nulls
+    step = lambda g, n: F.struct(g.alias("generation"), F.lit(n).alias("n"))
+    each = F.array(step(F.col("generation"), 0), F.when(F.col("_there"), step(F.col("generation"), 1)), F.when(F.col("_there") & F.col("_end").isNotNull(), step(F.col("_end"), -1)))
+    steps = span.select(F.inline(F.array_compact(each)))
+    there = clears.select(F.inline(F.transform("_clears", lambda c: step(c["generation"], 0)))).unionByName(baseline.sparkSession.range(1).select(F.lit(-1).cast("long").alias("generation"), F.lit(0).alias("n")))
     per = steps.unionByName(there).groupBy("generation").agg(F.sum("n").alias("n"))
     return per.select("generation", F.sum("n").over(W.orderBy("generation")).alias("rows"))  # a row for each generation
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import increment, overlay, packing
-from ..sources import shared
+from ..sources import lookup, shared
 from . import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,30 @@ def packed_parts(s, d):
     k = F.col("o_orderkey")
     o = fx.read(s, d, "orders").select(k, F.when(k % 50 == 7, 90_000).otherwise(60 + F.col("o_custkey") * 31 % 997).alias("b"))
     return packing.pack(o, "o_orderkey", F.col("b"), 20_000, 4_000, run=1000, fan=4).select("o_orderkey", "part", "external")
+
+
+#: Price of the first generation up by 1, of the second by 2 for other keys, some keys deleted; as the overlay queries have it.
+_NOW = "now AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice + 2 WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS price, o_orderpriority AS priority, o_custkey AS customer FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey % 5 <> 0)"
+
+
+@query(f"""WITH {_NOW}, low AS (SELECT min(o_orderkey) AS k FROM orders), o AS (SELECT o_totalprice AS price, o_custkey AS customer FROM orders, low WHERE o_orderkey = k),
+c AS (SELECT 'now' AS asked, now.id FROM now, o WHERE now.price = o.price UNION ALL SELECT 'customer', now.id FROM now, o WHERE now.customer = o.customer UNION ALL SELECT 'both', now.id FROM now, o WHERE now.customer = o.customer AND now.price = o.price + 2
+ UNION ALL SELECT 'many', id FROM now WHERE priority = '1-URGENT')
+SELECT asked, least(count(id), 2)::BIGINT AS found, CASE WHEN count(id) = 1 THEN min(id) END AS id FROM (SELECT unnest(['now', 'customer', 'both', 'many', 'none', 'type']) AS asked) LEFT JOIN c USING (asked) GROUP BY asked""")
+def indexed_lookup(s, d):
+    k = F.col("id")
+    o = fx.read(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("priority"), F.col("o_custkey").alias("customer"))
+    path = shared.scratch(s, "indexed")
+    lookup.write_indexed(o, path, "id", F.lit(40), ["price", "customer"], 8_000)
+    one = lambda g, rows, op, more: rows.select(F.lit(g).cast("long").alias("generation"), k.alias("ordinal"), F.lit(op).alias("op"), "id", (F.col("price") + more).alias("price"), "priority", "customer")
+    ops = one(1, o.where(k % 3 == 0), "upsert", 1).unionByName(one(2, o.where((k % 5 == 0) & (k % 7 != 0)), "delete", 0)).unionByName(one(3, o.where(k % 7 == 0), "upsert", 2))
+    first = o.agg(F.min_by(F.struct("price", "customer"), "id")).first()[0]
+    asked = {
+        "now": {"price": first["price"]}, "customer": {"customer": first["customer"]}, "both": {"customer": first["customer"], "price": first["price"] + 2},
+        "many": {"priority": "1-URGENT"}, "none": {"price": -1.0}, "type": {"customer": float(first["customer"])},
+    }
+    found = None
+    for name, criteria in asked.items():
+        n = lookup.find(s, path, ops, "id", criteria).agg(F.count("*").alias("found"), F.when(F.count("*") == 1, F.min("id")).alias("id")).select(F.lit(name).alias("asked"), "found", "id")
+        found = n if found is None else found.unionByName(n)
+    return found

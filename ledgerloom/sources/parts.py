@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import lossless
+from ..operators import lossless, packing
 from ..operators.cdc import cell_key
 
 
 def write_parts(rows: DataFrame, order: str, size: Column, path: str, most: int = lossless.PART_BYTES) -> None:
-    """Parts of at most ``most`` bytes below path/rows, ordered inside; the manifest of their ranges is written last."""
-    binned = lossless.size_bins(rows, order, size, most)
+    """Parts as full as ``most`` bytes allow below path/rows, ordered inside (a longer row is alone); the manifest of their ranges is written last."""
+    binned = packing.pack(rows, order, size, most, external=most).drop("external")
     binned.repartition("part").sortWithinPartitions("part", order).write.mode("overwrite").partitionBy("part").parquet(f"{path}/rows")
     there = rows.sparkSession.read.parquet(f"{path}/rows")
     lossless.part_ranges(there, order, size).write.mode("overwrite").parquet(f"{path}/manifest")
