@@ -89,15 +89,36 @@ def signed_number(value: Column) -> Column:
     return F.when(value > 0, F.concat(F.lit("+"), short_number(value))).when(value == 0, F.lit("±0")).otherwise(short_number(value))
 
 
-def nice_ticks(low: float, high: float, steps: int = 4) -> list[float]:
-    """Axis ticks at multiples of 1, 2, 2.5 or 5 times a power of ten, at least ``steps`` intervals."""
+def nice_ticks(low: float, high: float) -> list[float]:
+    """Axis ticks around [low, high] at multiples of 1, 2, 2.5, 5 or 10 times a power of ten: the least step of at least a fifth of the span.
+
+    Equal ends are first moved apart, by 2 at zero and else by a tenth of them, at least 1. If that gives fewer than four intervals, the next finer step is taken.
+    """
     import math
 
-    span = (high - low) or abs(high) or 1.0
-    base = 10 ** math.floor(math.log10(span / steps))
-    step = next(m * base for m in (10, 5, 2.5, 2, 1) if span / (m * base) >= steps or m == 1)
-    first, last = math.floor(low / step), math.ceil(high / step)
-    return [round(i * step, 10) for i in range(first, last + 1)]
+    if low == high:
+        apart = max(1.0, abs(low) / 10) if low else 2.0
+        low, high = low - apart, high + apart
+    fifth = (high - low) / 5
+    unit = 10 ** math.floor(math.log10(fifth))
+    factor = next(m for m in (1, 2, 2.5, 5, 10) if fifth / unit <= m)
+    ends = lambda m: (math.floor(low / (m * unit)), math.ceil(high / (m * unit)))
+    first, last = ends(factor)
+    if last - first < 4 and factor != 2.5:
+        factor = {10: 5, 5: 2, 2: 1, 1: 1}[factor]
+        first, last = ends(factor)
+    return [round(i * factor * unit, 6) for i in range(first, last + 1)]
+
+
+#: Fixed ticks of the axis of grade points, and the distance of those outside of them.
+GRADE_TICKS, GRADE_STEP = (0, 200, 400, 600, 800, 999), 200
+
+
+def grade_ticks(low: float, high: float) -> list[int]:
+    """The fixed ticks; outside of them multiples of 200, from 1200 upwards, up to less than a step beyond either end."""
+    under = [-t for t in range(GRADE_STEP, int(-low) + GRADE_STEP + 1, GRADE_STEP) if -t >= low - GRADE_STEP] if low < 0 else []
+    over = [t for t in range(1200, int(high) + 2 * GRADE_STEP, GRADE_STEP) if t < high + GRADE_STEP] if high > GRADE_TICKS[-1] else []
+    return [*reversed(under), *GRADE_TICKS, *over]
 
 
 def contrast(rgb1: tuple[int, int, int], rgb2: tuple[int, int, int]) -> float:

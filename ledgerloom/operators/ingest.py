@@ -24,15 +24,14 @@ def envelopes(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     d = raw.withColumn("body", body)
     reason = F.when(F.col("fetched_at").isNull() | F.col("event_id").isNull() | F.col("account").isNull() | F.col("operation").isNull(), "missing field").when(F.col("body").isNull(), "body is not base64")
     d = d.withColumn("reason", reason)
-    good = d.where("reason is null").select(
+    # Of fetches that share an event_id, always the same one; the others are left out before they are shuffled.
+    order = [F.asc("fetched_at"), F.asc("body_sha256"), F.asc("account"), F.asc("operation"), F.asc("variables")]
+    first = F.row_number().over(W.partitionBy("event_id").orderBy(*order))
+    one = d.where("reason is null").withColumn("body_sha256", F.sha2("body", 256)).withColumn("_n", first).where("_n = 1")
+    good = one.select(
         "event_id", "account", "fetched_at", "operation", jsonx.canonical_json(F.coalesce("variables", F.lit("{}"))).alias("variables_json"), "query_id", "app_version",
-        F.col("status").alias("http_status"), "headers", "body", F.sha2("body", 256).alias("body_sha256"),
+        F.col("status").alias("http_status"), "headers", "body", "body_sha256",
     )
-    # Of fetches that share an event_id, always the same one; the digests choose it, so bodies travel once.
-    first = good.groupBy("event_id").agg(F.min(F.struct("fetched_at", "body_sha256", "account", "operation", "variables_json")).alias("_f"))
-    twice = good.groupBy("event_id").count().where("count > 1").select("event_id")
-    one = good.join(twice, "event_id", "left_semi").join(first, "event_id").where(F.struct("fetched_at", "body_sha256", "account", "operation", "variables_json").eqNullSafe(F.col("_f"))).drop("_f").dropDuplicates(["event_id"])
-    good = good.join(twice, "event_id", "left_anti").unionByName(one)
     return good, d.where("reason is not null").select("event_id", "reason")
 
 
@@ -143,10 +142,19 @@ def tags_after(tags: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def superseded(jobs: DataFrame) -> DataFrame:
-    """Jobs with state superseded where another job for the same match and operation is done."""
-    w = W.partitionBy("account", "operation", "kind", "match_key")
-    done = F.max(F.col("state") == "done").over(w)
-    return jobs.withColumn("state", F.when(F.col("match_key").isNotNull() & F.col("state").isin("pending", "retry") & done, "superseded").otherwise(F.col("state")))
+    """Jobs with state superseded where another job for the same match and operation is done.
+
+    The matches that are done are counted once each and joined in; jobs without a match meet none and are not gathered.
+    """
+    key = ["account", "operation", "kind", "match_key"]
+    done = jobs.where("state = 'done' and match_key is not null").groupBy(*key).agg(F.lit(True).alias("_done"))
+    waits = jobs.where(_WAITS)
+    late = waits.join(done, [waits[c].eqNullSafe(done[c]) for c in key], "left").select(*[waits[c] for c in jobs.columns if c != "state"], F.when(F.col("_done"), "superseded").otherwise(waits["state"]).alias("state"))
+    return jobs.where(f"not coalesce({_WAITS}, false)").unionByName(late.select(*jobs.columns))
+
+
+#: Jobs that another one can supersede.
+_WAITS = "match_key is not null and state in ('pending', 'retry')"
 
 
 #: Fixed codes of issues after which a response does not count as a success.

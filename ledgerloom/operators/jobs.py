@@ -41,10 +41,29 @@ def retry_after(header: Column, now: Column) -> Column:
     return F.when(wait.isNotNull(), F.greatest(F.lit(60.0), wait))
 
 
+def _number(df: DataFrame, c: str) -> Column:
+    """A time or number as a number, only to find its bin."""
+    kind = df.schema[c].dataType.simpleString()
+    if kind.startswith(("timestamp", "date", "string")):
+        return F.unix_micros(F.try_to_timestamp(F.col(c)) if kind == "string" else F.col(c).cast("timestamp")).cast("double")
+    return F.col(c).cast("double")
+
+
 def participation(played: DataFrame, periods: DataFrame, keys: list[str], at: str = "played_at") -> DataFrame:
-    """``periods`` with participated: whether a row with the same keys lies in [start, end). The equal keys carry the join."""
-    p = periods.select(*keys, "start", "end").distinct()
-    hit = played.select(*keys, at).join(p, keys).where((F.col(at) >= F.col("start")) & (F.col(at) < F.col("end"))).select(*keys, "start", "end").distinct().withColumn("_hit", F.lit(True))
+    """``periods`` with participated: whether a row with the same keys lies in [start, end).
+
+    Time is cut into bins of the periods' mean length, so periods lie in about three bins each, however long some are.
+    Keys and bin carry a semi-join: a hot key's rows are dealt over bins, and no pair of row and period is ever made.
+    """
+    p = periods.select(*keys, "start", "end").where(F.col("start") < F.col("end")).distinct()
+    low, high = _number(periods, "start"), _number(periods, "end")
+    width = p.agg(F.avg(high - low).alias("_width"))  # one row
+    bin_ = lambda c: F.floor(c / F.greatest("_width", F.lit(1e-9))).cast("long")
+    dealt = p.join(F.broadcast(width)).withColumn("_bin", F.explode(F.sequence(bin_(low), bin_(high))))
+    rows = played.select(*keys, F.col(at).alias("_at"), _number(played, at).alias("_n")).join(F.broadcast(width)).select(*keys, "_at", bin_(F.col("_n")).alias("_bin"))
+    rows = rows.where("_bin is not null")
+    same = [dealt[c] == rows[c] for c in (*keys, "_bin")]
+    hit = dealt.join(rows, [*same, rows["_at"] >= dealt["start"], rows["_at"] < dealt["end"]], "left_semi").select(*keys, "start", "end").distinct().withColumn("_hit", F.lit(True))
     return periods.join(hit, [*keys, "start", "end"], "left").withColumn("participated", F.col("_hit").isNotNull()).drop("_hit")
 
 

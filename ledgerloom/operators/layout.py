@@ -99,7 +99,7 @@ def body_homes(bodies: DataFrame, responses: DataFrame, response_homes: DataFram
     """(sha256, part, role): one home for each body and a copy in every other part that refers to it."""
     images = assets.where("coalesce(body_sha256, '') <> ''").select(F.col("body_sha256").alias("sha256")).distinct().withColumn("_image", F.lit(True))
     refs = responses.select("id", F.col("body_sha256").alias("sha256")).join(response_homes, "id").groupBy("sha256", "part").agg(F.min("id").alias("first"))
-    refs = refs.withColumn("least", F.min("first").over(W.partitionBy("sha256"))).join(images, "sha256", "left")
+    refs = refs.join(refs.groupBy("sha256").agg(F.min("first").alias("least")), "sha256").join(images, "sha256", "left")
     placed = refs.select("sha256", "part", F.when((F.col("first") == F.col("least")) & F.col("_image").isNull(), "home").otherwise("copy").alias("role"))
     own = images.select("sha256", image_home(F.col("sha256")).alias("part"), F.lit("home").alias("role"))
     lost = bodies.select("sha256").join(images, "sha256", "left_anti").join(refs, "sha256", "left_anti").select("sha256", F.lit(f"unplaced/bodies{SUFFIX}").alias("part"), F.lit("home").alias("role"))

@@ -242,9 +242,9 @@ def _log(s: SparkSession, d: str) -> DataFrame:
     return cdc.operation_log(ops.unionByName(anew))
 
 
-@query(f"WITH {_S}, l AS (SELECT 'orders' AS table_name, op, row_id FROM ({_LOG})) SELECT table_name, op, row_id, 26 + row_number() OVER (ORDER BY row_id) - 1 AS ordinal FROM l UNION ALL SELECT 'nation', 'clear_table', NULL, 0")
+@query(f"WITH {_S}, l AS (SELECT 'orders' AS table_name, op, row_id FROM ({_LOG})) SELECT table_name, op, row_id, 26 + row_number() OVER (ORDER BY row_id) - 1 AS ordinal FROM l UNION ALL SELECT 'nation', 'clear_table', NULL, 0 UNION ALL SELECT 'nation', 'upsert', n_nationkey, row_number() OVER (ORDER BY sha256('{{\"row_id\":' || n_nationkey || ',\"status\":\"' || n_name || '\"}}')) FROM nation")
 def operation_log(s, d):
-    return _log(s, d).where("table_name = 'orders' or op = 'clear_table'").select("table_name", "op", "row_id", F.col("ordinal").cast("long").alias("ordinal"))
+    return _log(s, d).select("table_name", "op", "row_id", F.col("ordinal").cast("long").alias("ordinal"))
 
 
 @query(f"WITH {_S} SELECT row_id, CASE WHEN op = 'delete' THEN 'delete' WHEN row_id IN (SELECT row_id FROM b) THEN 'update' ELSE 'insert' END AS op FROM ({_LOG}) WHERE row_id % 10 = 3")

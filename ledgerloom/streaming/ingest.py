@@ -16,7 +16,7 @@ def spool_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
 
 
 def ingest_stream(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Appends what is new to <out>/bodies, responses and fetches, then stops when the spool is read.
+    """Appends what is new to <out>/bodies, responses and fetches, and what was refused to <out>/rejected with the reason; stops when the spool is read.
 
     Each micro-batch is anti-joined with what is stored, so a replayed spool or batch adds nothing.
     """
@@ -31,12 +31,13 @@ def ingest_stream(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuer
 
     def step(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        good, _bad = ingest.envelopes(batch)
+        good, bad = ingest.envelopes(batch)
         good = good.persist()
         for name, rows, keys in (
             ("bodies", ingest.bodies(good), ["sha256"]),
             ("responses", ingest.responses(good).drop("fetches"), ingest.RESPONSE_KEY),
             ("fetches", good.select("event_id", "fetched_at", *ingest.RESPONSE_KEY), ["event_id"]),
+            ("rejected", bad, ["event_id", "reason"]),
         ):
             path = f"{out}/{name}"
             ingest.new_only(rows, known(spark, path, rows), keys).write.mode("append").parquet(path)

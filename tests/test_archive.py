@@ -94,7 +94,7 @@ def test_paths(spark):
 def test_numbers(spark):
     d = spark.createDataFrame([(2.0,), (2.5,), (0.12345,), (1234.567,)], "v double")
     assert [r[0] for r in d.select(labels.short_number(F.col("v"))).collect()] == ["2", "2.5", "0.1235", "1234.57"]
-    assert labels.nice_ticks(0, 100) == [0.0, 25.0, 50.0, 75.0, 100.0] and round(labels.contrast((0, 0, 0), (255, 255, 255))) == 21
+    assert labels.nice_ticks(0, 100) == [0, 20, 40, 60, 80, 100] and round(labels.contrast((0, 0, 0), (255, 255, 255))) == 21
 
 
 def test_reconcile_is_bit_exact(spark):
@@ -190,6 +190,27 @@ def test_streaming_ingest_is_idempotent(spark, tmp_path):
         put(f"again{n}.json", "e1")
     counts = [spark.read.parquet(f"{out}/{t}").count() for t in ("bodies", "responses", "fetches")]
     assert counts == [1, 1, 2]
+    assert [tuple(r) for r in spark.read.parquet(f"{out}/rejected").collect()] == [("e3", "body is not base64")]
+
+
+def test_axis_ticks():
+    assert labels.nice_ticks(5, 5) == [4.0, 4.5, 5.0, 5.5, 6.0] and labels.nice_ticks(0, 0) == [-2, -1, 0, 1, 2]
+    assert labels.nice_ticks(2000, 2100) == [2000, 2020, 2040, 2060, 2080, 2100] and labels.nice_ticks(0, 12) == [0, 2.5, 5, 7.5, 10, 12.5]
+    assert labels.grade_ticks(10, 900) == [0, 200, 400, 600, 800, 999]
+    assert labels.grade_ticks(-250, 1300) == [-400, -200, 0, 200, 400, 600, 800, 999, 1200, 1400]
+    assert labels.grade_ticks(-200, 999) == [-400, -200, 0, 200, 400, 600, 800, 999]
+
+
+def test_participation_of_long_and_short_periods(spark):
+    """Binned: one period spans thousands of short ones, one account holds most rows; ends are exclusive."""
+    import random
+
+    draw = random.Random(1)
+    periods = [("hot" if i % 3 else "b", float(s := draw.randrange(5000)), s + draw.choice([0.0, 1.0, 2.5, 40.0])) for i in range(400)] + [("hot", -9e5, 9e5), ("b", 7.0, None), (None, 1.0, 2.0)]
+    played = [("hot" if draw.random() < 0.9 else "b", float(draw.randrange(6000))) for _ in range(900)] + [("b", None), (None, 1.0)]
+    got = jobs.participation(spark.createDataFrame(played, "k string, played_at double"), spark.createDataFrame(periods, "k string, start double, end double"), ["k"])
+    want = [(k, a, b, any(k is not None and k == j and t is not None and b is not None and a <= t < b for j, t in played)) for k, a, b in periods]
+    assert sorted(map(str, (tuple(r) for r in got.select("k", "start", "end", "participated").collect()))) == sorted(map(str, want))
 
 
 def test_windows_on_streams(spark, tmp_path):
