@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import increment, overlay, packing
+from ..operators import constraints, increment, overlay, packing
 from ..sources import lookup, shared
 from . import fixtures as fx
 
@@ -141,3 +141,36 @@ def indexed_lookup(s, d):
         n = lookup.find(s, path, ops, "id", criteria).agg(F.count("*").alias("found"), F.when(F.count("*") == 1, F.min("id")).alias("id")).select(F.lit(name).alias("asked"), "found", "id")
         found = n if found is None else found.unionByName(n)
     return found
+
+
+# -- constraints --------------------------------------------------------------------------------------------------
+
+_KEYS = [
+    constraints.ForeignKey("nation_region", "nation", ("n_regionkey",), "region", ("r_regionkey",)),
+    constraints.ForeignKey("customer_nation", "customer", ("c_nationkey",), "nation", ("n_nationkey",)),
+    constraints.ForeignKey("order_customer", "orders", ("o_custkey",), "customer", ("c_custkey",)),
+    constraints.ForeignKey("order_earlier", "orders", ("earlier",), "orders", ("o_orderkey",)),
+    constraints.ForeignKey("line_order", "lineitem", ("l_orderkey", "l_linenumber"), "slots", ("o_orderkey", "slot")),
+]
+
+
+@query("""WITH n AS (SELECT * FROM nation WHERE n_nationkey % 6 <> 1 UNION ALL SELECT * FROM nation WHERE n_nationkey = 3),
+o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 9 > 0 THEN o_custkey END AS c, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey - 1 + (o_orderkey % 100 = 0)::INT * 1000000000 END AS earlier FROM orders),
+s AS (SELECT o_orderkey, unnest([1, 2, 3]) AS slot FROM orders),
+v AS (SELECT 'nation_region' AS "constraint", n_regionkey::VARCHAR AS key, 'missing' AS problem FROM n WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region WHERE r_regionkey <> 2)
+ UNION ALL SELECT 'customer_nation', c_nationkey::VARCHAR, 'missing' FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM n)
+ UNION ALL SELECT 'customer_nation', n_nationkey::VARCHAR, 'repeated' FROM n WHERE n_nationkey = 3
+ UNION ALL SELECT 'order_customer', c::VARCHAR, 'missing' FROM o WHERE c IS NOT NULL AND c NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 4)
+ UNION ALL SELECT 'order_earlier', earlier::VARCHAR, 'missing' FROM o WHERE earlier IS NOT NULL AND earlier NOT IN (SELECT o_orderkey FROM o)
+ UNION ALL SELECT 'line_order', l_orderkey || ',' || l_linenumber, 'missing' FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.o_orderkey = l_orderkey AND s.slot = l_linenumber))
+SELECT "constraint", key, problem, count(*) AS rows FROM v GROUP BY ALL""")
+def key_violations(s, d):
+    k = F.col("o_orderkey")
+    nation, orders = fx.read(s, d, "nation"), fx.read(s, d, "orders")
+    tables = {
+        "region": fx.read(s, d, "region").where("r_regionkey <> 2"), "nation": nation.where("n_nationkey % 6 <> 1").unionByName(nation.where("n_nationkey = 3")),
+        "customer": fx.read(s, d, "customer").withColumn("c_custkey", F.when(F.col("c_custkey") % 10 != 4, F.col("c_custkey"))),
+        "orders": orders.select(k, F.when(k % 9 > 0, F.col("o_custkey")).alias("o_custkey"), F.when(k % 2 == 0, k - 1 + F.when(k % 100 == 0, 1_000_000_000).otherwise(0)).alias("earlier")),
+        "lineitem": fx.read(s, d, "lineitem"), "slots": orders.select(k, F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("slot")),
+    }
+    return constraints.violations(tables, _KEYS)
