@@ -137,12 +137,13 @@ def entities(selections: list, data: object, variables: dict) -> Iterator[tuple[
                 yield kind, p.owner["id"], path_text(p.path), canonical(p.owner)
 
 
-def findings(responses: DataFrame, catalog: dict[str, dict]) -> DataFrame:
+def findings(responses: DataFrame, catalog: dict[str, dict], bodies: bool = False) -> DataFrame:
     """(id, finding, path, detail) of responses (id, operation, variables_json, json_text), walked in Arrow batches.
 
-    ``catalog``: the operation's definition by name, a document of bounded size that is sent with the code.
+    With ``bodies`` also body: the canonical JSON of an entity. ``catalog``: the operation's definition by name, a document of bounded size that is sent with the code.
     """
     ship(responses.sparkSession)
+    names = ["id", "finding", "path", "detail", *(["body"] if bodies else [])]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -159,10 +160,10 @@ def findings(responses: DataFrame, catalog: dict[str, dict]) -> DataFrame:
                 out += [(rid, "missing", p, None) for p in sorted(missing_fields(chosen, data, variables))]
                 out += [(rid, "shape", p, None) for p in sorted(invalid_shapes(chosen, data, variables))]
                 out += [(rid, k, p, canonical(v) if v else None) for k, p, v in continuations(chosen, data, variables)]
-                out += [(rid, "entity", p, canonical([t, i])) for t, i, p, _ in entities(chosen, data, variables)]
-            yield pd.DataFrame(out, columns=["id", "finding", "path", "detail"])
+                out += [(rid, "entity", p, canonical([t, i]), body)[: len(names)] for t, i, p, body in entities(chosen, data, variables)]
+            yield pd.DataFrame([(*r, None)[: len(names)] if len(r) < len(names) else r for r in out], columns=names)
 
-    return responses.where(F.col("json_text").isNotNull()).select("id", "operation", "variables_json", "json_text").mapInPandas(run, "id long, finding string, path string, detail string")
+    return responses.where(F.col("json_text").isNotNull()).select("id", "operation", "variables_json", "json_text").mapInPandas(run, f"id {responses.schema['id'].dataType.simpleString()}, {', '.join(n + ' string' for n in names[1:])}")
 
 
 def new_pages(pages: DataFrame, fingerprints: DataFrame) -> DataFrame:

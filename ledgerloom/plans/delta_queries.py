@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import constraints, increment, overlay, packing
+from ..operators import constraints, increment, ingest, overlay, packing, projection
 from ..sources import lookup, shared
 from . import fixtures as fx
 
@@ -174,3 +174,56 @@ def key_violations(s, d):
         "lineitem": fx.read(s, d, "lineitem"), "slots": orders.select(k, F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("slot")),
     }
     return constraints.violations(tables, _KEYS)
+
+
+# -- projection with validation -----------------------------------------------------------------------------------
+
+_FIELD = lambda name, **more: {"kind": "ScalarField", "name": name} | more
+_CATALOG = {"Order": {"operation": {"selections": [
+    {"kind": "LinkedField", "name": "order", "concreteType": "Order", "plural": False, "args": None, "selections": [
+        _FIELD("id"), _FIELD("sum", alias="total"), {"kind": "Condition", "condition": "full", "passingValue": True, "selections": [_FIELD("never")]},
+        {"kind": "InlineFragment", "type": "Order", "selections": [{"kind": "LinkedField", "name": "lines", "plural": True, "concreteType": "Line", "args": None, "selections": [_FIELD("n")]}]},
+        {"kind": "InlineFragment", "type": "Other", "selections": [_FIELD("only_other")]}]},
+    {"kind": "LinkedField", "name": "page", "concreteType": "Page", "plural": False, "args": [{"kind": "Variable", "name": "after", "variableName": "cursor"}], "selections": [_FIELD("n")]}]}}}
+
+
+def _order_fetches(s: SparkSession, d: str) -> DataFrame:
+    """A response for each order: some without a selected field, with a wrong shape, with a next page, null, refused, or of an unknown operation."""
+    k = F.col("o_orderkey")
+    line = F.when(k % 5 == 0, F.lit('{"n":1}')).when(k % 3 == 0, F.lit("[null]")).otherwise(F.lit('[{"n":1},{"n":2}]'))
+    total = F.when(k % 4 == 0, F.lit("")).otherwise(F.lit(',"total":7'))
+    order = F.when(k % 11 == 0, F.lit("null")).otherwise(F.concat(F.lit('{"id":"Order-'), k % 500, F.lit('"'), total, F.lit(',"lines":'), line, F.lit("}")))
+    page = F.when(k % 13 == 0, F.concat(F.lit('{"n":1,"pageInfo":{"hasNextPage":true,"endCursor":"c'), k % 50, F.lit('"}}'))).otherwise(F.lit("null"))
+    text = F.concat(F.lit('{"data":{"order":'), order, F.lit(',"page":'), page, F.lit("}}"))
+    raw = fx.read(s, d, "orders").select(
+        F.format_string("f%012d", k).alias("event_id"), F.lit("a").alias("account"), fx._iso(F.col("o_orderdate")).alias("fetched_at"), F.when(k % 10 == 9, "Strange").otherwise("Order").alias("operation"),
+        F.concat(F.lit('{"k":'), k, F.lit("}")).alias("variables"), F.lit(None).cast("string").alias("query_id"), F.lit(None).cast("string").alias("app_version"), F.when(k % 7 == 0, 500).otherwise(200).alias("status"), F.lit("{}").alias("headers"), F.base64(F.encode(text, "UTF-8")).alias("body_base64"),
+    )
+    return ingest.envelopes(raw.withColumn("body_base64", F.regexp_replace("body_base64", r"\s", "")))[0]
+
+
+_PROJECTED = """x AS (SELECT o_orderkey AS k, printf('f%012d', o_orderkey) AS id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS seen, o_orderkey % 10 <> 9 AS known, o_orderkey % 11 = 0 AS gone, o_orderkey % 7 = 0 AS refused, o_orderkey % 13 = 0 AS paged FROM orders),
+y AS (SELECT *, known AND NOT gone AND k % 4 = 0 AS lacks FROM x), z AS (SELECT *, CASE WHEN refused OR lacks THEN 'retry' WHEN known AND gone THEN 'unavailable' WHEN gone AND NOT paged THEN 'retry' ELSE 'done' END AS outcome FROM y)"""
+
+
+def _projected(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    return projection.project(_order_fetches(s, d), _CATALOG, {"Order": "order"}, routes={"Detail": ("id", ["Order"])})
+
+
+@query(f"""WITH {_PROJECTED} SELECT id AS response_id, 'SELECTED_FIELD_MISSING' AS code, '$.order.total' AS path FROM z WHERE lacks UNION ALL SELECT id, 'SELECTED_FIELD_SHAPE_INVALID', '$.order.lines' FROM z WHERE known AND NOT gone AND k % 5 = 0
+UNION ALL SELECT id, 'UNKNOWN_OPERATION', NULL FROM z WHERE NOT known UNION ALL SELECT id, 'INCOMPLETE_RESPONSE', NULL FROM z WHERE outcome = 'retry' UNION ALL SELECT id, 'DETAIL_UNAVAILABLE', NULL FROM z WHERE outcome = 'unavailable'""")
+def projected_issues(s, d):
+    return _projected(s, d)["issues"]
+
+
+@query(f"""WITH {_PROJECTED}, e AS (SELECT k % 500 AS e, seen, id, CASE WHEN k % 4 = 0 THEN '' ELSE 't' END || CASE WHEN k % 5 = 0 THEN 'o' WHEN k % 3 = 0 THEN 'n' ELSE 'l' END AS body FROM z WHERE known AND NOT gone),
+l AS (SELECT e, arg_max(body, seen || id) AS body FROM e GROUP BY e), o AS (SELECT e.e, max(seen || id) AS upto FROM e JOIN l ON l.e = e.e AND l.body <> e.body GROUP BY e.e)
+SELECT 'Order-' || e.e AS entity_id, min_by(id, seen || id) AS response_id FROM e JOIN l ON l.e = e.e AND l.body = e.body LEFT JOIN o ON o.e = e.e WHERE upto IS NULL OR seen || id > upto GROUP BY e.e""")
+def projected_entities(s, d):
+    return _projected(s, d)["entities"].select("entity_id", "response_id")
+
+
+@query(f"""WITH {_PROJECTED} SELECT DISTINCT 'Order' AS operation, '{{"cursor":"c' || (k % 50) || '","k":' || k || '}}' AS variables_json, 'next' AS reason FROM z WHERE known AND paged
+UNION ALL SELECT DISTINCT 'Detail', '{{"id":"Order-' || (k % 500) || '"}}', 'related' FROM z WHERE known AND NOT gone""")
+def projected_jobs(s, d):
+    return _projected(s, d)["next_jobs"].drop("account")
