@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive_queries, catalog_queries, delta_queries, store_queries
+from . import archive_queries, catalog_queries, delta_queries, source_queries, store_queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return archive_queries.QUERIES | store_queries.QUERIES | catalog_queries.QUERIES | delta_queries.QUERIES
+    return archive_queries.QUERIES | store_queries.QUERIES | catalog_queries.QUERIES | delta_queries.QUERIES | source_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return archive_queries.SQL | store_queries.SQL | catalog_queries.SQL | delta_queries.SQL
+    return archive_queries.SQL | store_queries.SQL | catalog_queries.SQL | delta_queries.SQL | source_queries.SQL
