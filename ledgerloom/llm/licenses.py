@@ -186,12 +186,22 @@ class Scanner:
         return out
 
 
+#: Words of a bin in which kept spans are looked up.
+_BIN = 256
+
+
 def best_spans(spans: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int, float]]:
-    """Without those of which another, that covers more of its own template, holds over half: templates share much of their texts."""
+    """Without those of which another, that covers more of its own template, holds over half: templates share much of their texts.
+
+    Whatever holds over half of a span holds its middle, so only spans that are kept there are compared.
+    """
     kept: list[tuple[str, int, int, float]] = []
+    at: dict[int, list[tuple[str, int, int, float]]] = {}
     for s in sorted(spans, key=lambda s: (-s[3], s[1] - s[2], s[0])):
-        if not any(2 * (min(s[2], k[2]) - max(s[1], k[1])) > s[2] - s[1] and k[3] > s[3] for k in kept):
+        if not any(2 * (min(s[2], k[2]) - max(s[1], k[1])) > s[2] - s[1] and k[3] > s[3] for k in at.get((s[1] + s[2]) // 2 // _BIN, ())):
             kept.append(s)
+            for b in range(s[1] // _BIN, (s[2] - 1) // _BIN + 1):
+                at.setdefault(b, []).append(s)
     return kept
 
 

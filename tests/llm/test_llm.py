@@ -447,6 +447,19 @@ def test_index_family():
     assert {(int(h), int(x)): int(d) for h, x, d in zip(whole.high, whole.low, whole.doc, strict=True)} == all_
 
 
+def test_license_spans_are_those_of_comparing_all():
+    r = random.Random(2)
+    for _ in range(60):
+        spans = [(r.choice("abc"), s := r.randrange(3000), s + r.choice([1, 2, 7, 300, 900]), r.choice([0.1, 0.5, 0.5, 0.9])) for _ in range(60)]
+        kept = []
+        for s in sorted(spans, key=lambda s: (-s[3], s[1] - s[2], s[0])):
+            if not any(2 * (min(s[2], k[2]) - max(s[1], k[1])) > s[2] - s[1] and k[3] > s[3] for k in kept):
+                kept.append(s)
+        assert licenses.best_spans(spans) == kept
+    many = [("a", 40 * i, 40 * i + 30, 0.5) for i in range(20_000)]  # a file of many headers
+    assert len(licenses.best_spans(many)) == 20_000
+
+
 def test_license_chain_is_found_among_many():
     apart = [(10 + i // 10, 16 + i // 10, [(0, 1000 + 100 * i)]) for i in range(40)]  # each opens a chain of its own
     chains = licenses.chain([(0, 10, [(0, 10)]), *apart, (14, 30, [(0, 30)])], [10_000], 20)[0]
