@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lossless, packing
 from ..operators.cdc import cell_key
+from .commits import CommitLog, Conflict
 
 
 def write_parts(rows: DataFrame, order: str, size: Column, path: str, most: int = lossless.PART_BYTES) -> None:
@@ -30,20 +33,38 @@ def fingerprint(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(h), F.lit(0)).cast("string").alias("digest"))
 
 
-def publish(rows: DataFrame, path: str, version: int) -> None:
-    """Writes a version, reads it back and only then names it in the control table. A version is never overwritten."""
-    spark = rows.sparkSession
-    rows.write.mode("error").parquet(f"{path}/versions/v{version}")
-    fingerprint(spark.read.parquet(f"{path}/versions/v{version}")).withColumn("version", F.lit(version).cast("long")).coalesce(1).write.mode("append").parquet(f"{path}/control")
+def publish(rows: DataFrame, path: str, version: int, baseline: str | None = None) -> dict:
+    """Writes a version, reads it back, and only then names it in the log, bound to the version before and to a baseline.
 
+    Versions go up from 1 by 1. Of two writers of one version one wins, the other raises ``Conflict``, and what it wrote is never read.
+    """
+    spark, log = rows.sparkSession, CommitLog(rows.sparkSession, path)
+    base = log.read()
+    if version != base["version"] + 2:
+        raise Conflict(f"the next version is {base['version'] + 2}")
+    data = f"versions/v{version}-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{path}/{data}")
+    there = fingerprint(spark.read.parquet(f"{path}/{data}")).first()
+    return log.commit(base, {"data": data, "baseline": baseline, "rows": there["rows"], "fingerprint": there["digest"]})
 
-def open_version(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    """A published version, the latest without a number; later publications do not change what it reads."""
-    control = spark.read.parquet(f"{path}/control")
-    top = control.agg(F.max("version")).first()[0] if version is None else version
-    if top is None or not control.where(F.col("version") == top).limit(1).count():
+
+def published(spark: SparkSession, path: str, version: int | None = None, baseline: str | None = None) -> dict:
+    """What the log says of a version, the latest without a number. The chain of digests up to it is checked, and the baseline if one is asked for."""
+    log = CommitLog(spark, path)
+    top = len(log.versions()) if version is None else version
+    if not 1 <= top <= len(log.versions()):
         raise LookupError("no such version")
-    return spark.read.parquet(f"{path}/versions/v{top}")
+    if broken := [p for p in log.problems() if p[0] < top]:
+        raise ValueError(f"the log was changed: {broken}")
+    found = log.read(top - 1)
+    if baseline is not None and found["baseline"] != baseline:
+        raise LookupError("another baseline")
+    return found
+
+
+def open_version(spark: SparkSession, path: str, version: int | None = None, baseline: str | None = None) -> DataFrame:
+    """A published version, the latest without a number; later publications do not change what it reads."""
+    return spark.read.parquet(f"{path}/{published(spark, path, version, baseline)['data']}")
 
 
 def backup(spark: SparkSession, path: str, target: str, version: int | None = None) -> None:

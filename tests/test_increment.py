@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import increment, layout
-from ledgerloom.sources import commits
+from ledgerloom.sources import commits, parts
 
 SCHEMAS = {
     "matches": "id string, account string, kind string, match_key string, detail_response_id long",
@@ -175,3 +175,27 @@ def test_bucket_tables(spark, tmp_path):
     with pytest.raises(commits.Conflict):  # read what another wrote
         commits.commit_tables(log, head, {"t": {}}, {"t": [0]})
     assert sorted(map(tuple, t.read(pinned).collect())) == was and ("z",) not in {(r["v"],) for r in t.read(log.read()).collect()}
+
+
+def test_two_publishers_at_once(spark, tmp_path):
+    """Of writers that name one version together one wins; readers see whole versions only, and the chain shows a changed log."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = str(tmp_path / "t")
+    parts.publish(spark.range(3), root, 1, "base")
+
+    def one(n):
+        try:
+            return parts.publish(spark.range(n), root, 2, "base")["rows"]
+        except commits.Conflict:
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        won = [r for r in pool.map(one, [10, 20, 30, 40]) if r]
+    assert len(won) == 1 and parts.open_version(spark, root).count() == won[0] and parts.open_version(spark, root, 1).count() == 3
+    assert parts.published(spark, root)["rows"] == won[0] and parts.open_version(spark, root, 2, "base").count() == won[0]
+    with pytest.raises(LookupError):
+        parts.open_version(spark, root, 2, "other")
+    (tmp_path / "t" / "_commits" / f"{0:020d}.json").write_text('{"version": 0, "parent": null, "data": "x"}')
+    with pytest.raises(ValueError):
+        parts.open_version(spark, root)
