@@ -43,9 +43,11 @@ def record_get(s, d):
     return records.get(frame, account.first()[0], "vs", "m7").select("account", "match_key", "analysis_set", "judgement", "detail_state")
 
 
-@query("SELECT (SELECT least(count(DISTINCT account), 2) FROM o) AS accounts, NULL::VARCHAR AS account", True)
+@query("SELECT (SELECT least(count(DISTINCT account), 2) FROM o) AS accounts, NULL::VARCHAR AS account UNION ALL SELECT 1, (SELECT min(account) FROM o)", True)
 def single_account(s, d):
-    return records.only_account(fx.matches(s, d))
+    m = fx.matches(s, d)
+    first = m.agg(F.min("account")).first()[0]
+    return records.only_account(m).unionByName(records.only_account(m.where(F.col("account") == first)))
 
 
 @query("SELECT cs.account, cs.match_key, coalesce((SELECT string_agg(tag, ', ' ORDER BY tag) FROM tg WHERE tg.account = cs.account AND tg.match_key = cs.match_key), '') AS tags FROM cs", True)
@@ -140,12 +142,13 @@ def tags_after_edits(s, d):
 
 
 @query("""WITH f AS (SELECT event_type, ts FROM events WHERE event_id % 4 > 0 AND event_id % 6 <> 1 AND event_type <> 'error') SELECT t.event_type AS operation, strftime(max(f.ts), '%Y-%m-%dT%H:%M:%SZ') AS last_success_at,
-(epoch(TIMESTAMP '2030-01-01') - epoch(date_trunc('second', max(f.ts))))::BIGINT AS age_seconds, TRUE AS stale FROM (SELECT DISTINCT event_type FROM events) t LEFT JOIN f USING (event_type) GROUP BY 1""")
+(epoch(n) - epoch(date_trunc('second', max(f.ts))))::BIGINT AS age_seconds, coalesce((epoch(n) - epoch(date_trunc('second', max(f.ts)))) > 1500, TRUE) AS stale FROM (SELECT DISTINCT event_type FROM events) t LEFT JOIN f USING (event_type), (SELECT date_trunc('second', max(ts)) + INTERVAL 5 MINUTE AS n FROM events) GROUP BY 1, n""")
 def last_success(s, d):
     r = _responses(s, d).withColumn("projected", F.lit(1))
+    now = fx.read(s, d, "events").agg(F.date_trunc("second", F.max(F.col("ts").cast("timestamp"))) + F.expr("interval 5 minutes")).first()[0]
     issues = r.where("id % 6 = 1 or operation = 'error'").select(F.col("id").alias("response_id"), F.when(F.col("operation") == "error", "SELECTED_FIELD_MISSING").otherwise("INCOMPLETE_RESPONSE").alias("code"))
     harmless = r.where("id % 6 = 2").select(F.col("id").alias("response_id"), F.lit("NOTE").alias("code"))
-    out = ingest.last_success(r.where("fetched_at is not null").withColumn("fetched_at", F.to_timestamp("fetched_at")), r.select(F.col("id").alias("response_id"), F.to_timestamp("fetched_at").alias("fetched_at")), issues.unionByName(harmless), F.lit("2030-01-01 00:00:00").cast("timestamp"))
+    out = ingest.last_success(r.where("fetched_at is not null").withColumn("fetched_at", F.to_timestamp("fetched_at")), r.select(F.col("id").alias("response_id"), F.to_timestamp("fetched_at").alias("fetched_at")), issues.unionByName(harmless), F.lit(now), 1500)
     return out.withColumn("last_success_at", _iso("last_success_at"))
 
 
@@ -173,12 +176,13 @@ def period_scopes(s, d):
     return jobs.with_periods(j, groups, own).select("o_orderkey", F.date_format("start", "yyyy-MM-dd").alias("day"), "event_id", "reason")
 
 
-@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'done' WHEN event_id % 4 = 1 THEN 'wait' ELSE 'run' END AS step, 60::BIGINT AS published_age, (event_id % 4) * 10 AS capture_gap FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'done' WHEN event_id % 4 = 1 THEN 'wait' ELSE 'run' END AS step, ((event_id % 3) * 45 + 15)::BIGINT AS published_age, (event_id % 4) * 10 AS capture_gap FROM events")
 def due_steps(s, d):
     k, day = F.col("event_id") % 4, F.date_trunc("day", "ts")
     now = day + F.expr("interval 5 hours")
     step = sync.due_step(now, day, F.when(k == 0, now).when(k == 3, day - F.expr("interval 1 day")), F.when(k == 1, now - F.expr("interval 30 seconds")).when(k == 2, day), 60)
-    lag = sync.lag_seconds(now, now - F.expr("interval 60 seconds"), now - F.expr("interval 60 seconds") - F.make_dt_interval(secs=k * 10))
+    published = now - F.make_dt_interval(secs=(F.col("event_id") % 3) * 45 + 15)
+    lag = sync.lag_seconds(now, published, published - F.make_dt_interval(secs=k * 10))
     return fx.read(s, d, "events").select("event_id", step.alias("step"), lag["published_age"].cast("long").alias("published_age"), lag["capture_gap"].cast("long").alias("capture_gap"))
 
 
