@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jsonx, paths
 from ..operators import layout, lossless
-from ..sources import envelopes, parts, shared
+from ..sources import envelopes, parts, shared, sheets
 from . import fixtures as fx
 from . import recipes
 
@@ -114,3 +114,21 @@ def recipe_wave_totals(s, d):
 def recipe_open_work(s, d):
     state = F.when(F.col("o_orderstatus") == "F", "pending").when(F.col("o_orderstatus") == "O", "retry").otherwise("done")
     return recipes.open_work({"jobs": fx.read(s, d, "orders").select(F.col("o_orderpriority").alias("operation"), state.alias("state"), (F.col("o_orderkey") % 5).alias("attempts"))})
+
+
+# -- sheets -------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH d AS (SELECT doc_id, lang, source, text, length(text) > 777 AS long FROM documents)
+SELECT doc_id AS row_key, unnest(['doc_id', 'lang', 'source', 'text']) AS column_name, 'missing' AS problem FROM d WHERE doc_id % 13 = 6
+UNION ALL SELECT doc_id, 'text', 'incomplete' FROM d WHERE doc_id % 10 = 3 AND long AND doc_id % 13 <> 6 UNION ALL SELECT doc_id, 'lang', 'value' FROM d WHERE doc_id % 11 = 5 AND doc_id % 13 <> 6
+UNION ALL SELECT doc_id, 'source', 'type' FROM d WHERE doc_id % 17 = 1 AND doc_id % 13 <> 6 UNION ALL SELECT doc_id + 1000000000, 'lang', 'unknown' FROM d WHERE doc_id % 50 = 2""")
+def sheet_cells(s, d):
+    docs, path, k = fx.read(s, d, "documents").select("doc_id", "lang", "source", "text"), shared.scratch(s, "sheets"), F.col("row_key")
+    sheets.export_sheets(docs, "doc_id", path, 2_000, 777)
+    there, at = sheets.read_sheets(s, path).drop("sheet"), F.col("column_name")
+    lost = (k % 13 == 6) | ((k % 10 == 3) & (at == "text") & (F.col("chunk") == 1))
+    other = there.where((k % 50 == 2) & (at == "lang")).withColumn("row_key", k + 1_000_000_000)
+    broken = there.where(~lost).withColumns({"value": F.when((k % 11 == 5) & (at == "lang"), "xx").otherwise(F.col("value")), "type": F.when((k % 17 == 1) & (at == "source"), "blob").otherwise(F.col("type"))})
+    whole = sheets.cell_problems(there, docs, "doc_id")  # gives no rows
+    return sheets.cell_problems(broken.unionByName(other), docs, "doc_id").unionByName(whole)

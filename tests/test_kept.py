@@ -138,3 +138,17 @@ def test_parts_are_full(spark, tmp_path):
     found = spark.read.parquet(str(tmp_path / "p" / "manifest"))
     assert found.count() == 112 and found.agg(F.max("bytes"), F.min("rows")).first()[0] == 90
     assert parts.read_range(spark, str(tmp_path / "p"), "id", 100, 120).count() == 21
+
+
+def test_sheets(spark, tmp_path):
+    from ledgerloom.sources import sheets
+
+    path = str(tmp_path / "x")
+    rows = spark.createDataFrame([(i, None if i % 5 == 0 else f"t{i}" * (i % 9), bytes([i % 256]) if i % 2 else None, i / 7, "\x01" if i == 3 else "") for i in range(60)], "id long, t string, b binary, r double, u string")
+    sheets.export_sheets(rows, "id", path, 50, 4)
+    made = spark.read.parquet(f"{path}/manifest").orderBy("sheet").collect()
+    assert all(m["pieces"] <= 50 for m in made) and all(a["last"] < b["first"] for a, b in zip(made, made[1:], strict=False)) and len(made) > 5
+    assert sheets.sheet_problems(spark, path).count() == 0 and sheets.cell_problems(sheets.read_sheets(spark, path), rows, "id").count() == 0
+    sheets.read_sheets(spark, path).where("sheet = 2").limit(1).withColumn("value", F.lit("y")).write.mode("append").partitionBy("sheet").parquet(f"{path}/sheets")
+    assert [tuple(r) for r in sheets.sheet_problems(spark, path).collect()] == [(2, "content")]
+    assert [r["type"] for r in spark.read.parquet(f"{path}/columns").orderBy("place").collect()] == ["bigint", "string", "binary", "double", "string"]
