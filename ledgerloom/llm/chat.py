@@ -166,7 +166,11 @@ def format_trees(nodes: DataFrame, most: int | None = None) -> DataFrame:
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """What can be read back from ``format_trees``, for each of its rows: turn and loss digests."""
+    """What can be read back from ``format_trees``, for each of its rows: turn and loss digests.
+
+    Null roles and texts were formatted as empty and are read back so; repeated rows of a conversation are turns of their own; an
+    empty table gives no rows; a formatted conversation is read whole.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):

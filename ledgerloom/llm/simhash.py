@@ -194,7 +194,7 @@ def _named(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint in hexadecimal, component_id)."""
+    """(doc_id, fingerprint in hexadecimal, component_id) for every row of ``docs``; nulls, ties, repeated rows and empty tables are as in ``components``."""
     return components(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
