@@ -152,3 +152,27 @@ def test_sheets(spark, tmp_path):
     sheets.read_sheets(spark, path).where("sheet = 2").limit(1).withColumn("value", F.lit("y")).write.mode("append").partitionBy("sheet").parquet(f"{path}/sheets")
     assert [tuple(r) for r in sheets.sheet_problems(spark, path).collect()] == [(2, "content")]
     assert [r["type"] for r in spark.read.parquet(f"{path}/columns").orderBy("place").collect()] == ["bigint", "string", "binary", "double", "string"]
+
+
+def test_file_sets(spark, tmp_path):
+    from ledgerloom.sources import filetree
+
+    where = tmp_path / "set"
+    (where / "sub").mkdir(parents=True)
+    for i in range(12):
+        (where / ("sub" if i % 2 else ".") / f"f{i}.bin").write_bytes(bytes([i]) * (i * 7 + 1))
+    first, read = filetree.refreshed(spark, str(where), None, 10)
+    assert read == 12 and first.count() == sum(-(-(i * 7 + 1) // 10) for i in range(12))
+    whole, part = filetree.token(filetree.files(first)), filetree.token(filetree.files(first).where("path like '%/sub/%'"))
+    again, read = filetree.refreshed(spark, str(where), first, 10)
+    assert read == 0 and filetree.token(filetree.files(again.repartition(3))) == whole != part
+    (where / "f4.bin").write_bytes(b"\x04" * 28 + b"x")  # the same length
+    (where / "sub" / "f3.bin").unlink()
+    (where / "new.bin").write_bytes(b"z")
+    now, read = filetree.refreshed(spark, str(where), first, 10)
+    assert read == 2 and filetree.token(filetree.files(now)) != whole
+    got = {(r["path"].rsplit("/", 1)[1], r["chunk"], r["problem"]) for r in filetree.file_problems(first, now).collect()}
+    assert got == {("f3.bin", None, "missing"), ("new.bin", None, "unknown"), ("f4.bin", 2, "content")}
+    assert filetree.token(filetree.files(now).where("path like '%/sub/%' and path not like '%f3.bin'")) == filetree.token(filetree.files(first).where("path like '%/sub/%' and path not like '%f3.bin'"))
+    plan = filetree.listing(spark, str(where))._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan.split("ReadSchema")[-1]
