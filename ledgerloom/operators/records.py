@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import jsonx
-from . import classify, views
+from . import classify, details, views
 
 _TOKEN = re.compile(r"[A-Za-z0-9_-]{1,64}")
 _CONTROL = re.compile(r"[\x00-\x1f\x7f]")
@@ -56,13 +56,31 @@ def records(matches: DataFrame, documents: DataFrame, classification: DataFrame)
     return matches.join(d, ["detail_response_id", *views.KEY], "left").join(classification.drop("detail_response_id"), views.KEY, "left")
 
 
+def own_weapons(v: Column) -> Column:
+    """The names of the weapons that the player had in a match, each once."""
+    none = F.array().cast("array<variant>")
+    teams = F.concat(F.array(F.try_variant_get(v, "$.myTeam", "variant")), F.coalesce(jsonx.elements(v, "$.otherTeams"), none))
+    players = F.flatten(F.transform(teams, lambda t: F.coalesce(F.try_variant_get(t, "$.players", "array<variant>"), none)))
+    mine = F.filter(players, lambda p: F.coalesce(jsonx.integer(p, "$.isMyself") == 1, F.lit(False)))
+    return F.array_distinct(F.array_compact(F.transform(mine, lambda p: jsonx.text(p, "$.weapon.name"))))
+
+
+def indexed(matches: DataFrame, documents: DataFrame) -> DataFrame:
+    """``records`` with classes and the player's own weapons (an array), all taken out of each detail in one pass and joined once."""
+    v = lambda path: (lambda x: jsonx.text(x, path))
+    stage = lambda x: F.coalesce(jsonx.text(x, "$.vsStage.name"), jsonx.text(x, "$.coopStage.name"))
+    shown = {"played_time": v("$.playedTime"), "judgement": v("$.judgement"), "stage": stage, "weapons": own_weapons}
+    known = classify.classify(details.match_details(matches, documents), also=shown).drop("detail_response_id")
+    return matches.join(known, views.KEY, "left")
+
+
 SEARCHED = ("match_key", "rule_raw", "rule_name", "stage", "judgement", "analysis_set", "genre", "mode_raw")
 
 
-def search(frame: DataFrame, s: Search, weapons: DataFrame, tags: DataFrame) -> DataFrame:
+def search(frame: DataFrame, s: Search, weapons: DataFrame | None, tags: DataFrame) -> DataFrame:
     """All rows of ``records`` that fit. ``weapons`` (account, match_key, weapon) are the player's own, ``tags`` those of matches.
 
-    Text is compared byte for byte. Weapon and tag tests are semi-joins; a free text query may
+    A frame of ``indexed`` has its weapons in a column and needs none beside it. Text is compared byte for byte. Weapon and tag tests are semi-joins; a free text query may
     also hit either, so there the keys that hit are joined on and or-ed with the columns.
     """
     key = ["account", "match_key"]
@@ -79,13 +97,20 @@ def search(frame: DataFrame, s: Search, weapons: DataFrame, tags: DataFrame) ->
         out = out.where(F.col("played_time") >= s.played_from)
     if s.played_to:
         out = out.where(F.col("played_time") <= s.played_to)
-    if s.weapon:
+    if s.weapon and weapons is None:
+        out = out.where(F.array_contains("weapons", s.weapon))
+    elif s.weapon:
         out = out.join(weapons.where(F.col("weapon") == s.weapon), key, "left_semi")
     if s.tag:
         out = out.join(tags.where(F.col("tag") == s.tag), key, "left_semi")
     if s.query:
-        named = weapons.where(F.col("weapon").contains(s.query)).select(*key).unionByName(tags.where(F.col("tag").contains(s.query)).select(*key)).distinct().withColumn("_named", F.lit(True))
+        named = tags.where(F.col("tag").contains(s.query)).select(*key)
         here: Column = F.lit(False)
+        if weapons is None:
+            here = F.coalesce(F.exists("weapons", lambda w: w.contains(s.query)), F.lit(False))
+        else:
+            named = named.unionByName(weapons.where(F.col("weapon").contains(s.query)).select(*key))
+        named = named.distinct().withColumn("_named", F.lit(True))
         for c in (c for c in SEARCHED if c in frame.columns):
             here = here | F.coalesce(F.col(c).contains(s.query), F.lit(False))
         out = out.join(named, key, "left").where(here | F.col("_named").isNotNull()).drop("_named")

@@ -190,9 +190,8 @@ def unavailable_details(s, d):
 
 
 def _search(s: SparkSession, d: str, **ask):
-    own = details.players_of(_details(s, d)).where("is_myself = 1").select("account", "match_key", "weapon").distinct()
     want = records.Search(account="BUILDING", **ask)
-    return records.search(records.records(fx.matches(s, d), fx.documents(s, d), _classes(s, d)), want, own, fx.tags(s, d)), want
+    return records.search(records.indexed(fx.matches(s, d), fx.documents(s, d)), want, None, fx.tags(s, d)), want
 
 
 _W = "wp AS (SELECT DISTINCT k, 'w' || (l_suppkey % 10) AS weapon FROM pl WHERE l_linenumber = 1)"
