@@ -227,3 +227,10 @@ def projected_entities(s, d):
 UNION ALL SELECT DISTINCT 'Detail', '{{"id":"Order-' || (k % 500) || '"}}', 'related' FROM z WHERE known AND NOT gone""")
 def projected_jobs(s, d):
     return _projected(s, d)["next_jobs"].drop("account")
+
+
+@query(f"""WITH {_PROJECTED} SELECT id, outcome FROM z WHERE outcome <> CASE WHEN refused THEN 'retry' WHEN known AND gone THEN 'unavailable' WHEN gone AND NOT paged THEN 'retry' ELSE 'done' END""")
+def outcome_repairs(s, d):
+    """Outcomes that were stored before responses were held against the catalog, and what they must become."""
+    stored = ingest.project(_order_fetches(s, d), {"Order": "order"})["responses"].select("id", "outcome")
+    return ingest.changed_only(stored, _projected(s, d)["responses"].select("id", "outcome"), ["id"], "outcome")
