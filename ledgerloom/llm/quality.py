@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import io
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,6 +22,9 @@ DIM, FAMILIES = 1 << 16, (("word", 1), ("word", 2), ("char", 2), ("char", 4))
 #: Most labelled rows that are fitted on; texts below this calibrated probability of being good are rejected.
 SAMPLE, KEEP_AT = 1500, 0.5
 SCALE = 60.0
+#: Texts of more bytes are walked in stretches of so many.
+LONG, STRETCH = 4 << 20, 1 << 20
+_SPACE, _NEXT_WORD = re.compile(rb"[\x20\x09-\x0D]"), re.compile(rb"[\x20\x09-\x0D]+[^\x20\x09-\x0D]*")
 _R = 0x9E3779B97F4A7C15
 #: Bytes that are white space or continue a character: what is left of a text has one byte for each character in a word.
 _NOT_COUNTED = bytes([32, *range(9, 14), *range(0x80, 0xC0)])
@@ -146,6 +151,83 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -30, 30)))
 
 
+# -- long texts ---------------------------------------------------------------------------------------------------
+
+
+def _stretches(text: bytes) -> Iterator[tuple[Grid, int, bool]]:
+    """Grids over a long text in stretches, how many bytes of each belong to it, and whether it is the last.
+
+    A stretch ends at white space; its grid goes on to the end of the next word, and for some bytes at least, so every n-gram that
+    begins in the stretch is in its grid. A word that is longer than a stretch is held whole.
+    """
+    at = 0
+    while True:
+        cut = _SPACE.search(text, at + STRETCH) if at + STRETCH < len(text) else None
+        if not cut:
+            yield Grid([text[at:]]), len(text) - at, True
+            return
+        more = _NEXT_WORD.match(text, cut.start())
+        yield Grid([text[at : max(more.end() if more else len(text), cut.start() + 4)]]), cut.start() - at, False
+        at = cut.start()
+
+
+def long_slots(text: bytes) -> Iterator[list[np.ndarray]]:
+    """The slots of all n-grams of a long text, for each family, stretch by stretch."""
+    mixer, shift = np.uint64(0xBF58476D1CE4E5B9), np.uint64(64 - DIM.bit_length() + 1)
+    for grid, size, last in _stretches(text):
+        out = []
+        for kind, n in FAMILIES:
+            h = grid.word_hashes(n) if kind == "word" else grid.char_hashes(n)
+            if not last:
+                h = h[: int(np.searchsorted(grid.first, size)) if kind == "word" else size]
+            out.append(((h * mixer) >> shift).view(np.int64))
+        yield out
+
+
+def long_probability(text: bytes, model: Model) -> float:
+    total, count = np.zeros(len(FAMILIES)), np.zeros(len(FAMILIES))
+    for slots in long_slots(text):
+        for k, slot in enumerate(slots):
+            total[k] += model.weights[k][slot].sum()
+            count[k] += len(slot)
+    z = model.bias + float((SCALE * total / np.maximum(count, 1)).sum())
+    return float(1 / (1 + np.exp(-np.clip(model.slope * z + model.shift, -30, 30))))
+
+
+def long_counts(text: bytes) -> tuple[int, int, int, int, int]:
+    """``base_counts`` of a long text: of its words only hashes and places are held, of its lines the different ones."""
+    hashes, first, last, at = [], [], [], 0
+    for grid, size, _ in _stretches(text):
+        n = int(np.searchsorted(grid.first, size))
+        hashes.append(grid.word_hashes(1)[:n])
+        first.append(grid.first[:n] + at)
+        last.append(grid.last[:n] + at)
+        at += size
+    h, first, last = (np.concatenate(x) for x in (hashes, first, last))
+    seen, dup = set(), 0
+    for line in io.BytesIO(text):
+        line = line.removesuffix(b"\n")
+        if line in seen:
+            dup += 1
+        elif line and not line.isspace():
+            seen.add(line)
+    three = h[:-2] * np.uint64(3) + h[1:-1] * np.uint64(0x9E3779B97F4A7C15) + h[2:] * np.uint64(0xC2B2AE3D27D4EB4F)
+    ranked = np.sort(three)
+    twice = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
+    again = 0
+    if len(twice):
+        own = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, three), len(twice) - 1)] == three)
+        number: dict[tuple, int] = {}
+        word = lambda i: text[first[i] : last[i]]
+        ids = np.fromiter((number.setdefault((word(i), word(i + 1), word(i + 2)), len(number)) for i in own), np.int64, len(own))
+        own = own[np.bincount(ids)[ids] > 1]
+        hit = np.zeros(len(h), bool)
+        for j in range(3):
+            hit[own + j] = True
+        again = int(hit.sum())
+    return len(h), len(text.translate(None, _NOT_COUNTED)), len(text) - len(text.translate(None, SYMBOLS)), dup, again
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], steps: int = 120, decay: float = 1e-3) -> Model:
     """Logistic regression (Adam on all rows) on (slots, values, label); a quarter of the rows, held out, calibrates it.
 
@@ -210,7 +292,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         for b in pieces(batches):
             ids, texts = b.column("doc_id").to_pylist(), _bytes(b)
             slots, values = [[] for _ in ids], [[] for _ in ids]
-            for k, (slot, lo, hi) in enumerate(features(Grid(texts)) if texts else []):
+            long = len(texts) == 1 and len(texts[0]) > LONG
+            if long:
+                counts = np.zeros((len(FAMILIES), DIM), np.int64)
+                for found in long_slots(texts[0]):
+                    for k, slot in enumerate(found):
+                        counts[k] += np.bincount(slot, minlength=DIM)
+                for k, n in enumerate(counts):
+                    key = np.flatnonzero(n)
+                    slots[0].append((key + k * DIM).astype(np.int32))
+                    values[0].append((SCALE * n[key] / max(n.sum(), 1)).astype(np.float32))
+            for k, (slot, lo, hi) in enumerate(features(Grid(texts)) if texts and not long else []):
                 for i in range(len(ids)):
                     key, n = np.unique(slot[lo[i] : hi[i]], return_counts=True)
                     slots[i].append((key + k * DIM).astype(np.int32))
@@ -231,8 +323,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def judge(texts: list[bytes], model: Model, keep_at: float = KEEP_AT) -> dict[str, list]:
     if not texts:
         return {"counts": [], "failed": [], "p": [], "kept": []}
-    grid = Grid(texts)
-    counts, p = base_counts(grid), model.probability(grid)
+    if len(texts) == 1 and len(texts[0]) > LONG:
+        counts, p = [long_counts(texts[0])], [long_probability(texts[0], model)]
+    else:
+        grid = Grid(texts)
+        counts, p = base_counts(grid), model.probability(grid)
     failed = [c[0] < LEAST_WORDS or 100 * c[4] > MOST_REPEAT_PERCENT * c[0] for c in counts]
     return {"counts": counts, "failed": failed, "p": p, "kept": [not f and bool(x >= keep_at) for f, x in zip(failed, p, strict=True)]}
 

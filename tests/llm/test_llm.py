@@ -72,6 +72,46 @@ def test_quality_counts(spark, awkward, empty):
     assert set(quality.kept_documents(awkward, labels).columns) == set(awkward.columns)
 
 
+def test_quality_of_long_texts(monkeypatch):
+    """In stretches a long text has the counts, the n-grams and the probability that it has whole."""
+    r = random.Random(3)
+    texts = ["".join(r.choice(["ab", "c", "é", "#"]) * r.randrange(1, 9) + r.choice([" ", " ", "\n", "  \t", "\n\n"]) for _ in range(n)).encode() for n in (3, 400, 3000)]
+    texts += [b"x" * 900, b" " * 700, b"one two three " * 200, b"a\nb\n" * 300 + b"tail"]
+    weights = np.random.default_rng(1).standard_normal((len(quality.FAMILIES), quality.DIM))
+    model = quality.Model(weights, 0.1, 0.7, 0.2)
+    whole = [quality.judge([t], model) for t in texts]
+    monkeypatch.setattr(quality, "LONG", 1)
+    monkeypatch.setattr(quality, "STRETCH", 64)
+    for t, w in zip(texts, whole, strict=True):
+        slots = [np.sort(np.concatenate(f)) for f in zip(*quality.long_slots(t), strict=True)]
+        assert all(np.array_equal(a, np.sort(s[lo[0] : hi[0]])) for a, (s, lo, hi) in zip(slots, quality.features(quality.Grid([t])), strict=True))
+        again = quality.judge([t], model)
+        assert again["counts"] == w["counts"] and again["failed"] == w["failed"] and again["p"] == pytest.approx(w["p"], abs=1e-9)
+
+
+def test_quality_memory_of_a_very_long_text():
+    """A text of 48 MB in a process of its own: some 20 bytes a byte, where the grid of the whole took 55."""
+    import subprocess
+    import sys
+
+    code = """if True:
+        import resource, random
+        import numpy as np
+        from ledgerloom.llm import quality
+        r = random.Random(0)
+        text = b" ".join(b"w%d" % r.randrange(10**6) for _ in range(10**6)) * 6
+        text = text[:48_000_000]
+        before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+        j = quality.judge([text], quality.Model(np.zeros((4, quality.DIM)), 0.0))
+        print(j["counts"][0][0], resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+    """
+    import os
+
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    words, kb = map(int, done.stdout.split())
+    assert words > 5_000_000 and kb < 2_000_000, done.stderr
+
+
 def test_quality_held_out(spark):
     """Trained on half of the labels, held against the other half."""
     d, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
