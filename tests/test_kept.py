@@ -129,7 +129,8 @@ def test_a_search_opens_candidate_parts_and_reads_narrow(spark, tmp_path):
     assert [r["id"] for r in probe.collect()] == [1234]
     plan = probe._jdf.queryExecution().executedPlan().toString()
     assert "wide" not in re.search(r"ReadSchema: (.*)", plan)[1] and "(part#" in re.search(r"PartitionFilters: (.*), PushedFilters", plan)[1]
-    assert {re.search(r"part=(\d+)", f)[1] for f in lookup._in_parts(spark.read.parquet(f"{path}/rows"), few).inputFiles()} == {str(r["part"]) for r in few.collect()}
+    scan = probe._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    assert scan.metrics().apply("numFiles").value() == few.count() < 20  # the files that were opened
 
 
 def test_parts_are_full(spark, tmp_path):
