@@ -186,4 +186,5 @@ def weapon_snapshots(responses: DataFrame, fetches: DataFrame) -> DataFrame:
     each = F.array(*[F.struct(F.lit(m).alias("metric"), value(p).alias("value")) for m, p in paths.items()])
     rows = n.select("response_id", "account", "i", F.try_variant_get("n", "$.id", "string").alias("weapon_id"), F.inline(each)).where("weapon_id is not null and value is not null")
     last = rows.groupBy("response_id", "account", "weapon_id", "metric").agg(F.max_by("value", "i").alias("value"))
-    return last.join(fetches.select("response_id", "event_id", "fetched_at"), "response_id").drop("response_id")
+    # A Variant counts as 2 KB a row, so the planner takes what is left after it goes for a fiftieth of its size and would broadcast it.
+    return last.hint("merge").join(fetches.select("response_id", "event_id", "fetched_at"), "response_id").drop("response_id")
