@@ -18,6 +18,15 @@ def parsed(json_text: Column | str) -> Column:
     return F.try_parse_json(json_text)
 
 
+def is_json(text: Column) -> Column:
+    """Whether a text is one JSON value and nothing more; the parser itself takes what stands after a value for no fault, so ``1 x`` would pass.
+
+    What closes a list too early leaves an object open, and the other way round; so a text that fits into both is whole.
+    """
+    within = lambda left, right: F.try_parse_json(F.concat(F.lit(left), text, F.lit(right))).isNotNull()
+    return F.coalesce(within("[", "]") & within('{"a":', "}"), F.lit(False))
+
+
 def with_parsed(df: DataFrame, name: str, column: str = "json_text") -> DataFrame:
     """``df`` with the Variant of a column, parsed once for each row.
 

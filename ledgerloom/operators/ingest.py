@@ -44,7 +44,8 @@ def responses(fetches: DataFrame) -> DataFrame:
     """Each distinct response with its first fetch, its JSON text and whether that parses."""
     first = fetches.groupBy(*RESPONSE_KEY).agg(F.min_by(F.struct("event_id", "fetched_at", "body"), F.struct("fetched_at", "event_id")).alias("f"), F.count("*").alias("fetches"))
     text = F.decode("f.body", "UTF-8")
-    return first.select(*RESPONSE_KEY, "f.event_id", "f.fetched_at", "fetches", F.when(jsonx.parsed(text).isNotNull(), text).alias("json_text"), F.when(jsonx.parsed(text).isNull(), "INVALID_JSON").alias("parse_error"))
+    fine = jsonx.is_json(text)
+    return first.select(*RESPONSE_KEY, "f.event_id", "f.fetched_at", "fetches", F.when(fine, text).alias("json_text"), F.when(~fine, "INVALID_JSON").alias("parse_error"))
 
 
 def receipts(fetches: DataFrame, stored: DataFrame) -> DataFrame:
