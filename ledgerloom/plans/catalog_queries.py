@@ -230,7 +230,7 @@ def display_stats(s, d):
     t = F.col("event_type")
     metric = F.when(t == "view", "dangerRate").when(t == "error", "earnedUdemaePoint").otherwise("jobScore")
     value = (F.col("event_id") % 41).cast("double") / F.when(t == "view", 100).otherwise(1)
-    p = fx.read(s, d, "events").select(F.concat(F.lit("u"), "user_id").alias("account"), F.concat(F.lit("g|"), t, F.lit("|"), metric).alias("series_id"), metric.alias("label"), F.lit("g").alias("genre"), t.alias("rule_raw"), F.lit("api").alias("source"), F.lit("primary").alias("priority"), F.concat(F.col("ts").cast("string"), F.format_string(" %012d", F.col("event_id"))).alias("played_time"), F.col("event_id").alias("match_key"), value.alias("value"))
+    p = fx.read(s, d, "events").select(F.concat(F.lit("u"), "user_id").alias("account"), F.concat(F.lit("g|"), t, F.lit("|"), metric).alias("series_id"), metric.alias("label"), F.lit("g").alias("genre"), t.alias("rule_raw"), F.lit("api").alias("source"), F.lit("primary").alias("priority"), F.col("ts").cast("string").alias("played_time"), F.col("event_id").alias("match_key"), value.alias("value"))
     return rates.display_stats(p).select("account", "rule_raw", "count", "latest", "change", "least", "most")
 
 
