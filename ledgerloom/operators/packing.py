@@ -21,6 +21,8 @@ from .lossless import EXTERNAL_BYTES, PART_BYTES, numbered
 
 #: Rows of a run, and maps that one step of the tree composes.
 RUN, FAN = 1 << 18, 64
+#: Rows that look up their part among the same few that begin between them.
+BLOCK = 128
 #: Bytes that a row keeps of what was moved out of it.
 POINTER_BYTES = 128
 _MAP = "run bigint, upto array<bigint>, left array<bigint>, begun array<bigint>, rest bigint"
@@ -101,7 +103,7 @@ def pack(rows: DataFrame, order: str, size: Column, most: int = PART_BYTES, exte
     spark = rows.sparkSession
     ship(spark)
     taken = {c.lower() for c in rows.columns}
-    at, own, block = (next(n for n in (c + "_" * k for k in range(99)) if n not in taken) for c in ("_ordinal", "_bytes", "_run"))
+    at, own, block, few = (next(n for n in (c + "_" * k for k in range(99)) if n not in taken) for c in ("_ordinal", "_bytes", "_run", "_few"))
     b = F.coalesce(size.cast("long"), F.lit(0))
     placed = numbered(rows.withColumn(own, b), order, at).withColumns({"external": F.col(own) > external, own: F.when(F.col(own) > external, F.lit(POINTER_BYTES)).otherwise(F.col(own))})
     placed = placed.withColumn(block, F.floor(F.col(at) / run).cast("long"))
@@ -145,9 +147,13 @@ def pack(rows: DataFrame, order: str, size: Column, most: int = PART_BYTES, exte
         while c < len(frame):
             out.append(first + c)
             c = max(int(np.searchsorted(total, total[c] + most, "right")) - 1, c + 1)
-        return pd.DataFrame([(int(frame["run"].iloc[0]), int(frame["begun_before"].iloc[0]), out)], columns=["run", "before", "starts"])
-
-    runs = sizes.join(above.withColumnRenamed("up", "run"), "run").groupBy("run").applyInPandas(begins, "run bigint, before bigint, starts array<bigint>")
-    runs = runs.withColumnRenamed("run", block)
+        # a row is held against the parts that begin in its own block, not against all of the run
+        starts, blocks = np.array(out, np.int64), np.unique(frame["ordinal"].to_numpy() // BLOCK)
+        ends = np.searchsorted(starts, [blocks * BLOCK, (blocks + 1) * BLOCK])
+        rows = [(int(frame["run"].iloc[0]), int(b), int(frame["begun_before"].iloc[0]) + int(i), starts[i:j].tolist()) for b, i, j in zip(blocks, *ends, strict=True)]
+        return pd.DataFrame(rows, columns=["run", "few", "before", "starts"])
+
+    runs = sizes.join(above.withColumnRenamed("up", "run"), "run").groupBy("run").applyInPandas(begins, "run bigint, few bigint, before bigint, starts array<bigint>")
+    runs = runs.withColumnsRenamed({"run": block, "few": few})
     part = F.col("before") - 1 + F.size(F.filter("starts", lambda s: s <= F.col(at)))
-    return placed.join(runs, block).withColumn("part", part.cast("long")).drop(at, own, block, "before", "starts")
+    return placed.withColumn(few, F.floor(F.col(at) / BLOCK).cast("long")).join(runs, [block, few]).withColumn("part", part.cast("long")).drop(at, own, block, few, "before", "starts")

@@ -13,18 +13,27 @@ from .commits import CommitLog, Conflict
 
 
 def write_parts(rows: DataFrame, order: str, size: Column, path: str, most: int = lossless.PART_BYTES) -> None:
-    """Parts as full as ``most`` bytes allow below path/rows, ordered inside (a longer row is alone); the manifest of their ranges is written last."""
-    binned = packing.pack(rows, order, size, most, external=most).drop("external")
-    binned.repartition("part").sortWithinPartitions("part", order).write.mode("overwrite").partitionBy("part").parquet(f"{path}/rows")
-    there = rows.sparkSession.read.parquet(f"{path}/rows")
-    lossless.part_ranges(there, order, size).write.mode("overwrite").parquet(f"{path}/manifest")
+    """Parts as full as ``most`` bytes allow below path/rows, ordered inside (a longer row is alone); the manifest of their ranges is written last.
+
+    Small parts that follow one another share a file of about ``lossless.PART_BYTES``, so files grow with the bytes and not with the parts.
+    """
+    bundle = F.floor(F.col("part") / _bundled(most)).cast("long")
+    binned = packing.pack(rows, order, size, most, external=most).drop("external").withColumn("bundle", bundle)
+    binned.repartition("bundle").sortWithinPartitions("bundle", "part", order).write.mode("overwrite").partitionBy("bundle").parquet(f"{path}/rows")
+    there = rows.sparkSession.read.schema(binned.schema).parquet(f"{path}/rows")
+    lossless.part_ranges(there, order, size).withColumn("bundle", bundle).write.mode("overwrite").parquet(f"{path}/manifest")
+
+
+def _bundled(most: int) -> int:
+    """Parts of a file."""
+    return max(1, lossless.PART_BYTES // max(most, 1))
 
 
 def read_range(spark: SparkSession, path: str, order: str, low: object, high: object) -> DataFrame:
-    """The rows with low <= order <= high; only the parts whose range meets it are read."""
+    """The rows with low <= order <= high; only files that hold a part whose range meets it are read."""
     manifest = spark.read.parquet(f"{path}/manifest").where((F.col("first") <= F.lit(high)) & (F.col("last") >= F.lit(low)))
     rows = spark.read.parquet(f"{path}/rows").where(F.col(order).between(F.lit(low), F.lit(high)))
-    return rows.join(F.broadcast(manifest.select("part")), "part", "left_semi").drop("part")  # a row for each part of at most 20 MB; prunes partitions
+    return rows.join(F.broadcast(manifest.select("bundle").distinct()), "bundle", "left_semi").drop("part", "bundle")  # a row for each file of about 20 MB; prunes partitions
 
 
 def fingerprint(rows: DataFrame) -> DataFrame:
