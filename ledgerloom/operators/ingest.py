@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -162,15 +164,17 @@ _WAITS = "match_key is not null and state in ('pending', 'retry')"
 BLOCKING = ("INCOMPLETE_RESPONSE", "SELECTED_FIELD_MISSING", "SELECTED_FIELD_SHAPE_INVALID", "RESPONSE_CATALOG_MISMATCH", "RESPONSE_CATALOG_UNRESOLVED")
 
 
-def project(fetches: DataFrame, detail_roots: dict[str, str], missing: DataFrame | None = None, null_roots: dict[str, str] | None = None) -> dict[str, DataFrame]:
+def project(fetches: DataFrame, detail_roots: dict[str, str], missing: DataFrame | None = None, null_roots: dict[str, str] | None = None, stored: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict[str, DataFrame]:
     """All that is derived from the fetches, by name: responses (with outcome), receipts, issues, endpoint_heads, sightings, matches, documents, asset_refs, jobs.
 
     Nothing is mutated: every table is a plan over the raw log, so running it again after more fetches,
     in any order, gives what one run over all of them gives. ``detail_roots`` names, by operation, the
     field below data that a match's detail is in; a sighting there is its document. ``null_roots`` names fields that may be null.
     ``missing`` (id): responses that lack fields their query asks for, see ``projection``; they wait for another try.
+    ``stored``: the responses with their id, if they are there already. ``keep`` may write the responses with their outcome, which all else reads.
     """
-    stored = responses(fetches).withColumn("id", F.col("event_id"))  # a response is known by its first fetch
+    if stored is None:
+        stored = responses(fetches).withColumn("id", F.col("event_id"))  # a response is known by its first fetch
     v = F.col("_v")
     named_root = lambda roots: F.coalesce(*[F.when(F.col("operation") == op, F.lit(name)) for op, name in roots.items()], F.lit(None).cast("string"))
     root, incomplete = named_root(detail_roots), F.col("parse_error").isNotNull()
@@ -178,6 +182,7 @@ def project(fetches: DataFrame, detail_roots: dict[str, str], missing: DataFrame
         stored = stored.join(missing.select("id").distinct().withColumn("_missing", F.lit(True)), "id", "left")
         incomplete = incomplete | F.col("_missing").isNotNull()
     stored = stored.withColumn("_v", jsonx.parsed("json_text")).withColumn("outcome", outcome(F.col("http_status"), v, root, named_root(null_roots or {}), incomplete)).drop("_v", "_missing")
+    stored = keep(stored)
     got = receipts(fetches, stored)
     named = got.join(stored.select(F.col("id").alias("response_event_id"), "account", "operation", "outcome"), "response_event_id")
     issue = F.when(F.col("parse_error").isNotNull(), F.col("parse_error")).when(F.col("outcome") == "retry", "INCOMPLETE_RESPONSE")

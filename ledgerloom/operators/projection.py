@@ -59,13 +59,14 @@ def project(
 ) -> dict[str, DataFrame]:
     """The tables of ``ingest.project``, where a response with missing fields moves no head and no match, with issues of all kinds, entities and next_jobs.
 
-    Responses are walked once, in Arrow batches, and what is found is written once; everything else is a plan over it. Running it again
+    Responses are made once and walked once, in Arrow batches; they, what is found and their outcomes are written once, and everything else is a plan over these. Running it again
     over more fetches, in any order, gives what one run over all of them gives.
     """
     spark = fetches.sparkSession
-    raw = ingest.responses(fetches).withColumn("id", F.col("event_id"))
-    found = shared.written(schema_walk.findings(raw.select("id", "operation", "variables_json", "json_text"), catalog, bodies=True), shared.scratch(spark, "findings"))
-    out = ingest.project(fetches, detail_roots, found.where("finding = 'missing'").select("id"), null_roots)
+    keep = lambda df, name: shared.written(df, shared.scratch(spark, name))
+    raw = keep(ingest.responses(fetches).withColumn("id", F.col("event_id")), "responses")
+    found = keep(schema_walk.findings(raw.select("id", "operation", "variables_json", "json_text"), catalog, bodies=True), "findings")
+    out = ingest.project(fetches, detail_roots, found.where("finding = 'missing'").select("id"), null_roots, raw, lambda df: keep(df, "outcomes"))
     stored = out["responses"]
     issue = lambda rows, code, path: rows.select(F.col("id").alias("response_id"), F.lit(code).alias("code"), path.alias("path"))
     of = lambda kind: found.where(F.col("finding") == kind)
