@@ -136,9 +136,9 @@ def indexed_lookup(s, d):
         "now": {"price": first["price"]}, "customer": {"customer": first["customer"]}, "both": {"customer": first["customer"], "price": first["price"] + 2},
         "many": {"priority": "1-URGENT"}, "none": {"price": -1.0}, "type": {"customer": float(first["customer"])},
     }
-    found = None
+    found, there = None, s.read.schema("id long, price double, priority string, customer long, part long").parquet(f"{path}/rows")
     for name, criteria in asked.items():
-        n = lookup.find(s, path, ops, "id", criteria).agg(F.count("*").alias("found"), F.when(F.count("*") == 1, F.min("id")).alias("id")).select(F.lit(name).alias("asked"), "found", "id")
+        n = lookup.find(s, path, ops, "id", criteria, there).agg(F.count("*").alias("found"), F.when(F.count("*") == 1, F.min("id")).alias("id")).select(F.lit(name).alias("asked"), "found", "id")
         found = n if found is None else found.unionByName(n)
     return found
 

@@ -81,25 +81,26 @@ def _in_parts(rows: DataFrame, parts: DataFrame) -> DataFrame:
     return rows.where(F.col("part").isin(some)) if len(some) <= MOST_LISTED else rows.join(parts, "part", "left_semi")
 
 
-def candidates(spark: SparkSession, path: str, key: str, schema, criteria: dict[str, object]) -> DataFrame:
+def candidates(spark: SparkSession, path: str, key: str, schema, criteria: dict[str, object], rows: DataFrame | None = None) -> DataFrame:
     """(key, part) of the baseline rows that match: reads the key and the criteria's columns of candidate parts."""
-    rows = spark.read.schema(f"{schema}, part bigint" if isinstance(schema, str) else schema).parquet(f"{path}/rows")
+    rows = rows if rows is not None else spark.read.schema(f"{schema}, part bigint" if isinstance(schema, str) else schema).parquet(f"{path}/rows")
     return _in_parts(rows, candidate_parts(spark, path, criteria)).where(matching(criteria)).select(key, "part")
 
 
-def find(spark: SparkSession, path: str, operations: DataFrame, key: str, criteria: dict[str, object]) -> DataFrame:
+def find(spark: SparkSession, path: str, operations: DataFrame, key: str, criteria: dict[str, object], baseline: DataFrame | None = None) -> DataFrame:
     """At most two current rows that match all criteria with exact types: none, the one, or proof that it is not unique.
 
     ``operations`` (generation, ordinal, op, key, columns) lie over the baseline below ``path``. Keys come from the narrow probe of
     both; the last operation on each of them, and the last clear, say which are still so. The overlay is never made.
+    Many searches list the files once if they share ``baseline`` (path/rows, opened); that is a file for each part.
     """
-    baseline = spark.read.parquet(f"{path}/rows")
+    baseline = baseline if baseline is not None else spark.read.parquet(f"{path}/rows")
     columns = [c for c in baseline.columns if c != "part"]
     if not exact(baseline.schema, criteria):
         return baseline.select(*columns).limit(0)
     wanted = list(dict.fromkeys([key, *criteria]))
     at = F.struct("generation", "ordinal")
-    base = candidates(spark, path, key, baseline.schema, criteria)
+    base = candidates(spark, path, key, baseline.schema, criteria, baseline)
     changed = operations.where("op = 'upsert'").where(matching(criteria)).select(key)
     keys = base.select(key).unionByName(changed).distinct()
     clear = operations.where("op = 'clear_table'").agg(F.max(at).alias("cleared"))  # one row
