@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jsonx
 from .classify import classify
+from .views import KEY
 
 
 def match_details(matches: DataFrame, documents: DataFrame) -> DataFrame:
@@ -15,6 +16,12 @@ def match_details(matches: DataFrame, documents: DataFrame) -> DataFrame:
     return matches.join(d, ["detail_response_id", "account", "kind", "match_key"]).select("account", "kind", "match_key", "first_seen", "last_seen", "detail_response_id", "json_text")
 
 
+def classified(matches: DataFrame, documents: DataFrame, also: dict | None = None, how: str = "inner") -> DataFrame:
+    """``classify`` of ``match_details``, or with ``how="left"`` of every match; classes are taken out where the documents lie, so no text is shuffled to its match."""
+    c = classify(documents.withColumnRenamed("response_id", "detail_response_id"), also=also)
+    return matches.select("detail_response_id", *KEY).join(c, ["detail_response_id", *KEY], how).select(*c.columns)
+
+
 def _parsed(details: DataFrame, kind: str) -> DataFrame:
     return jsonx.with_parsed(details.where(F.col("kind") == kind), "_v")
 

@@ -31,6 +31,11 @@ def match_home(matches: DataFrame, classification: DataFrame, documents: DataFra
 
 def match_part(analysis_set: Column, rule_raw: Column, played: Column, match_key: Column) -> Column:
     return _path("matches", _segment(analysis_set, "unclassified"), _segment(rule_raw, "no-rule"), paths.local_day_path(played), _segment(match_key, "no-match-key"))
+def home_part() -> Column:
+    """``match_part`` of a row of ``details.classified`` with played_time: a match's home without a join with its classes and its document."""
+    return match_part(F.col("analysis_set"), F.col("rule_raw"), F.col("played_time"), F.col("match_key"))
+
+
 
 
 def prefer_vs(homes: DataFrame) -> DataFrame:

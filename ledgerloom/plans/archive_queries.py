@@ -32,11 +32,11 @@ def _details(s: SparkSession, d: str) -> DataFrame:
 
 
 def _classes(s: SparkSession, d: str) -> DataFrame:
-    return classify.classify(_details(s, d))
+    return details.classified(fx.matches(s, d), fx.documents(s, d))
 
 
 def _classified(s: SparkSession, d: str) -> DataFrame:
-    return classify.classify(_details(s, d), also=classify.SHOWN)
+    return details.classified(fx.matches(s, d), fx.documents(s, d), classify.SHOWN)
 
 
 @query("SELECT account, rule_raw, 'n_' || rule_raw AS rule_name, count(*) AS matches, count(CASE WHEN judgement = 'WIN' THEN 1 END) AS wins, count(CASE WHEN judgement = 'LOSE' THEN 1 END) AS losses, count(CASE WHEN judgement = 'DRAW' THEN 1 END) AS draws, count(CASE WHEN judgement IS NULL THEN 1 END) AS other FROM cs WHERE analysis_set = 'bankara_open' GROUP BY ALL")
