@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -130,16 +132,31 @@ def emptied_parts(before: DataFrame, now: DataFrame) -> DataFrame:
 
 def match_index(matches: DataFrame, classification: DataFrame, homes: DataFrame, tags: DataFrame, documents: DataFrame) -> DataFrame:
     """One row for each match: identity, population and rule (or that there is none), time, stage, result, own weapon, tags in order, whether it has a detail, part."""
-    t = tags.groupBy("account", "match_key").agg(F.array_join(F.array_sort(F.collect_set("tag")), "、").alias("tags"))
     c = classification.select(*KEY, F.nullif("analysis_set", F.lit("")).alias("analysis_set"), F.nullif("rule_raw", F.lit("")).alias("rule_raw"), "rule_name")
-    v, vs = F.col("_v"), F.col("kind") == "vs"
-    stage = F.when(vs, jsonx.text(v, "$.vsStage.name")).otherwise(jsonx.text(v, "$.coopStage.name"))
-    shown = {"played_time": jsonx.text(v, "$.playedTime"), "stage": stage, "judgement": F.when(vs, jsonx.text(v, "$.judgement")), "my_weapon": F.when(vs, jsonx.text(v, "$.player.weapon.name"))}
-    d = jsonx.with_parsed(documents, "_v").select(F.col("response_id").alias("detail_response_id"), *KEY, *[x.alias(n) for n, x in shown.items()], F.lit(1).alias("_there"))
-    m = matches.select(*KEY, "detail_response_id").join(d, ["detail_response_id", *KEY], "left").join(c, KEY, "left").join(homes, KEY, "left").join(t, ["account", "match_key"], "left")
-    return m.select(
+    d = jsonx.with_parsed(documents, "_v").select(F.col("response_id").alias("detail_response_id"), *KEY, *[x(F.col("_v")).alias(n) for n, x in INDEXED.items()], F.lit(1).alias("_there"))
+    m = matches.select(*KEY, "detail_response_id").join(d, ["detail_response_id", *KEY], "left").join(c, KEY, "left").join(homes, KEY, "left")
+    return _indexed(m, tags)
+
+
+def _if_vs(path: str, other: str | None = None) -> Callable[[Column], Column]:
+    return lambda v: F.when(F.col("kind") == "vs", jsonx.text(v, path)).otherwise(jsonx.text(v, other) if other else F.lit(None))
+
+
+#: What the index shows of a match's detail.
+INDEXED = {"played_time": lambda v: jsonx.text(v, "$.playedTime"), "stage": _if_vs("$.vsStage.name", "$.coopStage.name"), "judgement": _if_vs("$.judgement"), "my_weapon": _if_vs("$.player.weapon.name")}
+
+
+def classified_index(classified: DataFrame, tags: DataFrame) -> DataFrame:
+    """``match_index`` with the homes, from every match with its classes and ``INDEXED`` texts (``details.classified`` with ``how="left"``): one pass over the documents."""
+    named = {c: F.nullif(c, F.lit("")).alias(c) for c in ("analysis_set", "rule_raw")}
+    return _indexed(classified.select(*KEY, *named.values(), "rule_name", *INDEXED, F.when(F.col("genre").isNotNull(), 1).alias("_there"), home_part().alias("part")), tags)
+
+
+def _indexed(m: DataFrame, tags: DataFrame) -> DataFrame:
+    t = tags.groupBy("account", "match_key").agg(F.array_join(F.array_sort(F.collect_set("tag")), "、").alias("tags"))
+    return m.join(t, ["account", "match_key"], "left").select(
         *KEY, F.coalesce("analysis_set", F.lit("unclassified")).alias("analysis_set"), F.coalesce("rule_raw", F.lit("no-rule")).alias("rule_raw"), "rule_name",
-        *shown, "tags", F.coalesce("_there", F.lit(0)).alias("detail_available"), "part",
+        *INDEXED, "tags", F.coalesce("_there", F.lit(0)).alias("detail_available"), "part",
     )
 
 
