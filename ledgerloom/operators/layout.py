@@ -46,9 +46,13 @@ def prefer_vs(homes: DataFrame) -> DataFrame:
     return homes.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "kind")
 
 
-def response_home(responses: DataFrame, documents: DataFrame, homes: DataFrame) -> DataFrame:
-    """(id, part): the home of the first match whose detail it is, else a part of its operation and hour; ranking responses have their own."""
-    first = documents.join(homes, KEY).groupBy(F.col("response_id").alias("id")).agg(F.min_by("part", F.struct(*KEY)).alias("_match"))
+def response_home(responses: DataFrame, documents: DataFrame, homes: DataFrame | None = None) -> DataFrame:
+    """(id, part): the home of the first match whose detail it is, else a part of its operation and hour; ranking responses have their own.
+
+    Without ``homes`` the documents have their match's home already, as part.
+    """
+    placed = documents if homes is None else documents.join(homes, KEY)
+    first = placed.groupBy(F.col("response_id").alias("id")).agg(F.min_by("part", F.struct(*KEY)).alias("_match"))
     r = responses.select("id", "operation", "fetched_at").join(first, "id", "left")
     return r.select("id", F.coalesce("_match", own_response_part(F.col("operation"), F.col("fetched_at"), F.col("id"))).alias("part"))
 
