@@ -84,13 +84,22 @@ def asset_evidence(assets: DataFrame, bodies: DataFrame) -> DataFrame:
 
 def status(tables: dict[str, DataFrame]) -> DataFrame:
     """(section, name, n): rows of each table, jobs and assets by state, matches without a detail, matches by population, and tags."""
-    parts = [d.agg(F.count("*").alias("n")).select(F.lit("rows").alias("section"), F.lit(t).alias("name"), "n") for t, d in sorted(tables.items())]
-    parts += [tables[t].groupBy("state").agg(F.count("*").alias("n")).select(F.lit(t).alias("section"), F.col("state").alias("name"), "n") for t in ("jobs", "assets") if t in tables]
-    if "matches" in tables:
-        parts.append(tables["matches"].agg(F.count_if(F.col("detail_response_id").isNull()).alias("n")).select(F.lit("matches").alias("section"), F.lit("without detail").alias("name"), "n"))
+    line = lambda section, name, n: F.struct(F.lit(section).alias("section"), name.alias("name"), n.alias("n"))
+    rows = lambda t, n: line("rows", F.lit(t), n)
+
+    def by_code(t: str, section: str, name: Column) -> DataFrame:
+        """A table's rows by one of its fixed codes and as a whole, from one pass: there are as many rows as codes."""
+        n = tables[t].groupBy(name.alias("name")).agg(F.count("*").alias("n"))
+        one = n.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.collect_list(F.struct("name", "n")).alias("each"))
+        return one.select(F.inline(F.concat(F.array(rows(t, F.col("all"))), F.transform("each", lambda x: line(section, x["name"], x["n"])))))
+
+    coded = {t: by_code(t, t, F.col("state")) for t in ("jobs", "assets") if t in tables}
     if "match_classification" in tables:
-        name = F.concat_ws("/", "kind", "genre", "roster_class", "analysis_set")
-        parts.append(tables["match_classification"].groupBy(name.alias("name")).agg(F.count("*").alias("n")).select(F.lit("analysis").alias("section"), "name", "n"))
+        coded["match_classification"] = by_code("match_classification", "analysis", F.concat_ws("/", "kind", "genre", "roster_class", "analysis_set"))
+    if "matches" in tables:
+        one = tables["matches"].agg(F.count("*").alias("all"), F.count_if(F.col("detail_response_id").isNull()).alias("none"))
+        coded["matches"] = one.select(F.inline(F.array(rows("matches", F.col("all")), line("matches", F.lit("without detail"), F.col("none")))))
+    parts = [coded[t] if t in coded else d.agg(F.count("*").alias("n")).select(F.lit("rows").alias("section"), F.lit(t).alias("name"), "n") for t, d in sorted(tables.items())]
     if "match_tags" in tables:
         parts.append(tables["match_tags"].groupBy(F.col("tag").alias("name")).agg(F.count("*").alias("n")).select(F.lit("tags").alias("section"), "name", "n"))
     return reduce(DataFrame.unionByName, parts)
