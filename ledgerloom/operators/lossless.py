@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources import shared
+
 #: Fixed sizes: bytes of a part, of an external chunk and from which a cell is external, characters of a sheet chunk.
 PART_BYTES, CHUNK_BYTES, EXTERNAL_BYTES, SHEET_CHARS = 20 << 20, 64 << 10, 256 << 10, 16_000
 _KINDS = {"bigint": "integer", "int": "integer", "smallint": "integer", "tinyint": "integer", "boolean": "integer", "double": "real", "float": "real", "string": "text", "binary": "blob"}
@@ -159,9 +161,10 @@ def selectors(classification: DataFrame, keys: list[str], set_column: str = "ana
 
     The two name lists are small (one row for each distinct name), their product is the result's own size.
     """
-    sets = classification.select(set_column).where(F.col(set_column).isNotNull()).distinct()
-    rules = classification.select(rule).where(F.col(rule).isNotNull()).distinct()
-    n = classification.groupBy(set_column, rule).agg(F.count("*").alias("matches"))
+    spark = classification.sparkSession
+    n = shared.written(classification.groupBy(set_column, rule).agg(F.count("*").alias("matches")), shared.scratch(spark, "selectors"))  # one pass over the classes
+    sets = n.select(set_column).where(F.col(set_column).isNotNull()).distinct()
+    rules = n.select(rule).where(F.col(rule).isNotNull()).distinct()
     return sets.join(F.broadcast(rules)).join(n, [set_column, rule], "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
 
 
