@@ -125,8 +125,7 @@ def salmon_bosses(s, d):
 @query("""SELECT account, match_key, g || '|' || rule || '|' || m AS series_id, CASE m WHEN 'dangerRate' THEN 'キケン度' ELSE '集めた金イクラ' END AS label, v::DOUBLE AS value, 'primary' AS priority FROM
 (SELECT account, match_key, rule, CASE rule WHEN 'REGULAR' THEN 'salmon_regular' ELSE lower(rule) END AS g, unnest(['dangerRate', 'myResult.goldenDeliverCount', 'waveResults.teamDeliverCountSum']) AS m, unnest([value, n::DOUBLE, (2 * n + 1)::DOUBLE]) AS v FROM co)""")
 def rate_observations(s, d):
-    c = fx.coop_details(s, d)
-    x = classify.classify(c).select(*views.KEY, "genre", "rule_raw").join(c, views.KEY).withColumn("played_time", jsonx.text(jsonx.parsed("json_text"), "$.playedTime"))
+    x = classify.classify(fx.coop_details(s, d), keep=("json_text",), also={"played_time": classify.SHOWN["played_time"]})
     return rates.observations(x).select("account", "match_key", "series_id", "label", "value", "priority")
 
 
