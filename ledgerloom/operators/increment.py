@@ -210,7 +210,7 @@ class IncrementalLayout:
 
         def homes_of(name: str, keys: DataFrame, family: bool = False) -> DataFrame:
             on = [_family()] if family else ["key"]
-            state = at(self.homes, keys.withColumn("entity", F.lit(name)), ["entity", "key"]) if not family else self._family_homes(base, name, keys, read)
+            state = at(self.homes, keys.withColumn("entity", F.lit(name)), ["entity", "key"]).where(F.col("entity") == name) if not family else self._family_homes(base, name, keys, read)
             if name in new_homes:
                 fresh = new_homes[name].select("entity", "key", "places")
                 wanted = keys.select(F.col("key").alias("_k")).distinct()
@@ -229,14 +229,14 @@ class IncrementalLayout:
             if not (buckets := self.links.touched(keys)):
                 continue  # nothing of the kind is touched
             mine = delta.where(F.col("entity") == e.name)
-            old = at(self.links, keys, ["entity", "key"], buckets)
+            old = at(self.links, keys, ["entity", "key"], buckets).where(F.col("entity") == e.name)  # known to the scan, so other entities' links stay out of the join
             kept = old.join(mine.where("sign = -1").select("entity", "key", "table_name", "id"), ["entity", "key", "table_name", "id"], "left_anti")
             cols = ["entity", "key", "table_name", "id", "value", "member"]
             after = kept.select(*cols).unionByName(mine.where("sign = 1").select(*cols))
             seen[e.name] = keep(old.select(*cols).withColumn("sign", F.lit(-1)).unionByName(after.withColumn("sign", F.lit(1))), f"links-{e.name}")
             homes = e.home(seen[e.name].where("sign = 1").select(*cols), homes_of)
             places = homes.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("part", "role"))).alias("places"))  # a body's: one a part that refers to it
-            was = at(self.homes, keys, ["entity", "key"], buckets).select("key", F.col("places").alias("was"))
+            was = at(self.homes, keys, ["entity", "key"], buckets).where(F.col("entity") == e.name).select("key", F.col("places").alias("was"))
             new_homes[e.name] = keep(keys.join(places, "key", "left").join(was, "key", "left").select("entity", "key", "was", "places"), f"homes-{e.name}")
 
         if not seen:
@@ -282,6 +282,7 @@ class IncrementalLayout:
 
 
 def net(before: DataFrame, after: DataFrame) -> DataFrame:
-    """The changes (table_name, id, op, links) between two whole tables of links, for tests and first runs."""
-    old, new = before.select("table_name", "id", F.to_json("links").alias("_o")), after.select("table_name", "id", "links", F.to_json("links").alias("_n"))
+    """The changes (table_name, id, op, links) between two whole tables of links, for tests and first runs; links are compared by their digests."""
+    digest = F.unhex(F.sha2(F.to_json("links"), 256))
+    old, new = before.select("table_name", "id", digest.alias("_o")), after.select("table_name", "id", "links", digest.alias("_n"))
     return old.join(new, ["table_name", "id"], "full_outer").where("not (_o <=> _n)").select("table_name", "id", F.when(F.col("_n").isNull(), "delete").otherwise("upsert").alias("op"), "links")

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,6 +58,11 @@ def _discard_all() -> None:
             return
 
 
+def nothing(spark: SparkSession, schema: str) -> DataFrame:
+    """A frame without rows that the optimizer knows to have none, so joins with it are left out."""
+    return spark.range(1).where(F.lit(False)).select(F.from_json(F.lit(None).cast("string"), schema).alias("_r")).select("_r.*")
+
+
 def written(df: DataFrame, path: str) -> DataFrame:
     """``df``, written once and read back: cuts its plan, and survives lost executors."""
     df.write.parquet(path)
