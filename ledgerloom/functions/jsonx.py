@@ -63,6 +63,17 @@ def integer(v: Column, path: str) -> Column:
     return F.when(kind_of(v, path).isin("BIGINT", "BOOLEAN"), _get(v, path, "bigint"))
 
 
+def as_text(v: Column) -> Column:
+    """``text`` of a whole Variant."""
+    return F.when(F.schema_of_variant(v) == "STRING", _get(v, "$", "string"))
+
+
+def as_integer(v: Column) -> Column:
+    """``integer`` of a whole Variant, by way of its JSON: a cast inside of a Variant sets up a new cast for each value."""
+    kind = F.schema_of_variant(v)
+    return F.when(kind == "BIGINT", F.to_json(v).cast("bigint")).when(kind == "BOOLEAN", (F.to_json(v) == "true").cast("bigint"))
+
+
 def number(v: Column, path: str) -> Column:
     """A number (not a boolean) as double."""
     kind = kind_of(v, path)

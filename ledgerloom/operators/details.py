@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,9 +14,14 @@ from .views import KEY
 
 
 def match_details(matches: DataFrame, documents: DataFrame) -> DataFrame:
-    """Each match with its canonical detail document."""
-    d = documents.withColumnRenamed("response_id", "detail_response_id")
-    return matches.join(d, ["detail_response_id", "account", "kind", "match_key"]).select("account", "kind", "match_key", "first_seen", "last_seen", "detail_response_id", "json_text")
+    """Each match with its canonical detail document.
+
+    Only the response's number is a key of the join; the other columns are compared in pairs of matches and documents of one number.
+    So documents that lie by number are not shuffled or sorted anew with their texts.
+    """
+    d = documents.withColumnRenamed("response_id", "detail_response_id").select("detail_response_id", *[F.col(c).alias(f"_{c}") for c in KEY], "json_text")
+    same = [F.col(c).between(F.col(f"_{c}"), F.col(f"_{c}")) for c in KEY]  # an equality would be taken as a key
+    return matches.join(d, "detail_response_id").where(reduce(and_, same)).select("account", "kind", "match_key", "first_seen", "last_seen", "detail_response_id", "json_text")
 
 
 def classified(matches: DataFrame, documents: DataFrame, also: dict | None = None, how: str = "inner") -> DataFrame:
@@ -48,9 +56,36 @@ def battle_teams(details: DataFrame) -> DataFrame:
     return _teams(details).select("account", "match_key", "team_index", "is_my_team", F.to_json("_t").alias("json_text"))
 
 
-def players_of(details: DataFrame) -> DataFrame:
-    """``battle_players`` of all teams of ``details``, without printing and parsing the teams between."""
-    return _players(_teams(details))
+#: A player's columns (name: path), and the fields that they come from, each with its own type.
+TEXTS = {"player_id": "id", "name": "name", "weapon": "weapon.name"}
+NUMBERS = {"is_myself": "isMyself", "paint": "paint", "kills": "result.kill", "assists": "result.assist", "deaths": "result.death", "specials": "result.special"}
+_PLAYER = "struct<id: variant, name: variant, weapon: struct<name: variant>, isMyself: variant, paint: variant, result: struct<kill: variant, assist: variant, death: variant, special: variant>>"
+_TEAM = f"struct<players: array<{_PLAYER}>>"
+
+
+def _fields(p: Column) -> list[Column]:
+    """The columns of a player whose fields were taken out; what is no object has nulls."""
+    at = lambda path: reduce(lambda c, x: c[x], path.split("."), p)
+    return [jsonx.as_text(at(x)).alias(n) for n, x in TEXTS.items()] + [jsonx.as_integer(at(x)).alias(n) for n, x in NUMBERS.items()]
+
+
+def players_of(details: DataFrame, texts: bool = True) -> DataFrame:
+    """``battle_players`` of all teams of ``details``, without printing and parsing the teams between.
+
+    Without ``texts`` there is no ``json_text``, and only the fields are taken out, all teams' in one walk of a detail.
+    """
+    if texts:
+        return _players(_teams(details))
+    taken = F.try_variant_get(jsonx.parsed("json_text"), "$", f"struct<myTeam: {_TEAM}, otherTeams: array<{_TEAM}>>")
+    no_players, no_teams = F.array().cast(f"array<{_PLAYER}>"), F.array().cast(f"array<array<{_PLAYER}>>")
+
+    def rows(d: Column) -> Column:
+        teams = F.concat(F.array(d["myTeam"]["players"]), F.coalesce(d["otherTeams"]["players"], no_teams))
+        return F.flatten(F.transform(teams, lambda t, i: F.transform(F.coalesce(t, no_players), lambda p, j: F.struct(i.alias("team_index"), j.alias("player_index"), p.alias("_p")))))
+
+    one = F.transform(F.array(taken), rows)  # an array of one, as in with_parsed, so that it is taken once
+    p = details.where("kind = 'vs'").select("account", "match_key", F.inline(F.flatten(one)))
+    return p.select("account", "match_key", "team_index", F.when(F.col("team_index") == 0, 1).otherwise(0).alias("is_my_team"), "player_index", *_fields(F.col("_p")))
 
 
 def battle_players(teams: DataFrame) -> DataFrame:
@@ -58,10 +93,9 @@ def battle_players(teams: DataFrame) -> DataFrame:
 
 
 def _players(t: DataFrame) -> DataFrame:
-    p, e = _each(t, "_t", "$.players", "player_index", ["account", "match_key", "team_index", "is_my_team"]), F.col("_e")
-    numbers = {"is_myself": "$.isMyself", "paint": "$.paint", "kills": "$.result.kill", "assists": "$.result.assist", "deaths": "$.result.death", "specials": "$.result.special"}
-    texts = {"player_id": "$.id", "name": "$.name", "weapon": "$.weapon.name"}
-    return p.select("account", "match_key", "team_index", "is_my_team", "player_index", *[jsonx.text(e, x).alias(n) for n, x in texts.items()], *[jsonx.integer(e, x).alias(n) for n, x in numbers.items()], F.to_json("_e").alias("json_text"))
+    p = _each(t, "_t", "$.players", "player_index", ["account", "match_key", "team_index", "is_my_team"])
+    p = p.select("*", F.inline(F.array(F.struct(F.try_variant_get("_e", "$", _PLAYER).alias("_p")))))
+    return p.select("account", "match_key", "team_index", "is_my_team", "player_index", *_fields(F.col("_p")), F.to_json("_e").alias("json_text"))
 
 
 def battle_gear(players: DataFrame) -> DataFrame:

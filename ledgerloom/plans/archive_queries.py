@@ -88,7 +88,7 @@ def battle_teams(s, d):
 
 @query("SELECT account, match_key, team_index, player_index, 'p' || l_partkey AS player_id, 's' || l_suppkey AS name, (l_linenumber = 1)::BIGINT AS is_myself, 'w' || (l_suppkey % 10) AS weapon, l_quantity::BIGINT AS paint, l_partkey % 9 AS kills, l_linenumber::BIGINT AS assists FROM pl")
 def battle_players(s, d):
-    return details.players_of(_details(s, d)).select("account", "match_key", "team_index", "player_index", "player_id", "name", "is_myself", "weapon", "paint", "kills", "assists")
+    return details.players_of(_details(s, d), texts=False).select("account", "match_key", "team_index", "player_index", "player_id", "name", "is_myself", "weapon", "paint", "kills", "assists")
 
 
 @query("""SELECT account, match_key, team_index, player_index, slot, '{"name":"' || l_returnflag || '"}' AS json_text FROM pl, (SELECT unnest(['headGear', 'clothingGear', 'shoesGear']) AS slot)
@@ -228,7 +228,7 @@ def search_total(s, d):
 
 @query(f", {_W}, f AS (SELECT DISTINCT 'analysis_set' AS facet, analysis_set AS value FROM cs WHERE account = 'BUILDING' UNION SELECT 'rule_raw', rule_raw FROM cs WHERE account = 'BUILDING' UNION SELECT 'weapon', weapon FROM wp JOIN o USING (k) WHERE account = 'BUILDING' UNION SELECT 'tag', tag FROM tg WHERE account = 'BUILDING') SELECT facet, value FROM f")
 def facets(s, d):
-    own = details.players_of(_details(s, d)).where("is_myself = 1").select("account", "match_key", "weapon")
+    own = details.players_of(_details(s, d), texts=False).where("is_myself = 1").select("account", "match_key", "weapon")
     return records.facets(_classes(s, d), own, fx.tags(s, d), "BUILDING").select("facet", "value")
 
 

@@ -32,7 +32,7 @@ def match_sheet(t: Tables, account: str, kind: str, match_key: str) -> DataFrame
 
 def weapon_results(t: Tables) -> DataFrame:
     """How the player's own weapons did: matches, and kills and paint on average."""
-    mine = details.players_of(details.match_details(t["matches"], t["documents"])).where("is_myself = 1")
+    mine = details.players_of(details.match_details(t["matches"], t["documents"]), texts=False).where("is_myself = 1")
     return mine.groupBy("account", "weapon").agg(F.count("*").alias("matches"), F.avg("kills").alias("kills"), F.avg("paint").alias("paint"))
 
 
